@@ -61,7 +61,7 @@ def qoe_history(snapshots: DataFrame, as_of_last: bool = True, feature: str = "q
 def ordinal_codes(rows: DataFrame, column: str, code: str) -> DataFrame:
     """Distinct values of a column numbered from 0 in sorted order."""
     distinct = rows.select(column).where(F.col(column).isNotNull()).distinct()
-    return row_numbers(distinct, [column], "_at").select(column, (F.col("_at") - 1).cast("double").alias(code))
+    return row_numbers(distinct, [column], "_code").select(column, (F.col("_code") - 1).cast("double").alias(code))
 
 
 def device_metadata(heartbeats: DataFrame, as_of: str | Column) -> DataFrame:

@@ -89,13 +89,21 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **weights: C
 
 
 def quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: columns (group, total, quantiles array)."""
+    """Exact quantiles with linear interpolation: columns (group, total, quantiles array).
+
+    With ``weight`` the rows are already one per (group, value) and carry their multiplicity.
+    """
     by = list(by)
     present = df.where(F.col(value).isNotNull())
-    ranked = cumulative(value_counts(present, value, by), value, ["n"], by)
-    totals = present.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    counted = present.withColumnRenamed(weight, "n") if weight else value_counts(present, value, by)
+    ranked = cumulative(counted, value, ["n"], by)
+    totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
     joined = ranked.join(totals, by) if by else ranked.withColumn("total", totals.scalar())
 
     def at(position: Column) -> Column:

@@ -34,6 +34,7 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("meshlight")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
     )
