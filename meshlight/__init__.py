@@ -1 +1,8 @@
 """Fleet telemetry analytics on Spark DataFrames, Structured Streaming and Spark ML."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlight.operators.store import page
@@ -92,11 +92,3 @@ def label_stats(labels: DataFrame) -> DataFrame:
         ((F.col("total_labels") >= 20) & (F.col("churned_count") >= 5)).alias("sufficient_for_training"),
     )
 
-
-def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Upsert view of an append-only table: the last row per key.
-
-    The window's groups are the versions of one key; identical rewrites collapse before it.
-    """
-    newest = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.distinct().withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")

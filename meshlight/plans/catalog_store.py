@@ -146,7 +146,7 @@ def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "linear_trend", EV, SERIES, _LAST, _window("7 DAY"),
-    sql=f"SELECT device_id, round(coalesce(regr_slope(value, {_DAYS}), 0), 6) AS slope FROM win GROUP BY 1",
+    sql=f"SELECT device_id, CASE WHEN count(*) > 1 THEN round(regr_slope(value, {_DAYS}), 6) ELSE 0 END AS slope FROM win GROUP BY 1",
 )
 def linear_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.linear_trend(T.series(spark, sf_dir), window="7d"), 6)
@@ -185,10 +185,9 @@ def _bundle_sql() -> str:
                 f"round(coalesce(stddev_samp({f}) {inside}, 0), 8) AS {stem}_std_{w}",
                 f"round(min({f}) {inside}, 8) AS {stem}_min_{w}",
             ]
-        slope = f"regr_slope({f}, {_DAYS}) FILTER (WHERE ts > last_ts - INTERVAL 7 DAY)"
-        columns.append(
-            f"CASE WHEN count(*) >= 2 THEN round(coalesce({slope}, 0), 6) END AS {stem}_trend_7d"
-        )
+        week = "FILTER (WHERE ts > last_ts - INTERVAL 7 DAY)"
+        slope = f"CASE WHEN count(*) {week} > 1 THEN regr_slope({f}, {_DAYS}) {week} ELSE 0 END"
+        columns.append(f"CASE WHEN count(*) >= 2 THEN round({slope}, 6) END AS {stem}_trend_7d")
         parts.append(
             f"(SELECT device_id, {', '.join(columns)} FROM (SELECT device_id, ts, {f}, "
             f"max(ts) OVER (PARTITION BY device_id) AS last_ts FROM snap WHERE {f} IS NOT NULL) GROUP BY 1) AS {stem}"
