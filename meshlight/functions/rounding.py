@@ -13,24 +13,34 @@ from pyspark.sql import functions as F
 _SPLITTER = 134217729.0
 
 
-def round_even(value: Column, digits: int) -> Column:
-    """``value`` rounded to ``digits`` decimals; pass a plain column, it is referenced many times."""
-    scale = F.lit(float(10**digits))
-    v = value.cast("double")
+def _product(v: Column, scale: Column) -> Column:
+    """v * scale as an exact sum of a double and its rounding error."""
     spread = v * _SPLITTER
     high = spread - (spread - v)
-    low = v - high
-    a, b = high * scale, low * scale
-    product = a + b
-    shift = product - a
-    error = (a - (product - shift)) + (b - shift)
+    a, b = high * scale, (v - high) * scale
+    near = a + b
+    shift = near - a
+    return F.struct(near.alias("near"), ((a - (near - shift)) + (b - shift)).alias("error"), v.alias("v"))
+
+
+def _nearest(p: Column, scale: Column) -> Column:
     # floor() yields a long; values too large for it have no fraction to round anyway.
-    small = F.abs(v) < 1e9
-    whole = F.floor(F.when(small, product).otherwise(F.lit(0.0))).cast("double")
-    part = product - whole
+    small = F.abs(p["v"]) < 1e9
+    whole = F.floor(F.when(small, p["near"]).otherwise(F.lit(0.0))).cast("double")
+    part = p["near"] - whole
     odd = whole - 2.0 * F.floor(whole / 2.0) == 1.0
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    return F.when(small, (whole + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(v)
+    up = (part > 0.5) | ((part == 0.5) & ((p["error"] > 0) | ((p["error"] == 0) & odd)))
+    return F.when(small, (whole + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(p["v"])
+
+
+def round_even(value: Column, digits: int) -> Column:
+    """``value`` rounded to ``digits`` decimals.
+
+    The one-element arrays bind intermediate values, so that no expression is written out twice.
+    """
+    scale = F.lit(float(10**digits))
+    parts = F.transform(F.array(value.cast("double")), lambda v: _product(v, scale))
+    return F.get(F.transform(parts, lambda p: _nearest(p, scale)), F.lit(0))
 
 
 def fixed_text(value: Column, digits: int) -> Column:

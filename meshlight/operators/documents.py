@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from meshlight import values as V
 from meshlight.functions import text as text_functions
-from meshlight.functions.rounding import fixed_text
+from meshlight.functions.barrier import settled
+from meshlight.functions.rounding import fixed_text, round_even
 from meshlight.functions.vectors import cosine
 from meshlight.session import fits_broadcast
 
@@ -165,7 +166,7 @@ def fleet_text(fleet: DataFrame) -> DataFrame:
         fixed_text(F.coalesce("qoe", F.lit(0.0)), 1), F.lit("/100. Average download: "),
         fixed_text(F.coalesce("dl", F.lit(0.0)), 0), F.lit(" Mbps."),
     )
-    return stats.select(F.when(F.col("n") > 0, line).otherwise(V.NO_FLEET).alias("text"))
+    return settled(stats).select(F.when(F.col("n") > 0, line).otherwise(V.NO_FLEET).alias("text"))
 
 
 def fleet_prompt(summary: DataFrame) -> DataFrame:
@@ -184,22 +185,23 @@ def device_prompt(rows: DataFrame) -> DataFrame:
     line = F.transform(
         "top_features",
         lambda f: F.concat(
-            F.lit("- "), f["name"], F.lit(": value="), F.format_string("%.2f", f["value"]),
-            F.lit(", z-score="), F.format_string("%.2f", f["zscore"]),
+            F.lit("- "), f["name"], F.lit(": value="), fixed_text(f["value"], 2),
+            F.lit(", z-score="), fixed_text(f["zscore"], 2),
         ),
     )
     top = F.when(F.size("top_features") > 0, F.array_join(line, "\n")).otherwise("No anomaly data available.")
 
-    def number(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-
-    numbers = [
-        number(n)
-        for n in (
-            "anomaly_score", "churn_risk", "qoe_composite_latest", "dl_mbps_latest", "ul_mbps_latest",
-            "latency_idle_ms",
-        )
+    # Column and decimals of each number of the prompt, in its order.
+    slots = [
+        ("anomaly_score", 2),
+        ("churn_risk", 0),
+        ("qoe_composite_latest", 0),
+        ("dl_mbps_latest", 0),
+        ("ul_mbps_latest", 0),
+        ("latency_idle_ms", 1),
     ]
-    return rows.select(
+    filled = settled(rows.withColumns({n: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n, _ in slots}))
+    numbers = [round_even(F.col(n), digits) for n, digits in slots]
+    return filled.select(
         "device_id", F.format_string(V.DEVICE_PROMPT, F.col("device_id"), *numbers, top, F.col("context")).alias("prompt")
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlight.functions.barrier import settled
+
 
 def align(rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ("device_id",)) -> DataFrame:
     """Exactly the listed features as doubles; a missing column or value is 0."""
@@ -73,4 +75,4 @@ def top_features(rows: DataFrame, stats: DataFrame, features: Sequence[str], n:
         F.transform("_z", lambda z, i: F.struct((-z["zscore"]).alias("o"), i.alias("i"), z.alias("z")))
     )
     top = F.transform(F.slice(ranked, 1, n), lambda r: r["z"])
-    return found.withColumn("top_features", top).drop("_stats", "_z")
+    return settled(found.withColumn("top_features", top).drop("_stats", "_z"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlight import values as V
+from meshlight.functions.barrier import settled
 from meshlight.functions.nested import at
 from meshlight.sources.schemas import PAYLOADS
 
@@ -207,13 +208,6 @@ def _payload_kind() -> Column:
     return kind
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """The same rows behind a one-row generator, which the optimizer moves no filter or projection
-    through. Without it a filter on a derived column copies the JSON decoding into the filter, once
-    per field it looks at."""
-    return rows.select(F.inline(F.array(F.struct("*"))))
-
-
 def decode(messages: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """Decode and check messages (topic, payload, ingest_ts).
 

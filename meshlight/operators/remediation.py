@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlight import values as V
+from meshlight.functions.barrier import settled
+from meshlight.functions.rounding import fixed_text
 from meshlight.operators.store import page
 
 _REMEDY_FIELDS = ("action", "title", "description", "auto", "impact")
@@ -31,13 +31,13 @@ def diagnose(rows: DataFrame) -> DataFrame:
     first = F.get(F.array_compact(F.transform(top, verdict)), F.lit(0))
     moderate = F.size(F.filter(top, lambda f: f["zscore"] >= 1.5))
     crowded = F.coalesce(F.col("wifi_pct_2_4ghz") > 0.6, F.lit(False)) if "wifi_pct_2_4ghz" in rows.columns else F.lit(False)
-    return rows.withColumn(
-        "diagnosis",
+    verdicts = (
         F.when(crowded, "band_congestion")
         .when(first.isNotNull(), first)
         .when(moderate >= 3, "degraded_general")
-        .otherwise("none"),
+        .otherwise("none")
     )
+    return settled(rows.withColumn("diagnosis", verdicts))
 
 
 def plan(rows: DataFrame) -> DataFrame:
@@ -54,9 +54,8 @@ def plan(rows: DataFrame) -> DataFrame:
     )
     found = rows.withColumn("_remedy", F.try_element_at(remedies, F.col("diagnosis")))
     out = found.withColumns({n: F.col(f"_remedy.{n}") for n in _REMEDY_FIELDS})
-    return out.withColumn(
-        "confidence", F.when(F.col("action").isNotNull(), F.col("anomaly_score"))
-    ).drop("_remedy")
+    confidence = F.when(F.col("action").isNotNull(), F.col("anomaly_score"))
+    return settled(out.withColumn("confidence", confidence).drop("_remedy"))
 
 
 def route(rows: DataFrame, auto_enabled: bool = False) -> DataFrame:
@@ -181,8 +180,6 @@ def verified(runs: DataFrame, scores: DataFrame) -> DataFrame:
     As-of without a range join: both sides are put on one time line per device and chunked by day;
     a run takes the next score of its day, or the first score of the next day that has one.
     """
-    from pyspark.sql import Window
-
     points = scores.select("device_id", "ts", F.col("score"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("before"))
     asked = runs.select(
         "device_id", F.col("completed_at").alias("ts"), F.lit(None).cast("double").alias("score"), "id",
@@ -232,7 +229,7 @@ def outbox(recs: DataFrame, product: str = "Fleet") -> DataFrame:
     )
     marks = F.create_map(*[F.lit(x) for pair in V.IMPACT_MARKS.items() for x in pair])
     mark = F.coalesce(F.try_element_at(marks, F.col("impact")), F.lit(":white_circle:"))
-    share = F.concat(F.format_string("%.0f", F.bround(F.col("confidence") * 100)), F.lit("%"))
+    share = F.concat(fixed_text(F.col("_percent"), 0), F.lit("%"))
     text = F.concat(
         mark, F.lit(f" *{product} Agent Alert*\nDevice `"), F.col("device_id"),
         F.lit("` needs attention.\n*Diagnosis:* "), F.col("diagnosis"),
@@ -241,7 +238,7 @@ def outbox(recs: DataFrame, product: str = "Fleet") -> DataFrame:
         F.lit("\nReview in the Admin Console."),
     )
     subject = F.concat(F.lit(f"[{product}] Agent Alert: "), F.col("title"), F.lit(" ("), F.col("device_id"), F.lit(")"))
-    return recs.select(
+    return settled(recs.withColumn("_percent", F.col("confidence") * 100.0)).select(
         F.col("id").alias("recommendation_id"),
         "device_id",
         "impact",

@@ -441,7 +441,7 @@ _LABEL_SQL = """coalesce(nullif(concat_ws(' ',
   CASE WHEN avg(streaming) > 0.5 THEN 'Streamers' END), ''), 'Standard')"""
 SUMMARY_SQL = (
     "described AS (SELECT CAST(segment AS INTEGER) AS segment, count(*) AS devices, "
-    + ", ".join(f"round(avg({f}), 2) AS avg_{f}" for f in SUMMARY_FEATURES)
+    + ", ".join(f"CAST(printf('%.2f', avg({f})) AS DOUBLE) AS avg_{f}" for f in SUMMARY_FEATURES)
     + f", {_LABEL_SQL} AS label, segment = -1 AS is_outlier FROM placed JOIN aligned USING (device_id) "
     "JOIN (SELECT device_id, coalesce(traffic_streaming_pct, 0) AS streaming FROM fleet) USING (device_id) GROUP BY segment)"
 )

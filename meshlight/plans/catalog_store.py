@@ -247,7 +247,7 @@ def qoe_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     "tests AS (SELECT device_id, count(*) AS n, arg_max(dl_mbps_latest / provisioned_dl_mbps, ts) AS ratio FROM snap "
     f"WHERE {_since(30)} AND dl_mbps_latest IS NOT NULL GROUP BY 1)",
     sql=f"""SELECT subscriber_id, count(*) AS subscriber_device_count,
-      round(sum(q.s) / sum(q.n), 8) AS subscriber_avg_qoe_7d, min(q.lowest) AS subscriber_min_qoe_7d,
+      round(sum(q.s) / sum(q.n), 8) AS subscriber_avg_qoe_7d, round(min(q.lowest), 8) AS subscriber_min_qoe_7d,
       CAST(coalesce(sum(c.n), 0) AS BIGINT) AS subscriber_total_events_30d,
       round(CAST(coalesce(sum(t.n), 0) AS DOUBLE) * 7 / 30.0, 8) AS subscriber_speed_test_frequency,
       CAST(date_diff('day', min(first_seen), {AS_OF}) AS INTEGER) AS subscriber_tenure_days,

@@ -16,14 +16,14 @@ WEEK_START = "2024-01-24 00:00:00"
 
 # feature -> (event type whose messages carry it, formula over value v and integer k)
 SNAPSHOT_FORMULAS = {
-    "dl_mbps_latest": ("view", "v * 10"),
-    "ul_mbps_latest": ("view", "v * 2"),
+    "dl_mbps_latest": ("view", "v * 60 / 7"),
+    "ul_mbps_latest": ("view", "v * 13 / 7"),
     "dl_capacity_pct": ("view", "k + 0"),
-    "dl_bloat_pct": ("view", "v * 5"),
+    "dl_bloat_pct": ("view", "v * 30 / 7"),
     "latency_idle_ms": ("view", "k * 3 / 4"),
-    "jitter_idle_ms": ("view", "v / 8"),
+    "jitter_idle_ms": ("view", "v / 7"),
     "provisioned_dl_mbps": ("view", "500 + k * 5"),
-    "qoe_composite_latest": ("signup", "least(v * 2, 100)"),
+    "qoe_composite_latest": ("signup", "least(v * 13 / 7, 100)"),
     "qoe_wan_latest": ("signup", "k + 0"),
     "qoe_wifi_latest": ("signup", "100 - k"),
     "qoe_mesh_latest": ("signup", "least(v + k, 100)"),
@@ -31,14 +31,14 @@ SNAPSHOT_FORMULAS = {
     "qoe_worst_category": ("signup", "k % 5"),
     "wifi_client_count": ("click", "k % 25"),
     "wifi_avg_rssi": ("click", "0 - 30 - k / 2"),
-    "wifi_avg_retransmit_rate": ("click", "v / 4"),
+    "wifi_avg_retransmit_rate": ("click", "v * 2 / 7"),
     "wifi_airtime_util_max": ("click", "k * 7 / 8"),
     "wifi_pct_2_4ghz": ("click", "k / 128"),
     "mesh_satellite_count": ("click", "k % 4"),
-    "mesh_backhaul_min_dl_mbps": ("click", "v * 4"),
+    "mesh_backhaul_min_dl_mbps": ("click", "v * 25 / 7"),
     "traffic_max_risk_score": ("purchase", "k * 3 / 2"),
-    "traffic_total_bytes_1h": ("purchase", "v * 1024"),
-    "traffic_streaming_pct": ("purchase", "k / 100"),
+    "traffic_total_bytes_1h": ("purchase", "v * 7000 / 3"),
+    "traffic_streaming_pct": ("purchase", "k / 128"),
 }
 SNAPSHOT_FEATURES = list(SNAPSHOT_FORMULAS)
 
