@@ -20,7 +20,8 @@ def _product(v: Column, scale: Column) -> Column:
     a, b = high * scale, (v - high) * scale
     near = a + b
     shift = near - a
-    return F.struct(near.alias("near"), ((a - (near - shift)) + (b - shift)).alias("error"), v.alias("v"))
+    error = (a - (near - shift)) + (b - shift)
+    return F.named_struct(F.lit("near"), near, F.lit("error"), error, F.lit("v"), v)
 
 
 def _nearest(p: Column, scale: Column) -> Column:

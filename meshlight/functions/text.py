@@ -22,7 +22,7 @@ def _close(done: Column, open_: Column) -> Column:
 
 
 def _state(done: Column, open_: Column) -> Column:
-    return F.struct(done.alias("done"), open_.alias("open"))
+    return F.named_struct(F.lit("done"), done, F.lit("open"), open_)
 
 
 def _pack(pieces: Column, glue: str, limit: int, done: Column) -> Column:

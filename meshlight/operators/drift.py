@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlight.operators.ordering import cumulative, quantiles
+from meshlight.session import written
 
 BINS = 10
 PSI_HIGH, PSI_MODERATE = 0.25, 0.10
@@ -22,14 +23,16 @@ def long_form(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def both(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """Distinct (feature, value) with the number of reference and current rows.
+    """Distinct (feature, value) with the number of reference and current rows, as a written table.
 
-    The only exchange that sees raw rows; it follows a map-side combine.
+    The only exchange that sees raw rows; it follows a map-side combine. Both tests read the table
+    several times.
     """
     marked = reference.withColumn("ref", F.lit(1)).withColumn("cur", F.lit(0)).unionByName(
         current.withColumn("ref", F.lit(0)).withColumn("cur", F.lit(1))
     )
-    return marked.groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    counts = marked.groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    return written(counts, "drift-counts")
 
 
 def psi(counts: DataFrame, bins: int = BINS) -> DataFrame:
@@ -75,17 +78,19 @@ def _weighted_quantiles(sample: DataFrame, bins: int) -> DataFrame:
 
 
 def _ks_tail(statistic: Column, effective: Column) -> Column:
-    """Two-sided p-value from the asymptotic distribution: 2 * sum (-1)^(j-1) exp(-2 j^2 x^2)."""
-    x = F.sqrt(effective) * statistic
-    alternating = sum(
-        ((1.0 if j % 2 else -1.0) * F.exp(-2.0 * j * j * x * x) for j in range(1, 101)), F.lit(0.0)
-    )
+    """Two-sided p-value from the asymptotic distribution: 2 * sum (-1)^(j-1) exp(-2 j^2 x^2),
+    where x^2 is ``effective`` times the squared statistic."""
+    square = effective * statistic * statistic
+
+    def series(terms: int, term) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda j: term(j.cast("double")))
+        return F.aggregate(each, F.lit(0.0), lambda total, x: total + x)
+
+    alternating = 2.0 * series(100, lambda j: F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * j * j * square))
     # The alternating series converges too slowly near 0; there the dual (theta) series is used.
-    dual = sum(
-        (F.exp(-((2 * j - 1) ** 2) * math.pi**2 / (8.0 * x * x)) for j in range(1, 21)), F.lit(0.0)
-    )
-    small = 1.0 - F.lit(math.sqrt(2.0 * math.pi)) / x * dual
-    tail = F.when(x < 1e-8, F.lit(1.0)).when(x < 0.5, small).otherwise(2.0 * alternating)
+    dual = series(20, lambda j: F.exp(-(2 * j - 1) * (2 * j - 1) * math.pi**2 / (8.0 * square)))
+    small = 1.0 - F.lit(math.sqrt(2.0 * math.pi)) / F.sqrt(square) * dual
+    tail = F.when(square < 1e-16, F.lit(1.0)).when(square < 0.25, small).otherwise(alternating)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))
 
 

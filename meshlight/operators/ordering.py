@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlight.session import written
+
 SAMPLE_ROWS = 4096
 
 
@@ -36,7 +38,8 @@ def with_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, co
     ).scalar()
     return (
         df.withColumn("_edges", edges)
-        .withColumn(column, F.size(F.filter("_edges", lambda e: e <= key)))
+        # Never null, or a join on it would push a null check, edges and all, down to the scan.
+        .withColumn(column, F.coalesce(F.size(F.filter("_edges", lambda e: e <= key)), F.lit(0)))
         .drop("_edges")
     )
 
@@ -62,7 +65,8 @@ def cumulative(
     """Add ``<count>_before`` for each count: its sum over smaller values of the same group.
 
     ``df`` holds one row per (group, value), as left by an aggregation, so that a value shared by a
-    third of the table is one row here.
+    third of the table is one row here. It is read three times (edges, range totals, rows), so the
+    callers pass a written table.
     """
     by = list(by)
     ranged = with_range(df, [*by, value])
@@ -101,7 +105,10 @@ def quantiles(
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull())
-    counted = present.withColumnRenamed(weight, "n") if weight else value_counts(present, value, by)
+    if weight:
+        counted = present.withColumnRenamed(weight, "n")
+    else:
+        counted = written(value_counts(present, value, by), "value-counts")
     ranked = cumulative(counted, value, ["n"], by)
     totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
     joined = ranked.join(totals, by) if by else ranked.withColumn("total", totals.scalar())

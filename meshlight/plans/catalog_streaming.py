@@ -41,7 +41,7 @@ def _drained(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf_dir: str) -> str:
     out = work_path(spark, "ingest")
-    T.messages(spark, sf_dir).write.json(f"{out}/incoming")
+    messages.write_messages(T.messages(spark, sf_dir), f"{out}/incoming")
     start_ingest(messages.stream_messages(spark, f"{out}/incoming"), out, f"{out}/state").awaitTermination()
     return out
 

@@ -13,6 +13,11 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MESSAGE).json(path)
 
 
+def write_messages(rows: DataFrame, path: str) -> None:
+    """Store messages as JSON lines with their arrival time to the microsecond."""
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+
+
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The same files as a stream."""
     reader = spark.readStream.schema(MESSAGE)

@@ -66,6 +66,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else df
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core a part of a table that is stored in fewer files than there are cores.
+
+    Decoding is CPU-bound; a table of many files is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, device_id, user_id, event_type, v, k) of the event table."""
     return read(spark, sf_dir, "events").select(
@@ -257,7 +266,7 @@ _KIND = """
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the event table as a telemetry message."""
-    rows = events(spark, sf_dir).withColumns(
+    rows = spread(events(spark, sf_dir)).withColumns(
         {"mid": F.concat(F.lit("m"), "event_id"), "kind": F.expr(_KIND)}
     )
     root = F.when((F.col("kind") == "meta") & (F.col("k") >= 95), "router").otherwise(V.TOPIC_ROOT)
