@@ -38,7 +38,7 @@ def feature(spark, topic, payload):
 
 
 def test_topic_split(spark):
-    topics = [f"{ROOT}/dev-123/qoe", f"{ROOT}/dev-456/flowstatd/stats", "invalid/topic", f"{ROOT}/d/a/b/c", f"other/d/qoe"]
+    topics = [f"{ROOT}/dev-123/qoe", f"{ROOT}/dev-456/flowstatd/stats", "invalid/topic", f"{ROOT}/d/a/b/c", "other/d/qoe"]
     rows = parse.split_topic(spark.createDataFrame([(t,) for t in topics], "topic string")).collect()
     assert [(r.device_id, r.msg_type, r.subtopic) for r in rows] == [
         ("dev-123", "qoe", ""), ("dev-456", "flowstatd", "stats"), (None, None, None), ("d", "a", "b/c"), (None, None, None),

@@ -132,7 +132,7 @@ def test_ks_tail_is_continuous(spark):
 def test_knee(spark):
     rng = np.random.default_rng(2)
     for values in ([1.0, 1.0, 1.0, 4.0], [1.0, 2.0], list(rng.integers(0, 9, 40).astype(float)), list(rng.uniform(size=50)), [2.0] * 5):
-        got = segments.knee(spark.createDataFrame([(v,) for v in values], "distance double")).first().eps
+        got = segments.knee(spark.createDataFrame([(float(v),) for v in values], "distance double")).first().eps
         k = np.sort(values)
         expected = 0.5 if len(k) < 3 else k[np.argmax(np.diff(np.diff(k))) + 1]
         assert got == expected, values
