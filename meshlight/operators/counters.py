@@ -99,6 +99,20 @@ def device_metadata(heartbeats: DataFrame, as_of: str | Column) -> DataFrame:
     )
 
 
+def device_owners(heartbeats: DataFrame) -> DataFrame:
+    """Latest subscriber and first sighting per device.
+
+    Heartbeats are first reduced to one row per (device, subscriber) with fixed-size buffers, which
+    Spark hashes; picking a text by time straight from the raw rows would sort them.
+    """
+    spans = heartbeats.where(F.col("subscriber_id").isNotNull()).groupBy("device_id", "subscriber_id").agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last")
+    )
+    return spans.groupBy("device_id").agg(
+        F.max_by("subscriber_id", "last").alias("subscriber_id"), F.min("first").alias("first_seen")
+    )
+
+
 def subscriber_rollup(
     heartbeats: DataFrame,
     qoe: DataFrame,
@@ -114,9 +128,7 @@ def subscriber_rollup(
     device before anything is joined.
     """
     end, ts = _time(as_of), F.col("ts")
-    owners = heartbeats.where(F.col("subscriber_id").isNotNull()).groupBy("device_id").agg(
-        F.max_by("subscriber_id", "ts").alias("subscriber_id"), F.min("ts").alias("first_seen")
-    )
+    owners = device_owners(heartbeats)
     quality = qoe.where(within(ts, as_of, 7)).groupBy("device_id").agg(
         F.sum("value").alias("qoe_sum"), F.count("value").alias("qoe_n"), F.min("value").alias("qoe_min")
     )

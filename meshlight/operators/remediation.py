@@ -177,28 +177,29 @@ def verified(runs: DataFrame, scores: DataFrame) -> DataFrame:
     """Executions with the first score after the run; verified when it is lower.
 
     ``runs``: (id, device_id, completed_at, anomaly_score); ``scores``: (device_id, ts, score).
-    As-of without a range join: both sides are put on one time line per device and chunked by day;
-    a run takes the next score of its day, or the first score of the next day that has one.
+    As-of without a range join: both sides are put on one time line per device and cut by the hour;
+    a run takes the next score of its hour, or the first score of the next hour that has one. The
+    largest sort is one device's hour.
     """
     points = scores.select("device_id", "ts", F.col("score"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("before"))
     asked = runs.select(
         "device_id", F.col("completed_at").alias("ts"), F.lit(None).cast("double").alias("score"), "id",
         F.col("anomaly_score").alias("before"),
     )
-    line = points.unionByName(asked).withColumn("_day", F.to_date("ts"))
+    line = points.unionByName(asked).withColumn("_hour", F.date_trunc("hour", "ts"))
     # A score at the very time of the run is not after it: scores sort before runs.
-    inside = Window.partitionBy("device_id", "_day").orderBy("ts", F.col("id").isNotNull()).rowsBetween(
+    inside = Window.partitionBy("device_id", "_hour").orderBy("ts", F.col("id").isNotNull()).rowsBetween(
         1, Window.unboundedFollowing
     )
     rows = line.withColumn("_next", F.first("score", ignorenulls=True).over(inside))
-    first = points.groupBy("device_id", F.to_date("ts").alias("_day")).agg(F.min_by("score", "ts").alias("_first"))
-    days = rows.select("device_id", "_day").distinct().join(first, ["device_id", "_day"], "left")
-    later = Window.partitionBy("device_id").orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    days = days.select("device_id", "_day", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    first = points.groupBy("device_id", F.date_trunc("hour", "ts").alias("_hour")).agg(F.min_by("score", "ts").alias("_first"))
+    hours = rows.select("device_id", "_hour").distinct().join(first, ["device_id", "_hour"], "left")
+    later = Window.partitionBy("device_id").orderBy("_hour").rowsBetween(1, Window.unboundedFollowing)
+    hours = hours.select("device_id", "_hour", F.first("_first", ignorenulls=True).over(later).alias("_later"))
     after = F.coalesce("_next", "_later")
     return (
         rows.where(F.col("id").isNotNull())
-        .join(days, ["device_id", "_day"])
+        .join(hours, ["device_id", "_hour"])
         .select("id", "device_id", F.col("before"), after.alias("after"))
         .withColumn("verified", F.coalesce(F.col("after") < F.col("before"), F.lit(False)))
     )
