@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlight.operators.ordering import cumulative, quantiles
+from meshlight.operators.ordering import cumulative, quantiles_of_ranked
 from meshlight.session import written
 
 BINS = 10
@@ -23,16 +23,17 @@ def long_form(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def both(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """Distinct (feature, value) with the number of reference and current rows, as a written table.
+    """Distinct (feature, value) with the number of reference and current rows at the value and below
+    it, as a written table that both tests read.
 
-    The only exchange that sees raw rows; it follows a map-side combine. Both tests read the table
-    several times.
+    The only exchange that sees raw rows is the count, which follows a map-side combine.
     """
     marked = reference.withColumn("ref", F.lit(1)).withColumn("cur", F.lit(0)).unionByName(
         current.withColumn("ref", F.lit(0)).withColumn("cur", F.lit(1))
     )
     counts = marked.groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
-    return written(counts, "drift-counts")
+    ranked = cumulative(written(counts, "drift-counts"), "value", ["ref", "cur"], ["feature"])
+    return written(ranked, "drift-ranks")
 
 
 def psi(counts: DataFrame, bins: int = BINS) -> DataFrame:
@@ -42,8 +43,8 @@ def psi(counts: DataFrame, bins: int = BINS) -> DataFrame:
     closed; current values outside the edges fall in no bin but count in the total. Shares are
     smoothed by one row per nominal bin. No reference, no current rows or a single edge give 0.
     """
-    sample = counts.where("ref > 0").select("feature", "value", "ref")
-    edges = _weighted_quantiles(sample, bins).select("feature", F.array_distinct("quantiles").alias("edges"))
+    deciles = quantiles_of_ranked(counts, "value", [i / bins for i in range(bins + 1)], ["feature"], "ref")
+    edges = deciles.where("total > 0").select("feature", F.array_distinct("quantiles").alias("edges"))
     # One row per feature: bounded by the schema, not by the data.
     placed = counts.join(F.broadcast(edges), "feature")
     last = F.size("edges")
@@ -69,12 +70,10 @@ def psi(counts: DataFrame, bins: int = BINS) -> DataFrame:
     terms = F.transform(F.sequence(F.lit(1), F.col("n_edges") - 1), term)
     total = F.aggregate(terms, F.lit(0.0), lambda t, x: t + x)
     usable = (F.col("n_edges") >= 2) & (F.col("ref_total") > 0) & (F.col("cur_total") > 0)
-    return grouped.select("feature", F.when(usable, total).otherwise(0.0).alias("psi"))
-
-
-def _weighted_quantiles(sample: DataFrame, bins: int) -> DataFrame:
-    """Exact quantiles of (feature, value) rows that carry their multiplicity in ``ref``."""
-    return quantiles(sample, "value", [i / bins for i in range(bins + 1)], by=["feature"], weight="ref")
+    found = grouped.select("feature", F.when(usable, total).otherwise(0.0).alias("psi"))
+    # A feature without reference rows has no edges at all.
+    named = counts.select("feature").distinct().join(found, "feature", "left")
+    return named.select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def _ks_tail(statistic: Column, effective: Column) -> Column:
@@ -98,10 +97,10 @@ def ks(counts: DataFrame, significance: float = 0.05) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic, p-value and decision per feature.
 
     Fewer than five rows on either side give (0, 1, false). The largest gap between the two
-    distribution functions is taken over distinct values ranked in ranges, never in one task.
+    distribution functions is taken over distinct values.
     """
     totals = counts.groupBy("feature").agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
-    ranked = cumulative(counts, "value", ["ref", "cur"], ["feature"]).join(F.broadcast(totals), "feature")
+    ranked = counts.join(F.broadcast(totals), "feature")  # one row per feature
     gap = F.abs(
         F.try_divide(F.col("ref_before") + F.col("ref"), F.col("n_ref"))
         - F.try_divide(F.col("cur_before") + F.col("cur"), F.col("n_cur"))

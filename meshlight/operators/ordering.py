@@ -97,25 +97,25 @@ def quantiles(
     value: str,
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    weight: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: columns (group, total, quantiles array).
-
-    With ``weight`` the rows are already one per (group, value) and carry their multiplicity.
-    """
+    """Exact quantiles with linear interpolation: columns (group, total, quantiles array)."""
     by = list(by)
     present = df.where(F.col(value).isNotNull())
-    if weight:
-        counted = present.withColumnRenamed(weight, "n")
-    else:
-        counted = written(value_counts(present, value, by), "value-counts")
-    ranked = cumulative(counted, value, ["n"], by)
-    totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
-    joined = ranked.join(totals, by) if by else ranked.withColumn("total", totals.scalar())
+    counted = written(value_counts(present, value, by), "value-counts")
+    return quantiles_of_ranked(cumulative(counted, value, ["n"], by), value, probabilities, by)
+
+
+def quantiles_of_ranked(
+    ranked: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), count: str = "n"
+) -> DataFrame:
+    """Quantiles from cumulative() output, for the rows counted in ``count`` (zero is allowed)."""
+    by = list(by)
+    n, before = F.col(count), F.col(f"{count}_before")
+    totals = ranked.groupBy(*by).agg(F.sum(count).alias("total"))
+    joined = ranked.join(totals, by) if by else ranked.withColumn("total", totals.select("total").scalar())
 
     def at(position: Column) -> Column:
-        held = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
-        return F.max(F.when(held, F.col(value)))
+        return F.max(F.when((before <= position) & (position < before + n), F.col(value)))
 
     picks = []
     for i, p in enumerate(probabilities):

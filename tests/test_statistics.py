@@ -118,6 +118,8 @@ def test_drift(spark):
         assert found[name].ks_statistic == pytest.approx(gap, abs=1e-4)
     assert found["moved"].is_drifted and found["moved"].severity == "high" and not found["constant"].is_drifted
     assert found["constant"].psi == 0.0 and found["constant"].ks_p_value == 1.0
+    none = drift.report(to_frame({"a": cur["same"]}).limit(0), to_frame({"a": cur["same"]}), ["a"]).first()
+    assert (none.psi, none.ks_statistic, none.is_drifted) == (0.0, 0.0, False)
     few = drift.report(to_frame({"a": ref["same"][:4]}), to_frame({"a": cur["moved"][:200]}), ["a"]).first()
     assert (few.ks_statistic, few.ks_p_value) == (0.0, 1.0)
 
