@@ -19,8 +19,8 @@ SAMPLE_ROWS = 4096
 
 
 def _ranges(df: DataFrame) -> int:
-    """As many ranges as the session has shuffle partitions, within the edge array's bound."""
-    return max(2, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """A few ranges per shuffle partition, so that hashing spreads them evenly; 512 at most."""
+    return max(16, min(512, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def with_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, column: str = "_range") -> DataFrame:
