@@ -1,9 +1,11 @@
-"""Session settings, the shared work folder, and size checks before anything is broadcast."""
+"""Session settings and the work tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +19,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# Largest table, in rows, that may be shipped whole to every task by the Arrow operators.
-BROADCAST_ROWS = 200_000
-
-
 def tuned(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller owns."""
     for key, value in RUNTIME_CONF.items():
@@ -46,12 +44,14 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test session) gets a folder of its own.
+    Only a single-machine session (``local[...]``) that names none gets a folder of its own; on a
+    cluster that would leave every executor's part files on its own disk, so it is an error there.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors of the cluster share")
         named = tempfile.mkdtemp(prefix="meshlight-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -64,12 +64,40 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` and the folder it wrote, for callers that drop the table when they are done."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove work tables through the file system that holds them."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def job_scope(spark: SparkSession) -> Iterator[None]:
+    """Own the work tables written inside: all are removed when the job ends, also when it fails."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_SCOPES.pop())
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """True when the table has at most ``max_rows`` rows; reads no more than needed to tell."""
     return df.limit(max_rows + 1).count() <= max_rows
