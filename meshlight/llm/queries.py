@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlight.llm import quality
-from meshlight.session import tuned
+from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,8 @@ def remainder(column: str, modulus: int) -> Column:
 
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signalled = quality.signals(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    # Two integers per rule and row, read twice: by the fit and by the verdicts.
+    signalled = written(quality.signals(table(spark, sf_dir, "documents"), keep=["doc_id"]), "quality-signals")
     judged = quality.judged(signalled, quality.fit(signalled))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
