@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm import packing, quality, simhash
+from meshlight.llm import extraction, packing, quality, simhash
 from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = extraction.extracted(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return extracted.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
