@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm import extraction, mixing, packing, quality, simhash
+from meshlight.llm import extraction, mixing, packing, quality, simhash, url_filters
 from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,76 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies"
     )
+
+
+# The tables hold no filter lists and no fetch times: both are derived from the pages, by hashes of
+# their urls. Every host, every host with its first segment, and every sixth url's host with two
+# segments is entered into some list, with up to three dated changes.
+_DAY0 = 1_600_000_000
+_DAYS = 730
+_LISTS = (("adult", "block"), ("malware", "block"), ("spam", "block"), ("trusted", "allow"))
+
+
+def number(text: Column) -> Column:
+    """A number below 2^32 from the md5 of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    seed = F.concat(F.lit("fetch|"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    return pages.withColumn("fetched", F.lit(_DAY0) + F.pmod(number(seed), F.lit(_DAYS * 86_400)))
+
+
+def list_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("url").distinct()
+    host, segments = url_filters.host_of(F.col("url")), url_filters.path_of(F.col("url"))
+    one = F.concat_ws("/", host, F.get(segments, F.lit(0)))
+    two = F.concat_ws("/", host, F.get(segments, F.lit(0)), F.get(segments, F.lit(1)))
+    candidates = F.array(
+        host, F.when(F.size(segments) >= 1, one),
+        F.when((F.size(segments) >= 2) & (F.pmod(number(F.col("url")), F.lit(6)) == 0), two),
+    )
+    patterns = urls.where(host != "").select(F.explode(candidates).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    names = F.array(*[F.struct(F.lit(n).alias("list"), F.lit(k).alias("kind")) for n, k in _LISTS])
+    entered = patterns.withColumn("of", F.explode(names)).select("pattern", "of.list", "of.kind")
+    turns = entered.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn(
+        "n", number(F.concat_ws("|", "list", "pattern", F.col("turn").cast("string")))
+    )
+    return turns.where("n % 5 < 2").select(
+        "list", "kind", "pattern", (F.lit(_DAY0) + F.floor(F.col("n") / 5) % _DAYS * 86_400).alias("at"),
+        F.when(F.col("turn") == 1, "remove").otherwise("add").alias("action"),
+    )
+
+
+_OP9_SQL = f"""
+WITH page AS (SELECT page_id, url, {_DAY0} + CAST('0x' || md5('fetch|' || coalesce(CAST(page_id AS VARCHAR), ''))[1:8] AS BIGINT)
+    % {_DAYS * 86_400} AS fetched FROM pages),
+parts AS (SELECT DISTINCT url, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\\.$', '') AS host,
+    [s FOR s IN string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/') IF s <> ''] AS seg
+    FROM pages WHERE url IS NOT NULL),
+pattern AS (SELECT host AS pattern FROM parts WHERE host <> '' UNION SELECT host || '/' || seg[1] FROM parts WHERE host <> '' AND len(seg) >= 1
+    UNION SELECT host || '/' || seg[1] || '/' || seg[2] FROM parts
+    WHERE host <> '' AND len(seg) >= 2 AND CAST('0x' || md5(url)[1:8] AS BIGINT) % 6 = 0),
+turn AS (SELECT list, kind, pattern, turn, CAST('0x' || md5(list || '|' || pattern || '|' || turn)[1:8] AS BIGINT) AS n
+    FROM pattern, (VALUES {", ".join(f"('{n}', '{k}')" for n, k in _LISTS)}) AS l(list, kind), (VALUES (0), (1), (2)) AS t(turn)),
+change AS (SELECT DISTINCT list, kind, pattern, {_DAY0} + (n // 5) % {_DAYS} * 86400 AS since,
+    CASE WHEN turn = 1 THEN 'remove' ELSE 'add' END AS action FROM turn WHERE n % 5 < 2),
+entry AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY list, kind, pattern ORDER BY since, action) AS until FROM change)
+    WHERE action = 'add' AND (until IS NULL OR until > since)),
+hit AS (SELECT page_id, p.url, fetched, list, kind, pattern FROM page p JOIN parts u ON p.url = u.url JOIN entry e
+    ON since <= fetched AND (until IS NULL OR until > fetched) AND (host = pattern OR ends_with(host, '.' || pattern)
+    OR starts_with(host || '/' || array_to_string(seg, '/') || '/', pattern || '/'))),
+verdict AS (SELECT page_id, url, fetched, count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+    max({{'a': length(pattern), 'b': kind = 'allow', 'c': pattern}}) AS top FROM hit GROUP BY ALL)
+SELECT p.page_id, p.url, p.fetched, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, top.c AS pattern,
+    coalesce(NOT top.b, false) AS blocked
+FROM page p LEFT JOIN verdict v ON p.page_id IS NOT DISTINCT FROM v.page_id AND p.url = v.url AND p.fetched = v.fetched
+"""
+
+
+@query("op9_url_filters", _OP9_SQL)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filtered(captures(spark, sf_dir), list_changes(spark, sf_dir)).select(
+        "page_id", "url", "fetched", "n_active", "lists", "pattern", "blocked"
+    )
