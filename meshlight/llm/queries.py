@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm import extraction, mixing, packing, quality, simhash, url_filters
+from meshlight.llm import extraction, mixing, order_minhash, packing, quality, simhash, url_filters
 from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +156,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filtered(captures(spark, sf_dir), list_changes(spark, sf_dir)).select(
         "page_id", "url", "fetched", "n_active", "lists", "pattern", "blocked"
     )
+
+
+@query("op6_order_minhash")
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_minhash.followed(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
