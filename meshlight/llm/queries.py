@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm import extraction, mixing, order_minhash, packing, quality, simhash, url_filters
+from meshlight.llm import extraction, lm, mixing, order_minhash, packing, quality, simhash, url_filters
 from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,12 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
+    model = lm.train(documents.where(~F.col("held_out")))
+    return lm.scored(documents, model, keep=["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
