@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm import extraction, lm, mixing, order_minhash, packing, quality, simhash, url_filters
+from meshlight.llm import extraction, licenses, lm, mixing, order_minhash, packing, quality, simhash, url_filters
 from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(documents, model, keep=["doc_id", "held_out"]).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op4_license_scans")
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scanned(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.size("spans").alias("n_spans"),
+    )
