@@ -8,8 +8,8 @@ room left; when nothing whole fits, the largest piece is cut to fill the sequenc
 cannot be filled are cut at a power of two, so that none needs padding.
 
 Token ids come from a public tokenizer. Its splitting never joins a word to the white space after
-it, so a text is cut before every single space between two words, and each different stretch is
-encoded once per worker.
+it, so a text is cut before every single space between two words and between a letter and a mark, and
+each different stretch is encoded once per worker.
 """
 
 from __future__ import annotations
@@ -35,10 +35,17 @@ PIECE = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id
 # Bytes of text that are tokenized and pooled at a time, and ids sent on in one batch.
 POOL_BYTES = 8 << 20
 SENT_IDS = 1 << 20
+JOINED = 20_000  # stretches encoded as one text
 # Stretches that a worker remembers; beyond that it starts afresh, which changes no result.
 REMEMBERED = 3_000_000
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(rb'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~')] = True
+
+
 class Encoder:
     """Token ids of runs of documents, remembering the ids of every stretch it has met."""
 
@@ -48,6 +55,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The vocabulary writes one character for each byte of a token.
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -57,14 +69,36 @@ class Encoder:
         self.pool = np.zeros(0, np.uint32)
         self.used = 0
 
-    def _learn(self, hashes: np.ndarray, stretches: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(stretches, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(lengths.sum())
+    def _encoded(self, stretches: list[bytes], joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches, one after another, and how many each has; joinable ones come first.
+
+        Those that begin at a cut and do not end in white space are encoded as one text, which splits
+        at the same places; the tokens' lengths in bytes tell where the ids of each end.
+        """
+        ids, lengths = [], []
+        together = [x for x, j in zip(stretches, joinable) if j]
+        for k in range(0, len(together), JOINED):
+            group = together[k : k + JOINED]
+            found = np.array(self.tokenizer.encode_batch_fast([b"".join(group).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.token_bytes[found]), np.cumsum([len(x) for x in group])) + 1
+            ids.append(found)
+            lengths.append(np.diff(ends, prepend=0))
+        alone = [x.decode() for x, j in zip(stretches, joinable) if not j]
+        if alone:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            ids.append(np.array([i for x in found for i in x], np.uint32))
+            lengths.append(np.array([len(x) for x in found], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, hashes: np.ndarray, stretches: list[bytes], joinable: np.ndarray) -> None:
+        ids, lengths = self._encoded(stretches, joinable)
+        back = np.argsort(np.argsort(~joinable, kind="stable"), kind="stable")
+        total = len(ids)
         if self.used + total > len(self.pool):
             self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + total))
-        self.pool[self.used : self.used + total] = [i for ids in encoded for i in ids]
-        at = self.used + np.cumsum(lengths) - lengths
+        self.pool[self.used : self.used + total] = ids
+        at = (self.used + np.cumsum(lengths) - lengths)[back]
+        lengths = lengths[back]
         self.used += total
         place = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, place, hashes)
@@ -73,7 +107,7 @@ class Encoder:
 
     def ids(self, run: W.Run) -> list[np.ndarray]:
         """The ids of each document of the run."""
-        starts, ends = _stretches(run)
+        starts, ends, joinable = _stretches(run)
         if not len(starts):
             return [np.zeros(0, np.uint32)] * run.n
         hashes, first, inverse = np.unique(run.hashes(starts, ends), return_index=True, return_inverse=True)
@@ -86,7 +120,8 @@ class Encoder:
         if new.any():
             text = run.data.tobytes()
             f = first[new]
-            self._learn(hashes[new], [text[a:b].decode() for a, b in zip(starts[f].tolist(), ends[f].tolist())])
+            # A stretch met both ways was hashed once; it is joined only if its first place allows it.
+            self._learn(hashes[new], [text[a:b] for a, b in zip(starts[f].tolist(), ends[f].tolist())], joinable[f])
             place = np.searchsorted(self.known, hashes)
         entry = place[inverse]
         lengths = self.lengths[entry]
@@ -96,18 +131,21 @@ class Encoder:
         return np.split(ids, np.cumsum(per_document)[:-1])
 
 
-def _stretches(run: W.Run) -> tuple[np.ndarray, np.ndarray]:
-    """Cut before each single space between two characters that are surely not white space.
+def _stretches(run: W.Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cut before each single space between two characters that are surely not white space, and
+    between an ASCII letter and an ASCII mark other than the apostrophe.
+
+    Also tells which stretches begin at such a space and do not end in white space.
 
     White space outside ASCII begins with one of four bytes; next to those nothing is cut.
     """
     data = run.data
     n = len(data)
     cut = np.zeros(n, bool)
+    lead = (data == 0xE1) | (data == 0xE2) | (data == 0xE3)
+    doubtful = np.zeros(n, bool)
     if n > 2:
         before, after = data[:-2], data[2:]
-        lead = (data == 0xE1) | (data == 0xE2) | (data == 0xE3)
-        doubtful = np.zeros(n, bool)
         doubtful[1:] |= data[:-1] == 0xC2
         doubtful[2:] |= lead[:-2]
         doubtful &= data >= 0x80
@@ -119,9 +157,17 @@ def _stretches(run: W.Run) -> tuple[np.ndarray, np.ndarray]:
     # A space that opens a document is no cut of the document before.
     last = run.bounds[1:-1] - 1
     cut[last[last >= 0]] = False
+    certain = cut.copy()
+    if n > 1:  # a mark after a letter starts anew, but may join a mark before it
+        cut[1:] |= _ASCII_LETTER[data[:-1]] & _MARK[data[1:]]
     cut[begins] = True
+    certain[begins] = False
     starts = np.flatnonzero(cut)
-    return starts, np.append(starts[1:], n)
+    ends = np.append(starts[1:], n)
+    joinable = certain[starts]
+    if n:
+        joinable &= (data[ends - 1] > 0x20) & ~doubtful[ends - 1]
+    return starts, ends, joinable
 
 
 _encoders: dict[str, Encoder] = {}
