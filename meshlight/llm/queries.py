@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm import extraction, licenses, lm, mixing, order_minhash, packing, quality, simhash, url_filters
+from meshlight.llm import extraction, licenses, lm, mixing, order_minhash, packing, quality, simhash, toxicity, url_filters
 from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +182,14 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
         F.size("spans").alias("n_spans"),
     )
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    model = toxicity.train(documents, labels)
+    return toxicity.scored(documents, model, keep=["doc_id"]).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
