@@ -3,9 +3,9 @@
 A lexicon of word units (whole words and word beginnings) is induced from labelled training rows: the
 units that toxic texts hold far more often than others. Its units are dealt to voters, which vote toxic
 when a text holds one of theirs and abstain otherwise; patterns of writing vote as well, and two voters
-vote against. A generative label model, fitted to the votes without the labels, estimates how
-often each voter is right in either class and how the voters' errors correlate, and turns votes into a
-posterior label. A linear classifier on unit counts and patterns is trained on the posterior labels
+vote against. The given label is a voter like the others. A generative label model, fitted to the
+votes alone, estimates how often each voter speaks in either class and how the voters' errors correlate,
+and turns votes into a posterior label. A linear classifier on unit counts and patterns is trained on the posterior labels
 and scores every text.
 
 Lexicon, label model and classifier are fitted on at most about ``SAMPLE_ROWS`` labelled rows, picked by
@@ -30,7 +30,7 @@ UNITS = 256
 MIN_TEXTS = 4  # toxic texts that must hold a unit
 MIN_ODDS = 3.0  # log odds ratio
 PREFIXES = (4, 5, 6)
-VOTERS = 16
+VOTERS = 32
 SEED_SHARE = 0.1  # share of toxic texts that the label model starts from
 
 _APART = np.ones(256, bool)
@@ -50,15 +50,15 @@ def _lowered(run: W.Run) -> W.Run:
 
 
 def _units(run: W.Run) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Unit hashes with their texts: whole words, then beginnings of each length; and words per text."""
+    """Unit hashes with their words: whole words, then beginnings of each length; and each word's text."""
     low = _lowered(run)
     starts, ends, doc = low.segments(_APART)
-    hashes, texts = [low.hashes(starts, ends)], [doc]
+    hashes, words = [low.hashes(starts, ends)], [np.arange(len(starts))]
     for k in PREFIXES:
-        long = ends - starts > k
+        long = np.flatnonzero(ends - starts > k)
         hashes.append(low.hashes(starts[long], starts[long] + k))
-        texts.append(doc[long])
-    return hashes, texts, W.counts_per(doc, run.n)
+        words.append(long)
+    return hashes, words, doc
 
 
 def _patterns(run: W.Run, n_words: np.ndarray) -> np.ndarray:
@@ -80,58 +80,69 @@ def _patterns(run: W.Run, n_words: np.ndarray) -> np.ndarray:
     ])
 
 
-def _features(texts: pa.Array, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of each (sorted) unit, patterns and words of each text."""
+def _features(texts: pa.Array, units: np.ndarray) -> np.ndarray:
+    """Of each text: counts of each (sorted) unit, patterns, words, and words that hold a unit."""
     n = len(texts)
-    counts = np.zeros((n, len(units)), np.float32)
-    patterns, n_words = np.zeros((n, len(PATTERNS)), np.float32), np.zeros(n, np.int64)
+    out = np.zeros((n, len(units) + len(PATTERNS) + 2), np.float32)
     for run in W.runs(texts):
-        hashes, docs, words = _units(run)
+        hashes, words, doc = _units(run)
         rows = slice(run.first, run.first + run.n)
-        patterns[rows], n_words[rows] = _patterns(run, words), words
+        n_words = W.counts_per(doc, run.n)
+        out[rows, len(units) : -2] = _patterns(run, n_words)
+        out[rows, -2] = n_words
         if len(units):
-            for h, d in zip(hashes, docs):
+            hit_word = np.zeros(len(doc), bool)
+            for h, w in zip(hashes, words):
                 place = np.minimum(np.searchsorted(units, h), len(units) - 1)
-                hit = units[place] == h
-                np.add.at(counts, (run.first + d[hit], place[hit]), 1)
-    return counts, patterns, n_words
+                hit = np.flatnonzero(units[place] == h)
+                np.add.at(out, (run.first + doc[w[hit]], place[hit]), 1)
+                hit_word[w[hit]] = True
+            out[rows, -1] = W.counts_per(doc[hit_word], run.n)
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted unit hashes and the classifier's weights on their counts, the patterns, and a constant."""
+    """Sorted unit hashes and the classifier's weights on its inputs."""
 
     units: np.ndarray
     weights: np.ndarray
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        counts, patterns, _ = _features(texts, self.units)
-        return _sigmoid(_inputs(counts, patterns) @ self.weights)
+        return _sigmoid(_inputs(_features(texts, self.units)) @ self.weights)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _inputs(counts: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.minimum(counts, 2), patterns, np.ones(len(counts))]).astype(np.float64)
+def _inputs(features: np.ndarray) -> np.ndarray:
+    """Of each text: damped unit counts, patterns, damped number and share of words with a unit, and 1."""
+    n_words, hits = features[:, -2], features[:, -1]
+    units = features[:, : -2 - len(PATTERNS)]
+    return np.column_stack([
+        np.log1p(np.minimum(units, 8)), features[:, -2 - len(PATTERNS) : -2], np.log1p(hits),
+        np.minimum(hits, 2), np.minimum(1.0, 20 * hits / np.maximum(1, n_words)), np.ones(len(features)),
+    ]).astype(np.float64)
+
 
+def votes(features: np.ndarray, by_rank: np.ndarray, voters: int = VOTERS) -> np.ndarray:
+    """Votes (1 toxic, -1 not, 0 abstain).
 
-def votes(counts: np.ndarray, patterns: np.ndarray, n_words: np.ndarray, voters: int = VOTERS) -> np.ndarray:
-    """Votes (1 toxic, -1 not, 0 abstain): lexicon voters, patterns, and two that vote against."""
-    cast = []
-    for v in range(min(voters, counts.shape[1])):
-        cast.append((counts[:, v::voters] > 0).any(axis=1).astype(int))
-    for k, bound in enumerate((0.4, 0.05, 0.02, 0.02)):
-        cast.append((patterns[:, k] > bound).astype(int))
-    hits = counts.sum(axis=1)
-    cast.append(np.where(hits == 0, -1, 0))
-    cast.append(np.where(hits * 2000 < n_words, -1, 0))
+    Each lexicon voter has units of about the same rank. Two more ask for a second and a fourth word
+    of the lexicon, four look at patterns, and two vote against texts with none or one such word.
+    """
+    units = features[:, : -2 - len(PATTERNS)][:, by_rank]
+    patterns, hits = features[:, -2 - len(PATTERNS) : -2], features[:, -1]
+    cast = [(part > 0).any(axis=1).astype(int) for part in np.array_split(units, voters, axis=1) if part.shape[1]]
+    cast += [(hits >= 2).astype(int), (hits >= 4).astype(int)]
+    cast += [(patterns[:, k] > bound).astype(int) for k, bound in enumerate((0.4, 0.05, 0.02, 0.02))]
+    cast += [np.where(hits == 0, -1, 0), np.where(hits <= 1, -1, 0)]
     return np.column_stack(cast)
 
 
-def label_model(cast: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Posterior probability of toxic for each row of votes.
+def label_model(cast: np.ndarray, start: np.ndarray | None = None, rounds: int = 100) -> np.ndarray:
+    """Posterior probability of toxic for each row of votes, from a first guess (else: any vote for it).
 
     Expectation-maximisation over how often each voter speaks in either class gives its log odds. Voters
     that speak together beyond what the classes explain repeat one another: with the correlations of
@@ -141,7 +152,7 @@ def label_model(cast: np.ndarray, rounds: int = 100) -> np.ndarray:
         return np.zeros(0)
     speaks = (cast != 0).astype(float)
     own = np.where((cast == -1).any(axis=0), 0, 1)
-    toxic = np.where((cast == 1).any(axis=1), 0.9, 0.02)
+    toxic = np.where((cast == 1).any(axis=1), 0.9, 0.02) if start is None else start
     odds = np.zeros(cast.shape[1])
     for _ in range(rounds):
         mass = np.array([(1 - toxic).sum(), toxic.sum()])
@@ -189,8 +200,8 @@ def _unit_counts(batches):
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for run in W.runs(batch.column(0)):
-            hashes, docs, _ = _units(run)
-            keys, texts = np.concatenate(hashes), np.concatenate(docs)
+            hashes, words, doc = _units(run)
+            keys, texts = np.concatenate(hashes), doc[np.concatenate(words)]
             order = np.lexsort((texts, keys))
             keys, texts = keys[order], texts[order]
             if not len(keys):
@@ -237,7 +248,8 @@ def train(
     """Fit the lexicon, the label model and the classifier. Without toxic rows every score is low."""
     sample = written(training_rows(df, labels, text, key, label, rows), "toxicity-sample")
     n_toxic, n = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.count(F.lit(1))).first())
-    held = sample.mapInArrow(_unit_counts, "unit bigint, toxic bigint, clean bigint").groupBy("unit").agg(
+    texts = sample.select("text", "toxic")
+    held = texts.mapInArrow(_unit_counts, "unit bigint, toxic bigint, clean bigint").groupBy("unit").agg(
         F.sum("toxic").alias("a"), F.sum("clean").alias("b")
     ).where(F.col("a") >= MIN_TEXTS)
     odds = F.log((F.col("a") + 0.5) / (F.lit(n_toxic) - F.col("a") + 0.5)) - F.log(
@@ -248,24 +260,27 @@ def train(
     best = held.where(odds >= MIN_ODDS).orderBy(sure.desc(), "unit").limit(UNITS).select("unit").collect()
     units = np.sort(np.array([r["unit"] for r in best], np.int64).view(np.uint64))
     rank = {int(np.int64(r["unit"])): i for i, r in enumerate(best)}
-    order = np.argsort([rank[int(u)] for u in units.view(np.int64)], kind="stable") if len(units) else np.zeros(0, int)
+    by_rank = np.argsort([rank[int(u)] for u in units.view(np.int64)], kind="stable") if len(units) else np.zeros(0, int)
 
     def features(batches):
         for batch in batches:
-            counts, patterns, n_words = _features(batch.column(0), units)
-            flat = np.column_stack([counts, patterns, n_words]).astype(np.float32)
+            flat = _features(batch.column(0), units)
+            labels_ = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float32)
+            flat = np.column_stack([flat, labels_])
             yield pa.RecordBatch.from_arrays(
                 [pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float32()))], ["x"]
             )
 
-    # The bounded sample's features, UNITS numbers a row at most.
-    rows_ = sample.select("text").mapInArrow(features, "x array<float>").toArrow()["x"].combine_chunks()
-    width = len(units) + len(PATTERNS) + 1
+    # The bounded sample's features, about UNITS numbers a row.
+    rows_ = texts.mapInArrow(features, "x array<float>").toArrow()["x"].combine_chunks()
+    width = len(units) + len(PATTERNS) + 3
     flat = rows_.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(rows_) else np.zeros((0, width), np.float32)
     flat = flat[np.lexsort(flat.T[::-1])]  # the same sums whatever order the rows arrive in
-    counts, patterns, n_words = flat[:, : len(units)], flat[:, len(units) : -1], flat[:, -1]
-    posterior = label_model(votes(counts[:, order], patterns, n_words))
-    return Model(units, linear_classifier(_inputs(counts, patterns), posterior))
+    given, flat = flat[:, -1].astype(int), flat[:, :-1]
+    # The given label is one voter more, whose errors are estimated like the others'; it is the first guess.
+    cast = np.column_stack([votes(flat, by_rank), given, given - 1])
+    posterior = label_model(cast, np.where(given == 1, 0.9, 0.02))
+    return Model(units, linear_classifier(_inputs(flat), posterior))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
