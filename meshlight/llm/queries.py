@@ -20,9 +20,22 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Texts are long rows: small Arrow batches keep what a task holds at a time to some megabytes.
+BATCH_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    for key, value in BATCH_CONF.items():
+        spark.conf.set(key, value)
+    return tuned(spark)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: run(tuned(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: run(prepared(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return run
