@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlight.llm import mixing, packing, quality, simhash, toxicity
-from meshlight.llm.queries import byte_bpe, remainder, table
-from meshlight.session import tuned, written
+from meshlight.llm.queries import byte_bpe, prepared, remainder, table
+from meshlight.session import written
 
 _OWN = "__doc_"
 
@@ -31,6 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The texts are read once for the model and once for the verdicts, so that none is shuffled.
     """
+    prepared(spark)
     model = quality.fit(quality.signals(docs, keep=[]))
     judged = quality.judged(quality.signals(_set_apart(docs), _OWN + "text"), model)
     return _restored(judged.where("kept"), docs)
@@ -76,7 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tuned(spark)
+    prepared(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
