@@ -46,7 +46,7 @@ def event_counters(events: DataFrame, as_of: str | Column, by: str = "device_id"
     )
 
 
-def qoe_history(snapshots: DataFrame, as_of_last: bool = True, feature: str = "qoe_composite_latest") -> DataFrame:
+def qoe_history(snapshots: DataFrame, feature: str = "qoe_composite_latest") -> DataFrame:
     """Per device: drops over 10 points in the last day, share below 70 in the last seven."""
     from meshlight.operators.temporal import anchored, count_drops, fraction_below
 
@@ -84,9 +84,13 @@ def device_metadata(heartbeats: DataFrame, as_of: str | Column) -> DataFrame:
         return F.date_diff(end, F.col(column)).cast("double")
 
     return (
-        current.join(firmware_first, ["device_id", "firmware"])
-        .join(ordinal_codes(heartbeats, "model", "model_encoded"), "model")
-        .join(ordinal_codes(heartbeats, "firmware", "firmware_encoded"), "firmware")
+        current.join(
+            firmware_first.select(F.col("device_id").alias("_device"), F.col("firmware").alias("_firmware"), "firmware_first"),
+            (F.col("device_id") == F.col("_device")) & F.col("firmware").eqNullSafe(F.col("_firmware")),
+        )
+        # Devices without a model or firmware stay, without a code.
+        .join(ordinal_codes(heartbeats, "model", "model_encoded"), "model", "left")
+        .join(ordinal_codes(heartbeats, "firmware", "firmware_encoded"), "firmware", "left")
         .select(
             "device_id",
             "model",

@@ -15,7 +15,7 @@ from meshlight.functions import text as text_functions
 from meshlight.functions.barrier import settled
 from meshlight.functions.rounding import fixed_text, round_even
 from meshlight.functions.vectors import cosine
-from meshlight.session import fits_broadcast
+from meshlight.operators.store import row_hash
 
 _METADATA_KEY = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 
@@ -44,13 +44,15 @@ def device_summary_id(device_id: Column, summary: Column) -> Column:
 
 
 def upserted(rows: DataFrame) -> DataFrame:
-    """Last write per id. Columns other than id and created_at travel as one struct.
+    """Last write per id; of writes at one time the one with the largest hash.
+
+    Columns other than id and created_at travel as one struct.
 
     ``max_by`` combines map-side, so an id written millions of times ships one row per task.
     """
     others = [c for c in rows.columns if c not in ("id", "created_at")]
     last = rows.groupBy("id").agg(
-        F.max_by(F.struct(*others), "created_at").alias("_row"), F.max("created_at").alias("created_at")
+        F.max_by(F.struct(*others), F.struct("created_at", row_hash(rows))).alias("_row"), F.max("created_at").alias("created_at")
     )
     return last.select("id", "_row.*", "created_at")
 
@@ -75,59 +77,52 @@ def search(
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def _block_search(block: DataFrame, store: DataFrame, k: int) -> DataFrame:
-    """Per task, the k best rows of its part for every query of the block: at most k rows each."""
-    asked = block.select("query_id", "embedding").toPandas()
-    if asked.empty:
-        return store.select(F.lit(0).cast("bigint").alias("query_id"), "id", F.lit(0.0).alias("similarity")).limit(0)
-    ids = asked["query_id"].to_numpy()
-    matrix = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def best(parts):
-        kept_ids, kept = None, None
-        for part in parts:
-            if part.empty:
-                continue
-            vectors = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            near = matrix @ vectors.T
-            names = np.broadcast_to(part["id"].to_numpy(), near.shape)
-            if kept is not None:
-                near, names = np.hstack([kept, near]), np.hstack([kept_ids, names])
-            order = np.lexsort((names, -near), axis=1)[:, :k]
-            kept = np.take_along_axis(near, order, axis=1)
-            kept_ids = np.take_along_axis(names, order, axis=1)
-        if kept is not None:
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, kept.shape[1]),
-                    "id": kept_ids.ravel(),
-                    "similarity": kept.ravel(),
-                }
-            )
-
-    kind = dict(store.dtypes)["id"]
-    return store.select("id", "embedding").mapInPandas(best, f"query_id bigint, id {kind}, similarity double")
+def _unit(vectors: pd.Series, width: int) -> np.ndarray:
+    """Unit rows; NaN for a null or zero vector, which has no direction."""
+    out = np.full((len(vectors), width), np.nan)
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == width:
+            row = np.asarray(v, np.float64)
+            norm = np.linalg.norm(row)
+            out[i] = row / norm if norm > 0 else np.nan
+    return out
 
 
 def search_many(store: DataFrame, queries: DataFrame, k: int = V.TOP_K) -> DataFrame:
     """Top k per query for a table of queries (query_id, embedding): (query_id, rank, id, similarity).
 
-    Queries are shipped to the tasks in blocks of checked size; a larger table is searched in
-    several passes, none of which shuffles the store or forms a pair row.
+    Queries and store are cut into hashed blocks, and every pair of blocks meets in one group, which
+    returns at most k rows per query; a merge ranks those. A null or zero vector has similarity null
+    and comes last, as in ``search``; ties go by id.
     """
-    if fits_broadcast(queries, QUERY_BLOCK):
-        blocks = [queries]
-    else:
-        # Twice as many blocks as needed on average keeps every hashed block within the bound.
-        n = 2 * (queries.count() // QUERY_BLOCK + 1)
-        blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
-    found = None
-    for block in blocks:
-        part = _block_search(block, store, k)
-        found = part if found is None else found.unionByName(part)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    query_blocks = queries.count() // QUERY_BLOCK + 1
+    store_blocks = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select("query_id", "embedding").withColumn(
+        "qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
+    ).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(store_blocks - 1))))
+    held = store.select("id", "embedding").withColumn(
+        "sb", F.pmod(F.xxhash64("id"), F.lit(store_blocks)).cast("int")
+    ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "similarity": np.zeros(0)})
+        width = max((len(v) for v in left["embedding"] if v is not None), default=0)
+        near = _unit(left["embedding"], width) @ _unit(right["embedding"], width).T
+        ids = right["id"].to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        order = by_id[np.argsort(-near[:, by_id], axis=1, kind="stable")[:, :k]]  # NaN sorts last
+        return pd.DataFrame({
+            "query_id": np.repeat(left["query_id"].to_numpy(), order.shape[1]),
+            "id": ids[order.ravel()],
+            "similarity": np.take_along_axis(near, order, axis=1).ravel(),
+        })
+
+    kind = dict(store.dtypes)["id"]
+    found = asked.groupBy("qb", "sb").cogroup(held.groupBy("qb", "sb")).applyInPandas(
+        best, f"query_id bigint, id {kind}, similarity double"
+    ).withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))
+    rank = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 

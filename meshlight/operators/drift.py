@@ -107,7 +107,9 @@ def ks(counts: DataFrame, significance: float = 0.05) -> DataFrame:
     )
     found = ranked.groupBy("feature", "n_ref", "n_cur").agg(F.max(gap).alias("gap"))
     enough = (F.col("n_ref") >= KS_MIN_ROWS) & (F.col("n_cur") >= KS_MIN_ROWS)
-    effective = F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur"))
+    # In doubles: the product of two counts leaves the range of a long.
+    n_ref, n_cur = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
+    effective = n_ref / (n_ref + n_cur) * n_cur
     scored = found.select(
         "feature",
         F.when(enough, F.col("gap")).otherwise(0.0).alias("ks_statistic"),

@@ -28,9 +28,6 @@ FLOW_DEVICES = (
     "tx_bytes: bigint, rx_bps: double, tx_bps: double>>"
 )
 
-# Fixed value: flow devices published per poll.
-POLL_DEVICES = 50
-
 
 def _or(value: Column, default) -> Column:
     return F.coalesce(value, F.lit(default))
@@ -159,9 +156,13 @@ def flow_rows(polls: DataFrame) -> DataFrame:
     )
 
 
-def client_traffic(rows: DataFrame) -> DataFrame:
-    """Traffic payload of the first devices of each poll that have a hardware address."""
-    kept = rows.where((F.col("place") < POLL_DEVICES) & (F.col("mac") != ""))
+def client_traffic(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Traffic payload of the devices of each poll that have a hardware address.
+
+    With ``limit`` only the first so many devices of a poll are published.
+    """
+    listed = rows if limit is None else rows.where(F.col("place") < limit)
+    kept = listed.where(F.col("mac") != "")
     category = F.struct(
         F.lit("IP").alias("masterProtocol"),
         _or(F.col("name"), "unknown").alias("appProtocol"),

@@ -2,8 +2,8 @@
 
 A window without a partition key sorts the whole table in one task. Here the table is cut into
 ranges of the sort key first; each range is ranked on its own and shifted by the totals of the
-ranges before it. Range edges come from the rows whose key hashes lowest, so they depend on the
-data alone: a task that is run again after a lost executor cuts the same ranges.
+ranges before it. Range edges come from the keys whose hashes fall below a threshold, so they depend
+on the data alone: a task that is run again after a lost executor cuts the same ranges.
 """
 
 from __future__ import annotations
@@ -15,22 +15,36 @@ from pyspark.sql import functions as F
 
 from meshlight.session import written
 
-SAMPLE_ROWS = 4096
+# Sample keys per range: enough to keep ranges within about a third of their mean size.
+KEYS_PER_RANGE = 16
+_HASHES = 1 << 30
 
 
 def _ranges(df: DataFrame) -> int:
-    """A few ranges per shuffle partition, so that hashing spreads them evenly; 512 at most."""
-    return max(16, min(512, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """A few ranges per shuffle partition, so that hashing spreads them evenly."""
+    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _at_most(edges: Column, key: Column, most: int) -> Column:
+    """How many of the at most ``most`` sorted edges are at most ``key``: by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    # Beyond the last edge there is null, which is not at most the key.
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= key, at + step).otherwise(at)
+    )
 
 
 def with_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, column: str = "_range") -> DataFrame:
     """Add the number of the key range each row falls in (0 for the lowest keys).
 
-    At most SAMPLE_ROWS keys are gathered for the edges, whatever the size of the table.
+    About KEYS_PER_RANGE keys a range are gathered for the edges, whatever the size of the table: a
+    scan keeps only keys below the hash threshold, which follows from the number of rows.
     """
     ranges = ranges or _ranges(df)
     key = F.struct(*[F.col(k) for k in keys])
-    sample = df.select(key.alias("_key")).orderBy(F.xxhash64("_key")).limit(SAMPLE_ROWS)
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    below = F.lit(float(_HASHES * KEYS_PER_RANGE * ranges)) / F.greatest(rows, F.lit(1))
+    sample = df.select(key.alias("_key")).where(F.pmod(F.xxhash64("_key"), F.lit(_HASHES)) < below)
     sorted_keys = sample.agg(F.sort_array(F.collect_set("_key")).alias("s"))
     step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(ranges))).cast("int")
     edges = sorted_keys.select(
@@ -39,7 +53,7 @@ def with_range(df: DataFrame, keys: Sequence[str], ranges: int | None = None, co
     return (
         df.withColumn("_edges", edges)
         # Never null, or a join on it would push a null check, edges and all, down to the scan.
-        .withColumn(column, F.coalesce(F.size(F.filter("_edges", lambda e: e <= key)), F.lit(0)))
+        .withColumn(column, F.coalesce(_at_most(F.col("_edges"), key, ranges), F.lit(0)))
         .drop("_edges")
     )
 
@@ -53,7 +67,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], column: str = "row_number")
     local = Window.partitionBy("_range").orderBy(*keys)
     return (
         ranged.withColumn("_at", F.row_number().over(local))
-        .join(F.broadcast(offsets), "_range")  # one row per range: at most 512 rows
+        .join(offsets, "_range")  # one row per range
         .withColumn(column, (F.col("_at") + F.col("_before")).cast("long"))
         .drop("_range", "_at", "_before")
     )
@@ -149,7 +163,7 @@ def neighbours(df: DataFrame, value: str) -> DataFrame:
     return (
         ranged.withColumn("_p", F.lag(value).over(local))
         .withColumn("_n", F.lead(value).over(local))
-        .join(F.broadcast(ends), "_range")  # one row per range: at most 512 rows
+        .join(ends, "_range")  # one row per range
         .withColumn("previous", F.coalesce("_p", "_left"))
         .withColumn("next", F.coalesce("_n", "_right"))
         .drop("_range", "_p", "_n", "_left", "_right")

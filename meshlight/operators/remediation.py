@@ -139,11 +139,13 @@ def executions(planned: DataFrame, started_at: str) -> DataFrame:
 def decided(recs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Recommendations with the latest decision of an append-only log applied.
 
-    ``decisions``: (id, decided_at, status, decided_by); an approval also records who and when.
+    ``decisions``: (id, decided_at, status, decided_by); an approval also records who and when. Of
+    decisions at one time the one last by (status, decided_by) holds.
     """
+    order = F.struct("decided_at", "status", "decided_by")
     last = decisions.groupBy("id").agg(
-        F.max_by("status", "decided_at").alias("_status"),
-        F.max_by("decided_by", "decided_at").alias("_by"),
+        F.max_by("status", order).alias("_status"),
+        F.max_by("decided_by", order).alias("_by"),
         F.max("decided_at").alias("_at"),
     )
     approved = F.col("_status") == "approved"

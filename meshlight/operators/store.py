@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: largest fleet returned by one interactive query.
-FLEET_LIMIT = 50_000
+
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns (maps by their sorted entries): a tie-break that only the data decide."""
+    parts = [F.array_sort(F.map_entries(F.col(f"`{n}`"))) if t.startswith("map") else F.col(f"`{n}`") for n, t in rows.dtypes]
+    return F.xxhash64(*parts)
 
 
 def history(snapshots: DataFrame, device_id: str, to_ts: str, from_ts: str | None = None) -> DataFrame:
@@ -30,8 +33,9 @@ def only(snapshots: DataFrame, names: Sequence[str], features: str = "features")
 
 
 def latest_of(snapshots: DataFrame, device_id: str) -> DataFrame:
-    """The newest snapshot of one device."""
-    return snapshots.where(F.col("device_id") == device_id).orderBy(F.desc("ts")).limit(1)
+    """The newest snapshot of one device; of several at one time the one with the largest hash."""
+    own = snapshots.where(F.col("device_id") == device_id)
+    return own.orderBy(F.desc("ts"), row_hash(own).desc()).limit(1)
 
 
 def fleet_latest(
@@ -47,15 +51,19 @@ def fleet_latest(
     devices by id.
     """
     rows = snapshots if device_ids is None else snapshots.join(device_ids, "device_id", "left_semi")
+    last = F.struct("ts", row_hash(rows))  # one row decides every column, also among equal times
     newest = rows.groupBy("device_id").agg(
-        F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in columns]
+        F.max("ts").alias("ts"), *[F.max_by(c, last).alias(c) for c in columns]
     )
     return newest if limit is None else newest.orderBy("device_id").limit(limit)
 
 
 def fleet_merged(snapshots: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per device and feature, the last value that is not null, across message types."""
-    merged = [F.expr(f"max_by(`{c}`, ts) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in columns]
+    """Per device and feature, the last value that is not null, across message types.
+
+    Of several values at one time the largest counts.
+    """
+    merged = [F.expr(f"max_by(`{c}`, struct(ts, `{c}`)) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in columns]
     return snapshots.groupBy("device_id").agg(F.max("ts").alias("ts"), *merged)
 
 

@@ -45,9 +45,12 @@ def rolling_stats(
 def linear_trend(
     series: DataFrame, by: Sequence[str] = ("device_id",), value: str = "value", window: str | None = None
 ) -> DataFrame:
-    """Least-squares slope per day; 0 with fewer than two points or a single instant."""
-    rows = anchored(series, by, WINDOWS.get(window, f"interval {window}") if window else None)
-    slope = F.regr_slope(F.col(value), days_before(F.col("ts"), F.col("last_ts")))
+    """Least-squares slope per day; 0 with fewer than two points or a single instant.
+
+    A slope does not depend on where time starts, so that without a window nothing is joined.
+    """
+    rows = anchored(series, by, WINDOWS.get(window, f"interval {window}")) if window else series
+    slope = F.regr_slope(F.col(value), days_before(F.col("ts"), F.lit("2024-01-01").cast("timestamp")))
     return rows.groupBy(*by).agg(F.coalesce(slope, F.lit(0.0)).alias("slope"))
 
 

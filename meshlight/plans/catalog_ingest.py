@@ -338,19 +338,18 @@ def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('w5gM.sta', i % 4), 'w6gS1.sta0', 'eth0', 'w2g.sta1'), i % 4 + 1), "
         "'rx_bytes', bigint(i * 100 + k), 'tx_bytes', bigint(i), 'rx_bps', v, 'tx_bps', v))"
     )
-    polls = T.events(spark, sf_dir).where("event_type = 'purchase'")
-    return polls.selectExpr("device_id", "ts", f"to_json(named_struct('devices', {listed})) AS flows")
+    return T.events(spark, sf_dir).selectExpr("device_id", "ts", f"to_json(named_struct('devices', {listed})) AS flows")
 
 
 POLL_ROWS = (
-    "poll AS (SELECT *, unnest(range(CAST(k AS INTEGER))) AS i FROM ev WHERE event_type = 'purchase')"
+    "poll AS (SELECT *, unnest(range(CAST(k AS INTEGER))) AS i FROM ev)"
 )
 
 
 @query(
     "client_traffic_import", EV, POLL_ROWS,
     sql="""SELECT 'aa' || i AS device_id, count(*) AS messages, CAST(sum(i * 101 + k) AS DOUBLE) AS total_bytes
-      FROM poll WHERE i < 50 AND i % 7 <> 0 GROUP BY 1""",
+      FROM poll WHERE i % 7 <> 0 GROUP BY 1""",
 )
 def client_traffic_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = imports.client_traffic(imports.flow_rows(_polls(spark, sf_dir)))

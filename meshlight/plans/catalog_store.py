@@ -95,10 +95,10 @@ def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fleet_capped", EV, SNAP, _NEWEST,
-    sql=f"SELECT device_id, {ts_sql('ts')} AS ts FROM newest ORDER BY device_id LIMIT {store.FLEET_LIMIT}",
+    sql=f"SELECT device_id, {ts_sql('ts')} AS ts FROM newest ORDER BY device_id LIMIT 5",
 )
 def fleet_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.fleet_latest(T.snapshots(spark, sf_dir), ["dl_mbps_latest"], limit=store.FLEET_LIMIT)
+    rows = store.fleet_latest(T.snapshots(spark, sf_dir), ["dl_mbps_latest"], limit=5)
     return rows.select("device_id", ts_text("ts").alias("ts"))
 
 

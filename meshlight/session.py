@@ -96,8 +96,3 @@ def job_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         discard(spark, *_SCOPES.pop())
-
-
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when the table has at most ``max_rows`` rows; reads no more than needed to tell."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -140,7 +140,6 @@ MIN_STEPS = 48
 FORECAST_WARNINGS = {
     "none": "No QoE history available",
     "short": "Insufficient history for forecasting (need 48+ data points)",
-    "naive": "Using naive forecast (SARIMAX failed)",
 }
 
 # Default alert rules (id, label, feature, operator, threshold, severity, impact).
@@ -226,7 +225,6 @@ REMEDIES = [
 
 # Agent limits.
 AGENT_THRESHOLD = 0.5
-AGENT_SCAN_LIMIT = 1000
 AGENT_COOLDOWN_HOURS = 4
 AUTO_CONFIDENCE = 0.8
 AGENT_MODEL = ("agent_remediation", "2.0.0")
