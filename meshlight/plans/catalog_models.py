@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,16 +93,10 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------- anomaly
 
 
-@functools.lru_cache(maxsize=4)
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[anomaly.Forest, str]:
-    """Forest trained on the fleet matrix, with the matrix written once for the queries on it."""
-    rows = written(matrix(spark, sf_dir), "fleet-matrix")
-    return anomaly.train(rows), rows.inputFiles()[0].rsplit("/", 1)[0] if rows.inputFiles() else ""
-
-
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[anomaly.Forest, DataFrame]:
-    forest, path = _forest(spark, sf_dir)
-    return forest, spark.read.parquet(path)
+    """Forest trained on the fleet matrix, and the matrix, written once for both."""
+    rows = written(matrix(spark, sf_dir), "fleet-matrix")
+    return anomaly.train(rows), rows
 
 
 @query("anomaly_training")
@@ -130,6 +124,66 @@ def device_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.of_device(rows, forest, "dev-8", spark)
 
 
+# A small forest with fixed nodes, so that path lengths and scores have an exact oracle.
+GIVEN_FEATURES = ["dl_mbps_latest", "latency_idle_ms", "qoe_wan_latest"]
+# Fixed by hand: tree, node, feature, threshold, left, right, path.
+GIVEN_NODES = [
+    (0, 0, 0, 250.0, 1, 2, 0.0), (0, 1, -1, 0.0, 1, 1, 2.5), (0, 2, 1, 20.0, 3, 4, 0.0), (0, 3, -1, 0.0, 3, 3, 5.25), (0, 4, -1, 0.0, 4, 4, 3.0),
+    (1, 0, 2, 50.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 1.0), (1, 2, -1, 0.0, 2, 2, 6.5),
+    (2, 0, -1, 0.0, 0, 0, 4.0),
+]
+_GIVEN_PATH = (
+    "(CASE WHEN dl <= 250 THEN 2.5 WHEN idle <= 20 THEN 5.25 ELSE 3 END + CASE WHEN wan <= 50 THEN 1 ELSE 6.5 END + 4) / 3.0"
+)
+GIVEN_SQL = (
+    "given AS (SELECT device_id, dl_mbps_latest AS dl, latency_idle_ms AS idle, qoe_wan_latest AS wan FROM "
+    "(SELECT device_id, coalesce(dl_mbps_latest, 0) AS dl_mbps_latest, coalesce(latency_idle_ms, 0) AS latency_idle_ms, "
+    "coalesce(qoe_wan_latest, 0) AS qoe_wan_latest FROM fleet))",
+    f"decided AS (SELECT *, -pow(2.0, -({_GIVEN_PATH}) / {float(anomaly.mean_path(256))!r}) + 0.5 AS raw FROM given)",
+    "given_scores AS (SELECT device_id, greatest(0, least(1, 1 - (raw + 0.2) / 0.3)) AS score FROM decided)",
+)
+
+
+def given_forest(rows: DataFrame) -> anomaly.Forest:
+    nodes = pd.DataFrame(GIVEN_NODES, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+    stats = modelprep.scaler(modelprep.align(rows, GIVEN_FEATURES), GIVEN_FEATURES)
+    return anomaly.Forest(GIVEN_FEATURES, nodes, 256, stats, offset=-0.5, low=-0.2, high=0.1)
+
+
+@query(
+    "given_forest_scores", EV, SNAP, FLEET, *GIVEN_SQL,
+    sql="SELECT device_id, round(score, 8) AS anomaly_score FROM given_scores",
+)
+def given_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merged(spark, sf_dir)
+    return rounded(anomaly.score(rows, given_forest(rows)).select("device_id", "anomaly_score"))
+
+
+@query(
+    "given_device_anomaly", EV, SNAP, FLEET, *GIVEN_SQL,
+    sql="SELECT device_id, round(score, 4) AS anomaly_score, score >= 0.7 AS is_anomaly FROM given_scores WHERE device_id = 'dev-8'",
+)
+def given_device_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merged(spark, sf_dir)
+    return anomaly.of_device(rows, given_forest(rows), "dev-8", spark).select("device_id", "anomaly_score", "is_anomaly")
+
+
+@query(
+    "anomaly_training_counts", EV, SNAP, FLEET,
+    sql=f"""SELECT * FROM (SELECT 'n_samples' AS metric, CAST(count(*) AS DOUBLE) AS value FROM fleet UNION ALL
+      SELECT 'n_features', {float(len(V.ANOMALY_FEATURES))} UNION ALL SELECT 'contamination', 0.05 UNION ALL
+      SELECT 'trees', 200.0 UNION ALL SELECT 'rate_fits_count', 1.0)""",
+)
+def anomaly_training_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a training run does not hang on random numbers."""
+    forest, rows = _trained(spark, sf_dir)
+    m = forest.metrics
+    fits = m["anomaly_rate"] == m["n_anomalies"] / m["n_samples"] and m["n_anomalies"] <= 0.05 * m["n_samples"] + 1
+    values = {k: float(m[k]) for k in ("n_samples", "n_features", "contamination")}
+    values |= {"trees": float(forest.nodes["tree"].nunique()), "rate_fits_count": float(fits)}
+    return spark.createDataFrame(sorted(values.items()), "metric string, value double")
+
+
 # A fixed stand-in score between 0 and 1, so that everything after the model has an exact oracle.
 STAND_IN = "1 - 1 / (1 + dl_mbps_latest / 500 + wifi_avg_retransmit_rate / 20)"
 SCORED_SQL = (
@@ -322,7 +376,7 @@ def churn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the labelled matrix and score every device."""
     rows = written(churn_rows(spark, sf_dir), "churn-rows")
-    model = churn.train(rows, rounds=60, cross_validate=False)
+    model = churn.train(rows)
     scored = churn.predict(rows, model)
     weights = dict(zip(model.features, model.importances, strict=True))
     return churn.top_factors(scored, weights).select("device_id", "risk_score", "risk_level", "top_factors")
@@ -404,7 +458,6 @@ CENTER_SQL = (
 )
 
 
-@functools.lru_cache(maxsize=4)
 def _given_model(spark: SparkSession, sf_dir: str) -> segments.Segmentation:
     """A segmentation whose centroids are group means of the data (at most four groups)."""
     rows = written(modelprep.align(merged(spark, sf_dir), INPUT), "segment-rows")
@@ -486,6 +539,25 @@ def assignment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.withColumn("assigned_at", ts_text("assigned_at")), 6)
 
 
+@query(
+    "segment_silhouette", EV, SNAP, FLEET, ALIGNED, STATS, POINTS_SQL,
+    "labelled AS (SELECT id, vec, least(floor(dl_mbps_latest / 400), 3) AS g FROM points JOIN aligned ON id = device_id)",
+    "sized AS (SELECT g, count(*) AS n FROM labelled GROUP BY 1)",
+    "pair AS (SELECT a.id, a.g, b.g AS other, sum(pow(list_distance(a.vec, b.vec), 2)) AS d FROM labelled a, labelled b GROUP BY ALL)",
+    "means AS (SELECT id, pair.g, other, CASE WHEN pair.g = other THEN d / greatest(n - 1, 1) ELSE d / n END AS m, n FROM pair "
+    "JOIN sized ON other = sized.g)",
+    "widths AS (SELECT id, max(CASE WHEN g = other THEN m END) AS inside, max(CASE WHEN g = other THEN n END) AS own, "
+    "min(CASE WHEN g <> other THEN m END) AS outside FROM means GROUP BY id)",
+    sql="SELECT round(avg(CASE WHEN own > 1 THEN (outside - inside) / greatest(outside, inside) ELSE 0 END), 6) AS silhouette FROM widths",
+)
+def segment_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouette of given segments: the devices by their download rate."""
+    rows = modelprep.align(merged(spark, sf_dir), INPUT)
+    rate = rows.select(F.col("device_id").alias("id"), F.least(F.floor(F.col("dl_mbps_latest") / 400), F.lit(3)).alias("prediction"))
+    value = segments.silhouette(points(spark, sf_dir).join(rate, "id"))
+    return spark.createDataFrame([(round(value, 6),)], "silhouette double")
+
+
 @query("fleet_segments")
 def fleet_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train the segmentation on the fleet matrix and describe its segments."""

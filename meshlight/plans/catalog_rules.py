@@ -446,7 +446,7 @@ def prediction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_retraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train all three models on the labelled fleet matrix and return the registry rows."""
     rows = churn_rows(spark, sf_dir)
-    return jobs.retrain_all(spark, rows, T.AS_OF, rounds=60, starts=2).log.drop("artifact_path")
+    return jobs.retrain_all(spark, rows, T.AS_OF).log.drop("artifact_path")
 
 
 # ---------------------------------------------------------------------------------------- flagship

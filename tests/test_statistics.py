@@ -164,3 +164,34 @@ def test_hot_value_is_one_row(spark):
     assert ordering.value_counts(rows, "v").count() == 10000 + (0 if 7 % 3 == 0 else 1)
     assert math.isclose(ordering.quantiles(rows, "v", [0.5]).first().quantiles[0], float(np.percentile(
         [7.0 if i % 3 else float(i) for i in range(30000)], 50)))
+
+
+def test_ties_in_time_are_settled_by_the_data(spark):
+    from meshlight.operators import documents, remediation, store
+
+    rows = [("d", "2026-01-01 00:00:00", float(i), float(-i)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "device_id string, ts string, a double, b double").withColumn("ts", F.col("ts").cast("timestamp"))
+    shuffled = frame.orderBy(F.rand(1)).repartition(7)
+    for run in (lambda f: store.fleet_latest(f, ["a", "b"]), lambda f: store.fleet_merged(f, ["a", "b"]), lambda f: store.latest_of(f, "d")):
+        assert run(frame).collect() == run(shuffled).collect()
+    newest = store.fleet_latest(frame, ["a", "b"]).first()
+    assert newest.a == -newest.b  # both from one row
+    log = frame.select(F.lit("x").alias("id"), F.col("ts").alias("decided_at"), F.col("a").cast("string").alias("status"), F.col("b").cast("string").alias("decided_by"))
+    recs = spark.createDataFrame([("x", "pending")], "id string, status string")
+    again = log.orderBy(F.rand(2)).repartition(5)
+    assert remediation.decided(recs, log).collect() == remediation.decided(recs, again).collect()
+    chunks = frame.select(F.lit("x").alias("id"), "a", "b", F.col("ts").alias("created_at"))
+    assert documents.upserted(chunks).collect() == documents.upserted(chunks.repartition(6)).collect()
+
+
+def test_search_of_vectors_without_direction(spark):
+    from meshlight.operators import documents
+
+    store = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.6, 0.8])], "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0])], "query_id bigint, embedding array<double>")
+    got = [(r.query_id, r.rank, r.id, r.similarity) for r in documents.search_many(store, asked, 4).orderBy("query_id", "rank").collect()]
+    assert [(q, i, s if s is None else round(s, 9)) for q, _, i, s in got] == [
+        (7, 1, 1.0), (7, 4, 0.6), (7, 2, None), (7, 3, None), (8, 1, None), (8, 2, None), (8, 3, None), (8, 4, None),
+    ]
+    one = [(r.id, r.similarity) for r in documents.search(store, [1.0, 0.0], 4).collect()]
+    assert [i for i, _ in one] == [1, 4, 2, 3] and one[2][1] is None
