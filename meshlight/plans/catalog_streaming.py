@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from meshlight import values as V
 from meshlight.operators import alerts
 from meshlight.plans.catalog import DEVICE_EVENTS, EV, ORACLES, SNAP, query, ts_sql, ts_text
+from meshlight.plans.catalog_ingest import MSG
 from meshlight.plans.catalog_rules import RULES
 from meshlight.session import work_path
 from meshlight.sources import messages
 from meshlight.sources import tables as T
 from meshlight.streaming.cooldown import triggered_runs
 from meshlight.streaming.counters import windowed_counters
-from meshlight.streaming.ingest import start_ingest
+from meshlight.streaming.ingest import ingested, start_ingest
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,47 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("device_id", ts_text("ts").alias("ts"), "msg_type", F.size("features").alias("features"))
 
 
+@query(
+    "stream_heartbeats", EV, MSG,
+    sql=f"""SELECT device_id, {ts_sql('seen_at')} AS ts, 'M-' || CAST(k % 5 AS INTEGER) AS model, 'fw-' || CAST(k % 3 AS INTEGER)
+      AS firmware, 'online' AS status, 'sub-' || user_id AS subscriber_id FROM judged WHERE reason IS NULL AND msg_type = 'meta'""",
+)
+def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingested(spark, _ingested(spark, sf_dir), "heartbeats").withColumn("ts", ts_text("ts"))
+
+
+@query(
+    "stream_events", EV, MSG,
+    sql=f"""SELECT device_id, {ts_sql('seen_at')} AS ts, 'm' || event_id AS id, [{", ".join(f"'{k}'" for k in T.EVENT_KINDS)}]
+      [CAST(k % 7 AS INTEGER) + 1] AS type, ['critical', 'warning', 'info', 'fatal'][CAST(k % 4 AS INTEGER) + 1] AS severity
+      FROM judged WHERE reason IS NULL AND msg_type = 'events'""",
+)
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingested(spark, _ingested(spark, sf_dir), "events").withColumn("ts", ts_text("ts"))
+
+
+@query("stream_hourly_usage", sql=ORACLES["hourly_usage"])
+def stream_hourly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingested(spark, _ingested(spark, sf_dir), "usage")
+
+
+@query(
+    "stream_redelivered", EV, MSG,
+    sql=f"""SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS messages FROM judged
+      WHERE root = '{V.TOPIC_ROOT}' AND kind <> 'unknown' GROUP BY 1""",
+)
+def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with an id or timestamp comes twice, the copy a second later; counters of a stream that drops copies."""
+    out = work_path(spark, "redelivered")
+    sent = T.messages(spark, sf_dir)
+    told = F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.timestamp")).isNotNull()
+    again = sent.where(told).withColumn("ingest_ts", F.col("ingest_ts") + F.expr("interval 1 second"))
+    messages.write_messages(sent.union(again), f"{out}/incoming")
+    stream = messages.stream_messages(spark, f"{out}/incoming")
+    start_ingest(stream, out, f"{out}/state", redelivered_within="1 hour").awaitTermination()
+    return ingested(spark, out, "counters")
+
+
 # Foreign topics are no subscription and never reach the quarantine of the stream.
 @query("stream_quarantine", sql=f"SELECT * FROM ({ORACLES['quarantine']}) WHERE reason NOT IN ('bad_topic', 'unknown_type')")
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:

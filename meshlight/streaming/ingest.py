@@ -1,31 +1,85 @@
-"""Streaming ingest: messages to snapshot and quarantine tables."""
+"""Streaming ingest: messages to the tables that every other operator reads."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meshlight.operators import features, parse
+from meshlight.operators.features import hourly_usage
 
 
-def start_ingest(messages: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Decode a message stream into ``out/snapshots`` and ``out/quarantine``.
+def once(messages: DataFrame, within: str) -> DataFrame:
+    """Messages without redelivered copies that arrive ``within`` that time of each other.
+
+    A copy has topic and payload in common with its original. A payload without an id or timestamp of its
+    own can rightly occur again, so it only counts as a copy at the same arrival time. Rows that arrive later
+    than the watermark allows are dropped; give a time that covers the stream's disorder.
+    """
+    told = F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.timestamp"))
+    key = F.sha2(F.concat_ws("|", "payload", F.coalesce(told, F.col("ingest_ts").cast("string"))), 256)
+    marked = messages.withColumn("_copy", key).withWatermark("ingest_ts", within)
+    return marked.dropDuplicatesWithinWatermark(["topic", "_copy"]).drop("_copy")
+
+
+def heartbeats(decoded: DataFrame) -> DataFrame:
+    """(device_id, ts, model, firmware, status, subscriber_id) of accepted heartbeats."""
+    p = F.col("meta")
+    return decoded.where(p.isNotNull()).select(
+        "device_id", "ts", p["model"].alias("model"), p["firmware"].alias("firmware"), p["status"].alias("status"),
+        p["subscriberId"].alias("subscriber_id"),
+    )
+
+
+def device_events(decoded: DataFrame) -> DataFrame:
+    """(device_id, ts, id, type, severity) of accepted events."""
+    p = F.col("events")
+    return decoded.where(p.isNotNull()).select(
+        "device_id", "ts", p["id"].alias("id"), p["type"].alias("type"), p["severity"].alias("severity")
+    )
+
+
+def start_ingest(
+    messages: DataFrame, out: str, checkpoint: str, interval: str | None = None, redelivered_within: str | None = None
+) -> StreamingQuery:
+    """Decode a message stream into tables below ``out``: snapshots, heartbeats, events, usage, quarantine and
+    counters (messages by outcome, a row per batch and outcome).
 
     Every micro-batch owns one folder per table and overwrites it, so a batch that is run again
-    after a failure leaves no duplicate rows. Without an interval all waiting input is processed
-    and the query ends.
+    after a failure leaves no duplicate rows. ``redelivered_within`` drops copies (see ``once``). Without
+    an interval all waiting input is processed and the query ends.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         decoded = parse.decode(parse.subscribed(batch)).persist()
+
+        def put(rows: DataFrame, name: str, *by: str) -> None:
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{out}/{name}/batch={number}")
+
         try:
-            good = features.snapshots(decoded).withColumn("date", F.to_date("ts"))
-            good.write.mode("overwrite").partitionBy("date").parquet(f"{out}/snapshots/batch={number}")
-            parse.quarantined(decoded).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+            put(features.snapshots(decoded).withColumn("date", F.to_date("ts")), "snapshots", "date")
+            put(heartbeats(decoded), "heartbeats")
+            put(device_events(decoded).withColumn("date", F.to_date("ts")), "events", "date")
+            put(hourly_usage(decoded), "usage")
+            put(parse.quarantined(decoded), "quarantine")
+            put(parse.counters(decoded), "counters")
         finally:
             decoded.unpersist()
 
-    writer = messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    rows = once(messages, redelivered_within) if redelivered_within else messages
+    writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def ingested(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """One of the tables; usage and counters are added up over the batches."""
+    rows = spark.read.parquet(f"{out}/{name}")
+    if name == "usage":
+        return rows.groupBy("device_id", "category", "hour").agg(
+            *[F.sum(c).alias(c) for c in ("rx_bytes", "tx_bytes", "active_sec")]
+        )
+    if name == "counters":
+        return rows.groupBy("outcome").agg(F.sum("messages").alias("messages"))
+    return rows.drop("batch", "date")
