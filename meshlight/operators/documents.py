@@ -170,6 +170,11 @@ def fleet_prompt(summary: DataFrame) -> DataFrame:
     return summary.select(F.format_string(V.FLEET_PROMPT, body).alias("prompt"))
 
 
+def with_system(prompts: DataFrame, product: str) -> DataFrame:
+    """Add the ``system`` text that goes before every prompt; ``product`` names the fleet's software."""
+    return prompts.withColumn("system", F.format_string(V.SYSTEM_PROMPT, F.lit(product)))
+
+
 def question_prompt(rows: DataFrame) -> DataFrame:
     """Add the prompt of each question (question, context)."""
     return rows.withColumn("prompt", F.format_string(V.QUESTION_PROMPT, F.col("context"), F.col("question")))

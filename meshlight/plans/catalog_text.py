@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +40,14 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "conversation_chunks",
-    sql="SELECT role, count(*) AS turns FROM conversations GROUP BY 1",
+    sql="""SELECT conv_id, turn, role, substr(sha256(concat_ws(':', 'device', conv_id || '/' || turn, substr(text, 1, 50))), 1, 16) AS id
+      FROM conversations""",
 )
 def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of single devices or sessions keep their id over chunk 0: one row per turn."""
-    rows = T.read(spark, sf_dir, "conversations").select(
-        "role", documents.device_summary_id(F.concat_ws("/", "conv_id", "turn"), F.col("text")).alias("id")
+    return T.read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", documents.device_summary_id(F.concat_ws("/", "conv_id", "turn"), F.col("text")).alias("id")
     )
-    return rows.groupBy("role").agg(F.count_distinct("id").alias("turns"))
 
 
 def _written_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +76,10 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per label: the mean of its vectors."""
-    rows = T.read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
-    means = rows.groupBy("label", "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "m")))
-    return means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
-        F.transform(ordered, lambda e: e["m"]).alias("embedding")
+    rows = T.read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    vectors = rows.select(F.col("label").cast("bigint").alias("query_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return vectors.groupBy("query_id").agg(Summarizer.mean(F.col("v")).alias("m")).select(
+        "query_id", vector_to_array("m").alias("embedding")
     )
 
 
@@ -137,16 +138,21 @@ def chunk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     "unit_vectors",
     "n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings)",
     sql="""SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first,
-      round(e[64] / sqrt(list_dot_product(e, e)), 6) AS last, CAST(1 AS DOUBLE) AS length FROM n""",
+      round(e[64] / sqrt(list_dot_product(e, e)), 6) AS last, CAST(1 AS DOUBLE) AS length,
+      round(list_dot_product(e, list_transform(range(1, 65), lambda i: CAST(i AS DOUBLE))) / sqrt(list_dot_product(e, e)), 5) AS digest FROM n""",
 )
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.read(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("e")
     )
     scaled = rows.select("vec_id", unit(F.col("e")).alias("u"))
+    # Every component counts in the digest, by its place.
+    placed = F.transform("u", lambda x, i: x * (i + 1))
+    digest = F.round(F.aggregate(placed, F.lit(0.0), lambda t, x: t + x), 5)
     return rounded(
         scaled.select(
-            "vec_id", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(63)).alias("last"), norm(F.col("u")).alias("length")
+            "vec_id", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(63)).alias("last"), norm(F.col("u")).alias("length"),
+            digest.alias("digest"),
         ),
         6,
     )
@@ -158,7 +164,8 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have an embedding, as stored chunks."""
     docs = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
-    return vector_store(spark, sf_dir).join(docs, "id")
+    # A document without a vector stays in the store; it is found last.
+    return docs.join(vector_store(spark, sf_dir), "id", "left")
 
 
 CONTEXT_SQL = (
@@ -212,6 +219,26 @@ def fleet_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.fleet_prompt(documents.or_no_context(text)).select(F.sha2("prompt", 256).alias("digest"))
 
 
+_QUESTION = V.QUESTION_PROMPT.replace("'", "''").split("%s")
+
+
+@query(
+    "question_prompts", QUERY_SQL, CONTEXT_SQL,
+    sql=f"""SELECT CAST(query_id AS BIGINT) AS query_id, sha256('{_QUESTION[0]}' || context || '{_QUESTION[1]}' ||
+      'What is wrong with group ' || query_id || '?' || '{_QUESTION[2]}') AS digest,
+      sha256('{V.SYSTEM_PROMPT.replace("%s", "example")}') AS system FROM ctx""",
+)
+def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A technician's question about every label, with the texts nearest to it."""
+    store = text_store(spark, sf_dir)
+    asked = label_queries(spark, sf_dir)
+    found = documents.search_many(store, asked).join(store.select("id", "source", "content"), "id")
+    question = F.concat(F.lit("What is wrong with group "), F.col("query_id").cast("string"), F.lit("?"))
+    rows = documents.or_no_context(asked.select("query_id").join(documents.context(found), "query_id", "left"))
+    prompts = documents.with_system(documents.question_prompt(rows.withColumn("question", question)), "example")
+    return prompts.select("query_id", F.sha2("prompt", 256).alias("digest"), F.sha2("system", 256).alias("system"))
+
+
 def _device_prompt_sql() -> str:
     parts = V.DEVICE_PROMPT.replace("'", "''").split("%")
     slots = [

@@ -250,6 +250,13 @@ NO_FLEET = "No fleet data available for analysis."
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 
 # Prompt texts with %-style slots.
+SYSTEM_PROMPT = (
+    "You are an expert ISP network technician assistant for %s router fleets. "
+    "You analyze telemetry data (QoE scores, speed tests, WiFi metrics, DPI traffic, events) "
+    "to diagnose issues and explain them clearly. Be concise and actionable. "
+    "When referencing metrics, include the actual values."
+)
+
 FLEET_PROMPT = """Summarize the fleet health for the past 24 hours based on the following telemetry data.
 Include: overall health assessment, top issues, devices needing attention, and recommended actions.
 Keep it under 200 words.
