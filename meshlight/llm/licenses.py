@@ -189,12 +189,17 @@ class Scanner:
                         gain = covered[j] + length - max(0, -gap, -skip)
                         if gain > covered[k]:
                             covered[k], opened[k] = gain, opened[j]
+            taken: list[tuple[int, int]] = []  # spans kept, in text order; they do not overlap
             for k in sorted(range(len(blocks)), key=lambda k: (-covered[k], blocks[k])):
                 coverage = min(1.0, covered[k] / self.sizes[number])
                 first, last = opened[k], blocks[k][0] + blocks[k][2] - 1
                 if coverage < MIN_COVERAGE:
                     break
-                if all(last < s[1] or first > s[2] for s in out if s[0] == number):
+                place = bisect_left(taken, (first, last))
+                before_ends = taken[place - 1][1] if place else -1
+                after_begins = taken[place][0] if place < len(taken) else last + 1
+                if before_ends < first and last < after_begins:
+                    taken.insert(place, (first, last))
                     out.append((number, first, last, coverage))
         return out
 
