@@ -150,7 +150,8 @@ def followed(
     carried = without(df.select(*[f"`{c}`" for c in keep]) if keep is not None else df, added.fieldNames())
     kept = df.select(*[f"`{c}`" for c in carried])
     schema = StructType([*kept.schema.fields, *added.fields])
-    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(8, 4 * partitions)  # several a partition, so that hashing evens them out
     keyed = df.select(F.col(f"`{key}`").cast("bigint").alias("__llm_key"))
     _, edges = _ranged(keyed, ranges)
     number = _range_of(F.col("__llm_key"), edges)
@@ -183,7 +184,7 @@ def followed(
             F.col("__llm_to.r").alias("__llm_r"), F.col("__llm_to.side").alias("__llm_side"), "__llm_key", "__llm_text",
             *[f"`__llm_c_{c}`" for c in carried],
         )
-        .repartition(ranges, "__llm_r")
+        .repartition(partitions, "__llm_r")
         .sortWithinPartitions("__llm_r", "__llm_side", "__llm_key", "__llm_text")
     )
 
