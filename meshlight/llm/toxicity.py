@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 A lexicon of word units (whole words and word beginnings) is induced from labelled training rows: the
-units that toxic texts hold far more often than others. Its units are dealt to voters, which vote toxic
+units that toxic texts hold far more often than others. Its units are all kept, counted in a bounded
+number of columns by their rank, and dealt to voters, which vote toxic
 when a text holds one of theirs and abstain otherwise; patterns of writing vote as well, and two voters
 vote against. The given label is a voter like the others. A generative label model, fitted to the
 votes alone, estimates how often each voter speaks in either class and how the voters' errors correlate,
@@ -26,11 +27,13 @@ from meshlight.llm.batches import appended, text_of
 from meshlight.session import written
 
 SAMPLE_ROWS = 20_000
-UNITS = 256
+SLOTS = 384  # columns that hold the counts of all units
+OWN_SLOTS = 256  # units of the most evidence, which share no column once units outnumber columns
 MIN_TEXTS = 4  # toxic texts that must hold a unit
 MIN_ODDS = 3.0  # log odds ratio
 PREFIXES = (4, 5, 6)
-VOTERS = 32
+VOTERS = 32  # of the units of the most evidence
+SHARED_VOTERS = 16  # of the others
 SEED_SHARE = 0.1  # share of toxic texts that the label model starts from
 
 _APART = np.ones(256, bool)
@@ -43,6 +46,7 @@ _BANG[ord("!")] = True
 _STAR = np.zeros(256, bool)
 _STAR[ord("*")] = True
 PATTERNS = ("shouting", "exclaiming", "stretched", "masked")
+_TAIL = len(PATTERNS) + 3  # features after the unit counts
 
 
 def _lowered(run: W.Run) -> W.Run:
@@ -80,36 +84,92 @@ def _patterns(run: W.Run, n_words: np.ndarray) -> np.ndarray:
     ])
 
 
-def _features(texts: pa.Array, units: np.ndarray) -> np.ndarray:
-    """Of each text: counts of each (sorted) unit, patterns, words, and words that hold a unit."""
-    n = len(texts)
-    out = np.zeros((n, len(units) + len(PATTERNS) + 2), np.float32)
+@dataclass(frozen=True)
+class Lexicon:
+    """Sorted unit hashes and the column of each; the first ``own`` of the columns hold one unit."""
+
+    units: np.ndarray
+    slots: np.ndarray
+    width: int
+    own: int
+
+
+def _odds(a, b, n_toxic: int, n_clean: int, log=np.log):
+    """Log odds ratio of a unit that a toxic and b other texts hold."""
+    return log((a + 0.5) / (n_toxic - a + 0.5)) - log((b + 0.5) / (n_clean - b + 0.5))
+
+
+def lexicon(units: np.ndarray, a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> tuple[Lexicon, Lexicon, Lexicon]:
+    """All units that pass, in at most ``SLOTS`` columns; and the units as a toxic and as another training text sees them.
+
+    As many units as columns or fewer have a column each. Of more, the ``OWN_SLOTS`` of the most evidence do,
+    and the others share the rest with neighbours in rank: a column's share of ranks grows with the rank.
+
+    A training text sees the units that pass without its own count, so that units of chance do not look
+    better on the texts they were found in than on others.
+    """
+    evidence = a * _odds(a, b, n_toxic, n_clean)
+    order = np.lexsort((units, -evidence))
+    units, a, b, evidence = units[order], a[order], b[order], evidence[order]
+
+    def passing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a >= MIN_TEXTS) & (_odds(a, b, n_toxic, n_clean) >= MIN_ODDS)
+
+    kept = passing(a, b)
+    n = int(kept.sum())
+    # The others' rank is that of the next unit kept.
+    slots = np.minimum(np.cumsum(kept) - kept, max(0, n - 1))
+    width, own = min(n, SLOTS), n if n <= SLOTS else OWN_SLOTS
+    if n > SLOTS:
+        depth = np.log(np.maximum(1.0, (slots + 1) / (own + 1))) / np.log((n + 1) / (own + 1))
+        slots = np.where(slots < own, slots, own + np.minimum(width - own - 1, (depth * (width - own)).astype(int)))
+
+    def of(chosen: np.ndarray) -> Lexicon:
+        chosen = chosen if n else np.zeros(len(units), bool)
+        by_hash = np.argsort(units[chosen])
+        return Lexicon(units[chosen][by_hash], slots[chosen][by_hash], width, own)
+
+    return of(kept), of(passing(a - 1, b)), of(passing(a, np.maximum(0, b - 1)))
+
+
+def _features(texts: pa.Array, known: Lexicon) -> np.ndarray:
+    """Of each text: counts of the units of each column, patterns, words, words with a unit that has a
+    column of its own, and words with other units alone."""
+    n, units = len(texts), known.units
+    out = np.zeros((n, known.width + _TAIL), np.float32)
     for run in W.runs(texts):
         hashes, words, doc = _units(run)
         rows = slice(run.first, run.first + run.n)
         n_words = W.counts_per(doc, run.n)
-        out[rows, len(units) : -2] = _patterns(run, n_words)
-        out[rows, -2] = n_words
+        out[rows, known.width : -3] = _patterns(run, n_words)
+        out[rows, -3] = n_words
         if len(units):
-            hit_word = np.zeros(len(doc), bool)
+            own_word, hit_word = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
             for h, w in zip(hashes, words):
                 place = np.minimum(np.searchsorted(units, h), len(units) - 1)
                 hit = np.flatnonzero(units[place] == h)
-                np.add.at(out, (run.first + doc[w[hit]], place[hit]), 1)
+                slots = known.slots[place[hit]]
+                np.add.at(out, (run.first + doc[w[hit]], slots), 1)
                 hit_word[w[hit]] = True
-            out[rows, -1] = W.counts_per(doc[hit_word], run.n)
+                own_word[w[hit[slots < known.own]]] = True
+            out[rows, -2] = W.counts_per(doc[own_word], run.n)
+            out[rows, -1] = W.counts_per(doc[hit_word & ~own_word], run.n)
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted unit hashes and the classifier's weights on its inputs."""
+    """The lexicon and the classifier's weights on its inputs."""
 
-    units: np.ndarray
+    lexicon: Lexicon
     weights: np.ndarray
 
+    @property
+    def units(self) -> np.ndarray:
+        return self.lexicon.units
+
     def score(self, texts: pa.Array) -> np.ndarray:
-        return _sigmoid(_inputs(_features(texts, self.units)) @ self.weights)
+        return _sigmoid(_inputs(_features(texts, self.lexicon)) @ self.weights)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -117,27 +177,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _inputs(features: np.ndarray) -> np.ndarray:
-    """Of each text: damped unit counts, patterns, damped number and share of words with a unit, and 1."""
-    n_words, hits = features[:, -2], features[:, -1]
-    units = features[:, : -2 - len(PATTERNS)]
+    """Of each text: damped unit counts, patterns, damped number and share of words with a unit, and 1.
+
+    Words that only units of little evidence know are numbered apart: in a large lexicon chance brings some.
+    """
+    n_words = np.maximum(1, features[:, -3])
+    units = features[:, :-_TAIL]
+    numbers = [f(hits) for hits in (features[:, -2], features[:, -1]) for f in (
+        np.log1p, lambda x: np.minimum(x, 2), lambda x: np.minimum(1.0, 20 * x / n_words),
+    )]
     return np.column_stack([
-        np.log1p(np.minimum(units, 8)), features[:, -2 - len(PATTERNS) : -2], np.log1p(hits),
-        np.minimum(hits, 2), np.minimum(1.0, 20 * hits / np.maximum(1, n_words)), np.ones(len(features)),
+        np.log1p(np.minimum(units, 8)), features[:, -_TAIL:-3], *numbers, np.ones(len(features)),
     ]).astype(np.float64)
 
 
-def votes(features: np.ndarray, by_rank: np.ndarray, voters: int = VOTERS) -> np.ndarray:
+def votes(features: np.ndarray, own: int) -> np.ndarray:
     """Votes (1 toxic, -1 not, 0 abstain).
 
-    Each lexicon voter has units of about the same rank. Two more ask for a second and a fourth word
-    of the lexicon, four look at patterns, and two vote against texts with none or one such word.
+    Each lexicon voter has units of about the same rank; the first ``own`` columns hold one unit each. Two
+    more ask for a second and a fourth word with such a unit, four look at patterns, and two vote against
+    texts with none or one word of the lexicon.
     """
-    units = features[:, : -2 - len(PATTERNS)][:, by_rank]
-    patterns, hits = features[:, -2 - len(PATTERNS) : -2], features[:, -1]
-    cast = [(part > 0).any(axis=1).astype(int) for part in np.array_split(units, voters, axis=1) if part.shape[1]]
+    units = features[:, :-_TAIL]
+    patterns, hits, others = features[:, -_TAIL:-3], features[:, -2], features[:, -1]
+    parts = np.array_split(units[:, :own], VOTERS, axis=1) + np.array_split(units[:, own:], SHARED_VOTERS, axis=1)
+    cast = [(part > 0).any(axis=1).astype(int) for part in parts if part.shape[1]]
     cast += [(hits >= 2).astype(int), (hits >= 4).astype(int)]
     cast += [(patterns[:, k] > bound).astype(int) for k, bound in enumerate((0.4, 0.05, 0.02, 0.02))]
-    cast += [np.where(hits == 0, -1, 0), np.where(hits <= 1, -1, 0)]
+    cast += [np.where(hits + others == 0, -1, 0), np.where(hits + others <= 1, -1, 0)]
     return np.column_stack(cast)
 
 
@@ -195,6 +262,16 @@ def linear_classifier(inputs: np.ndarray, target: np.ndarray, penalty: float = 1
     return weights
 
 
+def _training_features(batch: pa.RecordBatch, seen: list[Lexicon]) -> np.ndarray:
+    """Features of (text, toxic) rows, by the units that each sees, and the label."""
+    toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    parts = []
+    for label, known in ((True, seen[0]), (False, seen[1])):
+        texts = batch.column(0).filter(pa.array(toxic == label))
+        parts.append(np.column_stack([_features(texts, known), np.full(len(texts), label, np.float32)]))
+    return np.concatenate(parts)
+
+
 def _unit_counts(batches):
     """Per batch and unit: texts that are toxic and texts that are not, which hold it."""
     for batch in batches:
@@ -252,34 +329,30 @@ def train(
     held = texts.mapInArrow(_unit_counts, "unit bigint, toxic bigint, clean bigint").groupBy("unit").agg(
         F.sum("toxic").alias("a"), F.sum("clean").alias("b")
     ).where(F.col("a") >= MIN_TEXTS)
-    odds = F.log((F.col("a") + 0.5) / (F.lit(n_toxic) - F.col("a") + 0.5)) - F.log(
-        (F.col("b") + 0.5) / (F.lit(n - n_toxic) - F.col("b") + 0.5)
-    )
-    # Ranked by the evidence a unit brings in all; the UNITS first are a fixed number of rows.
-    best = held.where(odds >= MIN_ODDS).orderBy((F.col("a") * odds).desc(), "unit").limit(UNITS).select("unit").collect()
-    units = np.sort(np.array([r["unit"] for r in best], np.int64).view(np.uint64))
-    rank = {int(np.int64(r["unit"])): i for i, r in enumerate(best)}
-    by_rank = np.argsort([rank[int(u)] for u in units.view(np.int64)], kind="stable") if len(units) else np.zeros(0, int)
+    # Every unit that passes is kept, or would pass without one of the other texts that hold it.
+    fewer = F.greatest(F.col("b") - 1, F.lit(0))
+    held = held.where(_odds(F.col("a"), fewer, n_toxic, n - n_toxic, F.log) >= MIN_ODDS - 1e-9).toArrow()
+    unit, a, b = (held[c].to_numpy() for c in ("unit", "a", "b"))
+    known, *seen = lexicon(unit.view(np.uint64), a, b, n_toxic, n - n_toxic)
+    shipped = df.sparkSession.sparkContext.broadcast(seen)
 
     def features(batches):
         for batch in batches:
-            flat = _features(batch.column(0), units)
-            labels_ = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float32)
-            flat = np.column_stack([flat, labels_])
+            flat = _training_features(batch, shipped.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float32()))], ["x"]
             )
 
-    # The bounded sample's features, about UNITS numbers a row.
+    # The bounded sample's features, about SLOTS numbers a row.
     rows_ = texts.mapInArrow(features, "x array<float>").toArrow()["x"].combine_chunks()
-    width = len(units) + len(PATTERNS) + 3
+    width = known.width + _TAIL + 1
     flat = rows_.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(rows_) else np.zeros((0, width), np.float32)
     flat = flat[np.lexsort(flat.T[::-1])]  # the same sums whatever order the rows arrive in
     given, flat = flat[:, -1].astype(int), flat[:, :-1]
     # The given label is one voter more, whose errors are estimated like the others'; it is the first guess.
-    cast = np.column_stack([votes(flat, by_rank), given, given - 1])
+    cast = np.column_stack([votes(flat, known.own), given, given - 1])
     posterior = label_model(cast, np.where(given == 1, 0.9, 0.02))
-    return Model(units, linear_classifier(_inputs(flat), posterior))
+    return Model(known, linear_classifier(_inputs(flat), posterior))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -287,5 +360,5 @@ def scored(df: DataFrame, model: Model, text: str = "text", keep: list[str] | No
 
     Repeated rows give repeated results; an input column named ``toxicity`` is replaced.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(model)  # UNITS hashes and weights
+    shipped = df.sparkSession.sparkContext.broadcast(model)  # the units' hashes, columns and weights
     return appended(df, text, "toxicity double", lambda texts: {"toxicity": shipped.value.score(texts)}, keep)

@@ -450,6 +450,26 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(none, model).count() == 0
 
 
+def test_toxicity_keeps_every_unit(spark):
+    """Four hundred toxic words, one a text: far more units than columns."""
+    import itertools
+
+    bad = ["".join(p) + "zuk" for p in itertools.islice(itertools.product("bdfghklmn", "aeiou", "prstvwx", "aei"), 0, 800, 2)]
+    rows = [(i, f"plain words stand around {bad[i % 400]} in text {i}", 1) for i in range(2400)]
+    rows += [(2400 + i, f"plain words stand around clean{i % 40} in text {i}", 0) for i in range(7200)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(frame, labels)
+    assert {hash_of(w) for w in bad} <= set(model.units.tolist())
+    scores = model.score(pa.array([t for _, t, _ in rows]))
+    assert all((s >= 0.5) == bool(y) for s, (_, _, y) in zip(scores, rows))
+
+
+def hash_of(word):
+    (run,) = W.runs(pa.array([word]))
+    return int(run.hashes(np.array([0]), np.array([len(word)]))[0])
+
+
 def scores_of_nothing(model):
     return model.score(pa.array([""]))[0]
 
