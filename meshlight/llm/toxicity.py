@@ -9,8 +9,9 @@ votes alone, estimates how often each voter speaks in either class and how the v
 and turns votes into a posterior label. A linear classifier on unit counts and patterns is trained on the posterior labels
 and scores every text.
 
-Lexicon, label model and classifier are fitted on at most about ``SAMPLE_ROWS`` labelled rows, picked by
-a hash of their id; scoring is one pass over whole texts without a shuffle.
+Lexicon and label model are fitted to all labelled rows, by counts of units and of vote patterns; the
+classifier to at most about ``SAMPLE_ROWS`` of them, picked by a hash of the text. Scoring is one pass over
+whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -208,39 +209,48 @@ def votes(features: np.ndarray, own: int) -> np.ndarray:
     return np.column_stack(cast)
 
 
-def label_model(cast: np.ndarray, start: np.ndarray | None = None, rounds: int = 100) -> np.ndarray:
+def label_model(
+    cast: np.ndarray, start: np.ndarray | None = None, rounds: int = 100, counts: np.ndarray | None = None
+) -> np.ndarray:
     """Posterior probability of toxic for each row of votes, from a first guess (else: any vote for it).
 
     Expectation-maximisation over how often each voter speaks in either class gives its log odds. Voters
     that speak together beyond what the classes explain repeat one another: with the correlations of
-    their residuals, a vote counts the less the more of its like are cast on the same row.
+    their residuals, a vote counts the less the more of its like are cast on the same row. A row may
+    stand for ``counts`` equal ones.
     """
     if not len(cast):
         return np.zeros(0)
-    speaks = (cast != 0).astype(float)
+    speaks = cast != 0
+    counts = np.ones(len(cast)) if counts is None else counts.astype(float)
+    parts = [slice(at, at + 65_536) for at in range(0, len(cast), 65_536)]  # numbers are wide, votes are not
     own = np.where((cast == -1).any(axis=0), 0, 1)
     toxic = np.where((cast == 1).any(axis=1), 0.9, 0.02) if start is None else start
     odds = np.zeros(cast.shape[1])
     for _ in range(rounds):
-        mass = np.array([(1 - toxic).sum(), toxic.sum()])
-        rate = np.column_stack([(1 - toxic) @ speaks, toxic @ speaks])
+        both = np.column_stack([(1 - toxic) * counts, toxic * counts])
+        mass = both.sum(axis=0)
+        rate = sum(speaks[p].T.astype(float) @ both[p] for p in parts)
         # A weak prior: a voter speaks in its own class more often than in the other.
         rate = (rate + np.where(np.arange(2) == own[:, None], 0.6, 0.02)) / (mass + 1)
         log_ratio = np.log(rate[:, 1] / rate[:, 0])
         new = np.where(own == 1, np.clip(log_ratio, 0, 8), np.clip(log_ratio, -8, 0))
         share = float(np.clip((mass[1] + 1) / (mass.sum() + 10), 0.005, 0.5))
         base = np.log(share / (1 - share))
-        toxic = _sigmoid(base + speaks @ new)
+        toxic = _sigmoid(base + np.concatenate([speaks[p] @ new for p in parts]))
         done = np.abs(new - odds).max() < 1e-8
         odds = new
         if done:
             break
-    residual = speaks - np.outer(1 - toxic, rate[:, 0]) - np.outer(toxic, rate[:, 1])
-    spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-    correlation = (residual.T @ residual) / len(cast) / np.outer(spread, spread)
-    repeats = np.clip(correlation, 0, 1)
+    moments = np.zeros((len(own), len(own)))
+    for p in parts:
+        residual = speaks[p] - np.outer(1 - toxic[p], rate[:, 0]) - np.outer(toxic[p], rate[:, 1])
+        moments += (residual * counts[p, None]).T @ residual
+    moments /= counts.sum()
+    spread = np.sqrt(np.diag(moments)) + 1e-9
+    repeats = np.clip(moments / np.outer(spread, spread), 0, 1)
     np.fill_diagonal(repeats, 0)
-    return _sigmoid(base + (speaks * odds / (1 + speaks @ repeats)).sum(axis=1))
+    return _sigmoid(base + np.concatenate([(speaks[p] * odds / (1 + speaks[p] @ repeats)).sum(axis=1) for p in parts]))
 
 
 def linear_classifier(inputs: np.ndarray, target: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> np.ndarray:
@@ -296,36 +306,62 @@ def _unit_counts(batches):
             )
 
 
-def training_rows(
-    df: DataFrame, labels: DataFrame, text: str, key: str, label: str, rows: int = SAMPLE_ROWS
-) -> DataFrame:
-    """(text, toxic) of at most about ``rows`` labelled rows, picked by a hash of their id; equal texts once.
+_PAGE = 15  # bits of a bitmap page's positions
+MAX_BITS = 1 << 29  # of the bitmap that sifts texts; beyond it more texts pass in vain
 
-    The ids picked are the whole table if it is smaller. Rows with a null id or label teach nothing;
-    of several labels of one id the largest holds.
+
+def _sifted(texts: DataFrame, marks: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``__llm_text`` may be one of the n of ``marks``: all that are, and few others.
+
+    One bit of a broadcast bitmap for each, so that other texts are not shuffled.
+    """
+    bits = min(MAX_BITS, max(1 << _PAGE, 1 << (8 * n).bit_length()))
+    place = F.col("__llm_text").bitwiseAND(F.lit(bits - 1))
+    page, at = F.shiftright(place, _PAGE).cast("int"), place.bitwiseAND(F.lit((1 << _PAGE) - 1))
+    pages = marks.select(page.alias("__page"), at.alias("at")).groupBy("__page").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return texts.join(F.broadcast(pages), page == F.col("__page")).where(bit).select(*texts.columns)
+
+
+def training_rows(df: DataFrame, labels: DataFrame, text: str, key: str, label: str) -> DataFrame:
+    """(__llm_text, text, toxic) of every labelled row; equal texts once, with the hash of the text.
+
+    Rows with a null id or label teach nothing; of several labels of one id, or of equal texts, the
+    largest holds. Ids and hashes meet the labels first, so that only texts that have one are shuffled.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__llm_id")).agg(
         F.max(F.col(label).cast("int")).alias("toxic")
     )
-    known = known.select(F.col(key).alias("__llm_id"), F.col("toxic").alias("toxic"))
-    part = min(1.0, rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("__llm_id", F.lit("toxicity")), F.lit(1 << 24)) < int(part * (1 << 24)))
-    # At most about ``rows`` ids of a few bytes each.
-    joined = df.select(text_of(text).alias("text"), F.col(f"`{key}`").alias("__llm_key")).join(
-        F.broadcast(picked), F.col("__llm_key") == F.col("__llm_id")
-    )
-    # Within equal texts the largest label holds.
-    hashed = joined.withColumn("__llm_text", F.xxhash64("text"))
-    return hashed.groupBy("__llm_text").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    hashed = df.select(F.xxhash64(text_of(text)).alias("__llm_text"), F.col(f"`{key}`").alias("__llm_key"))
+    marks = hashed.where("__llm_key IS NOT NULL").distinct().join(known, F.col("__llm_key") == F.col("__llm_id"))
+    marks = written(marks.groupBy("__llm_text").agg(F.max("toxic").alias("toxic")), "toxicity-labels")
+    texts = df.select(F.xxhash64(text_of(text)).alias("__llm_text"), text_of(text).alias("text"))
+    once = _sifted(texts, marks, marks.count()).groupBy("__llm_text").agg(F.first("text").alias("text"))
+    return once.join(marks, "__llm_text").select("__llm_text", "text", "toxic")
+
+
+def _cast(features: np.ndarray, own: int) -> np.ndarray:
+    """Votes and the given label, the last of the features: one voter more, whose errors are estimated too."""
+    given = features[:, -1].astype(int)
+    return np.column_stack([votes(features[:, :-1], own), given, given - 1])
+
+
+def _mask(cast: np.ndarray) -> np.ndarray:
+    """Which voters speak, as bits. A voter speaks for one class only."""
+    return (cast != 0) @ (1 << np.arange(cast.shape[1], dtype=np.int64))
 
 
 def train(
     df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS
 ) -> Model:
-    """Fit the lexicon, the label model and the classifier. Without toxic rows every score is low."""
-    sample = written(training_rows(df, labels, text, key, label, rows), "toxicity-sample")
-    n_toxic, n = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.count(F.lit(1))).first())
-    texts = sample.select("text", "toxic")
+    """Fit lexicon and label model to all labelled rows, the classifier to about ``rows`` of them.
+
+    Without toxic rows every score is low.
+    """
+    every = written(training_rows(df, labels, text, key, label), "toxicity-training")
+    n_toxic, n = (int(x or 0) for x in every.agg(F.sum("toxic"), F.count(F.lit(1))).first())
+    texts = every.select("text", "toxic")
     held = texts.mapInArrow(_unit_counts, "unit bigint, toxic bigint, clean bigint").groupBy("unit").agg(
         F.sum("toxic").alias("a"), F.sum("clean").alias("b")
     ).where(F.col("a") >= MIN_TEXTS)
@@ -334,7 +370,12 @@ def train(
     held = held.where(_odds(F.col("a"), fewer, n_toxic, n - n_toxic, F.log) >= MIN_ODDS - 1e-9).toArrow()
     unit, a, b = (held[c].to_numpy() for c in ("unit", "a", "b"))
     known, *seen = lexicon(unit.view(np.uint64), a, b, n_toxic, n - n_toxic)
-    shipped = df.sparkSession.sparkContext.broadcast(seen)
+    own, shipped = known.own, df.sparkSession.sparkContext.broadcast(seen)
+
+    def patterns(batches):
+        for batch in batches:
+            masks, counts = np.unique(_mask(_cast(_training_features(batch, shipped.value), own)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(counts.astype(np.int64))], ["mask", "n"])
 
     def features(batches):
         for batch in batches:
@@ -343,16 +384,22 @@ def train(
                 [pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float32()))], ["x"]
             )
 
+    # The distinct patterns of votes, two numbers each.
+    voted = texts.mapInArrow(patterns, "mask bigint, n bigint").groupBy("mask").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(masks := voted["mask"].to_numpy())
+    masks, counts = masks[order], voted["n"].to_numpy()[order]
+    signs = _cast(np.zeros((1, known.width + _TAIL + 1), np.float32), own)[0]  # a text of nothing casts all votes against
+    cast = np.where(masks[:, None] >> np.arange(len(signs)) & 1, np.where(signs < 0, -1, 1), 0).astype(np.int8)
+    posterior = label_model(cast, np.where(cast[:, -2] == 1, 0.9, 0.02), counts=counts)
+
     # The bounded sample's features, about SLOTS numbers a row.
-    rows_ = texts.mapInArrow(features, "x array<float>").toArrow()["x"].combine_chunks()
+    part = F.pmod(F.xxhash64("__llm_text", F.lit("toxicity")), F.lit(1 << 24)) < int(min(1.0, rows / max(1, n)) * (1 << 24))
+    rows_ = every.where(part).select("text", "toxic").mapInArrow(features, "x array<float>").toArrow()["x"].combine_chunks()
     width = known.width + _TAIL + 1
     flat = rows_.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(rows_) else np.zeros((0, width), np.float32)
     flat = flat[np.lexsort(flat.T[::-1])]  # the same sums whatever order the rows arrive in
-    given, flat = flat[:, -1].astype(int), flat[:, :-1]
-    # The given label is one voter more, whose errors are estimated like the others'; it is the first guess.
-    cast = np.column_stack([votes(flat, known.own), given, given - 1])
-    posterior = label_model(cast, np.where(given == 1, 0.9, 0.02))
-    return Model(known, linear_classifier(_inputs(flat), posterior))
+    target = posterior[np.searchsorted(masks, _mask(_cast(flat, own)))]
+    return Model(known, linear_classifier(_inputs(flat[:, :-1]), target))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

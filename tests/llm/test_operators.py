@@ -465,6 +465,17 @@ def test_toxicity_keeps_every_unit(spark):
     assert all((s >= 0.5) == bool(y) for s, (_, _, y) in zip(scores, rows))
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """A word of eight toxic texts among three thousand, and a sample of three hundred for the classifier."""
+    rows = [(i, f"plain words stand around {'zorgon' if i % 50 else 'vuxaly'} in text {i}", 1) for i in range(400)]
+    rows += [(400 + i, f"plain words stand around clean{i % 40} in text {400 + i}", 0) for i in range(2600)]
+    frame = spark.createDataFrame([r[:2] for r in [*rows, *rows]] + [(9999, rows[0][1])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    taught = toxicity.training_rows(frame, labels, "text", "doc_id", "toxic").collect()
+    assert sorted((r.text, r.toxic) for r in taught) == sorted((t, y) for _, t, y in rows)
+    assert hash_of("vuxaly") in toxicity.train(frame, labels, rows=300).units.tolist()
+
+
 def hash_of(word):
     (run,) = W.runs(pa.array([word]))
     return int(run.hashes(np.array([0]), np.array([len(word)]))[0])
