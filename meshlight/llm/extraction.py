@@ -4,7 +4,8 @@ A page is read into a tree, leniently: unclosed and misnested elements end where
 end them, and a tag that the page breaks off in is dropped. Every paragraph passes points for its
 length and commas to its ancestors, fewer with the distance; an ancestor's points are discounted by
 its link density. The container with the most points, widened to the article it lies in, is kept
-with those siblings that score alike. Menus, page headers and footers, sidebars, notices, adverts,
+with those siblings that score alike; where no element marks the article, with all siblings but menus
+and those that are mostly links. Menus, page headers and footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are known by element, role or the words of class and id,
 and neither score nor appear.
 """
@@ -258,9 +259,14 @@ def main_text(page: str) -> str:
             if up.tag == "article":
                 break
         up = up.parent
+    marked = best.article
+    while not marked and best.parent is not None and best.parent.length == best.length:
+        best = best.parent  # a wrapper that holds nothing else
     limit = max(10.0, 0.2 * best.score)
 
     def alike(sibling: _Node) -> bool:
+        if not marked:  # no element says where the article ends: only menus and links are left out
+            return not sibling.menu and _density(sibling) < 0.5
         if sibling.tag == "h1":
             return sibling.first < best.first
         if sibling.tag == "p":
@@ -272,7 +278,8 @@ def main_text(page: str) -> str:
         node.kept = node is best or (
             up is not None and (up.kept or (up is best.parent and alike(node)))
         )
-    return "\n\n".join(text for node, text, _ in blocks if node.kept)
+    beside = None if marked else best.parent  # whose own text stands beside the best container
+    return "\n\n".join(text for node, text, linked in blocks if node.kept or (node is beside and linked * 2 < len(text)))
 
 
 def _extracted(pages: pa.Array) -> dict[str, pa.Array]:

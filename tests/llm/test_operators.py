@@ -420,6 +420,18 @@ def test_templates_survive_small_changes(spark):
     assert row.labels == "mit" and row.n_base == 0 and row.score > 0.9 and row.spans[0]["first"] == 3
 
 
+def test_extraction_keeps_siblings_without_article():
+    long = "".join(f"<p>Paragraph {i}, {'with many words, ' * 12}and an end.</p>" for i in range(10))
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Some other page {i}</a></li>" for i in range(5)) + "</ul>"
+    page = (
+        "<body><div><p>Short start.</p><h2>Heading</h2><div>" + long + "</div><ul><li>Item, with text</li></ul>"
+        "Bare words.<table><tr><td>Cell</td></tr></table><pre>x = 1</pre><p><a href='/'>Only a link here</a></p>" + menu + "</div></body>"
+    )
+    got = extraction.main_text(page).split("\n\n")
+    assert got[:2] == ["Short start.", "Heading"] and len(got) == 16
+    assert got[-4:] == ["Item, with text", "Bare words.", "Cell", "x = 1"]
+
+
 # ------------------------------------------------------------------------------ toxicity
 
 
