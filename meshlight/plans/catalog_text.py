@@ -261,7 +261,9 @@ def _device_prompt_sql() -> str:
       JOIN tops USING (device_id), (SELECT context FROM ctx WHERE query_id = 0)""",
 )
 def device_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jobs.device_prompts(
-        explained(spark, sf_dir), stand_in_risk(spark, sf_dir), text_store(spark, sf_dir), _first_query(spark, sf_dir)
-    )
+    """The tables hold no vectors of the devices' questions: every device asks with that of label 0."""
+    scored = explained(spark, sf_dir)
+    first = F.array(*[F.lit(x) for x in _first_query(spark, sf_dir)])
+    asked = scored.select("device_id", first.alias("embedding"))
+    rows = jobs.device_prompts(scored, stand_in_risk(spark, sf_dir), text_store(spark, sf_dir), asked)
     return rows.select("device_id", F.sha2("prompt", 256).alias("digest"))

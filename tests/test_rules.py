@@ -177,3 +177,22 @@ def test_outbox_follows_impact(spark):
     )
     got = sorted((r.impact, r.channel) for r in remediation.outbox(recs).collect())
     assert got == [("high", "email"), ("high", "slack"), ("medium", "slack")]
+
+
+def test_device_prompts_have_their_own_context(spark):
+    from meshlight.plans import jobs
+
+    scored = spark.createDataFrame(
+        [(d, 0.5, 50.0, 10.0, 1.0, 9.0, []) for d in ("a", "b", "c", "d")],
+        "device_id string, anomaly_score double, qoe_composite_latest double, dl_mbps_latest double, ul_mbps_latest double, "
+        "latency_idle_ms double, top_features array<struct<name: string, value: double, zscore: double>>",
+    )
+    risk = spark.createDataFrame([("a", 5.0)], "device_id string, risk_score double")
+    store = spark.createDataFrame(
+        [("1", "wifi", "about wifi", [1.0, 0.0]), ("2", "bloat", "about bloat", [0.0, 1.0])],
+        "id string, source string, content string, embedding array<double>",
+    )
+    asked = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.1, 1.0]), ("c", [0.1, 1.0]), ("d", None)], "device_id string, embedding array<double>")
+    prompts = {r.device_id: r.prompt for r in jobs.device_prompts(scored, risk, store, asked, 1).collect()}
+    held = {d: [t for t in ("about wifi", "about bloat") if t in p] for d, p in prompts.items()}
+    assert held == {"a": ["about wifi"], "b": ["about bloat"], "c": ["about bloat"], "d": []}
