@@ -42,6 +42,15 @@ General Public License as published by the Free Software Foundation; either vers
 option) any later version."""),
     ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
 Lesser General Public License as published by the Free Software Foundation"""),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+(at your option) any later version."""),
+    ("lgpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+your option) any later version."""),
+    ("agpl-3", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+your option) any later version."""),
     ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
 the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy,

@@ -186,7 +186,7 @@ class Scanner:
                     a, p, n = blocks[j]
                     gap, skip = at - (a + n), place - (p + n)
                     if -n < gap <= MAX_GAP and -n < skip <= MAX_GAP and at > a and place > p:
-                        gain = covered[j] + length - max(0, -gap, -skip)
+                        gain = covered[j] + length - max(0, -gap, -skip) - max(0, gap - max(0, skip))  # inserted words
                         if gain > covered[k]:
                             covered[k], opened[k] = gain, opened[j]
             taken: list[tuple[int, int]] = []  # spans kept, in text order; they do not overlap
@@ -201,7 +201,13 @@ class Scanner:
                 if before_ends < first and last < after_begins:
                     taken.insert(place, (first, last))
                     out.append((number, first, last, coverage))
-        return out
+        # Templates share wording: of spans that share most of the shorter one the one that covers more words holds.
+        held: list[tuple[int, int, int, float]] = []
+        for span in sorted(out, key=lambda s: (-s[3] * self.sizes[s[0]], -s[3], s)):
+            _, first, last, _ = span
+            if all(2 * (min(last, l) - max(first, f) + 1) <= min(last - first, l - f) + 1 for _, f, l, _ in held):
+                held.append(span)
+        return sorted(held)
 
 
 RESULT = (

@@ -413,6 +413,19 @@ def test_matching_statistics():
             assert not length or scanner.automaton.ends[state] == places(length)
 
 
+def test_templates_compete_for_a_notice(spark):
+    gpl = {label: text for label, text in licenses.TEMPLATES if label in ("gpl-2", "gpl-3")}
+    notices = [
+        ("gpl-2", gpl["gpl-2"]), ("gpl-3", gpl["gpl-3"]), ("agpl-3", gpl["gpl-3"].replace("General", "Affero General")),
+        ("lgpl", gpl["gpl-2"].replace("General", "Lesser General").replace("program", "library").replace("version 2", "version 2.1")),
+        ("lgpl", gpl["gpl-3"].replace("General", "Lesser General")),
+        ("lgpl", gpl["gpl-2"].replace("General", "Lesser General").replace("version 2", "version 2.1")),
+    ]
+    frame = spark.createDataFrame([(i, f"some words {t} other words") for i, (_, t) in enumerate(notices)], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in licenses.scanned(frame).collect()}
+    assert [got[i] for i in range(len(notices))] == [label for label, _ in notices]
+
+
 def test_templates_survive_small_changes(spark):
     mit = licenses.TEMPLATES[0][1].replace("merge, publish", "merge, print, publish")
     frame = spark.createDataFrame([(1, "intro words here " + mit + " end")], "doc_id bigint, text string")
