@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlight.llm import extraction, licenses, lm, mixing, order_minhash, packing, quality, simhash, toxicity, url_filters
+from meshlight.llm import (
+    alignment, extraction, licenses, lm, mixing, order_minhash, packing, pii, quality, simhash, toxicity, url_filters, whitening,
+)
 from meshlight.session import tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +60,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Two integers per rule and row, read twice: by the fit and by the verdicts.
@@ -206,3 +214,35 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    explained = F.array(*[F.lit(x).cast("double") for x in model.explained()]).cast("array<double>")
+    return whitening.whitened(vectors, model, keep=["vec_id"]).select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")
+    ).select(
+        "vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(model.n).cast("bigint").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened",
+        F.get(explained, F.col("place")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+@query("op12_personal_data")
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scanned(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [F.size(pii.of_kind(F.col("found"), [k])).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    base = pii.written_out(pii.of_kind(F.col("found"), pii.BASE))
+    return rows.select(
+        "doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.written_out(F.col("found")).alias("spans")
+    )
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe(), keep=["doc_id"]).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
