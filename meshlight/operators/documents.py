@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,16 @@ from meshlight.functions.barrier import settled
 from meshlight.functions.rounding import fixed_text, round_even
 from meshlight.functions.vectors import cosine
 from meshlight.operators.store import row_hash
+from meshlight.session import written
 
 _METADATA_KEY = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 
-# Queries shipped to every task at once; more are searched in several passes.
+# Rows that meet in one group of a batch search: blocks grow in number with the tables, not in size.
 QUERY_BLOCK = 2048
+STORE_BLOCK = 8192
+BUCKET_ROWS = 64
+MOST_BITS, TURNED_BITS = 48, 10
+_STRIP = 128  # queries of a block compared at once, to bound memory
 
 
 def chunk_id(source: Column, index: Column, content: Column) -> Column:
@@ -88,6 +94,54 @@ def _unit(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _blocks(rows: DataFrame, size: int) -> int:
+    """Number of hashed blocks of about ``size`` rows."""
+    return rows.count() // size + 1
+
+
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _best_of_groups(asked: DataFrame, held: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """(query_id, id, similarity): at most k rows per query from each group that both tables share."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": left["asked_id"][:0], "id": right["held_id"][:0], "similarity": np.zeros(0)})
+        right = right.sort_values("held_id", kind="stable")
+        width = max((len(v) for v in left["asked_vec"] if v is not None), default=0)
+        asked_, held_, ids = _unit(left["asked_vec"], width), _unit(right["held_vec"], width), right["held_id"].to_numpy()
+        out = []
+        for i in range(0, len(asked_), _STRIP):
+            near = asked_[i : i + _STRIP] @ held_.T
+            order = np.argsort(-near, axis=1, kind="stable")[:, :k]  # ties by id; NaN sorts last
+            out.append(pd.DataFrame({
+                "query_id": np.repeat(left["asked_id"].to_numpy()[i : i + _STRIP], order.shape[1]),
+                "id": ids[order.ravel()],
+                "similarity": np.take_along_axis(near, order, axis=1).ravel(),
+            }))
+        return pd.concat(out)
+
+    kinds = dict(asked.dtypes)["asked_id"], dict(held.dtypes)["held_id"]
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(
+        best, f"query_id {kinds[0]}, id {kinds[1]}, similarity double"
+    ).withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+
+def _sides(store: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables under names of their own: queries may be taken from the store itself."""
+    return (
+        queries.select(F.col("query_id").alias("asked_id"), F.col("embedding").alias("asked_vec")),
+        store.select(F.col("id").alias("held_id"), F.col("embedding").alias("held_vec")),
+    )
+
+
 def search_many(store: DataFrame, queries: DataFrame, k: int = V.TOP_K) -> DataFrame:
     """Top k per query for a table of queries (query_id, embedding): (query_id, rank, id, similarity).
 
@@ -95,35 +149,122 @@ def search_many(store: DataFrame, queries: DataFrame, k: int = V.TOP_K) -> DataF
     returns at most k rows per query; a merge ranks those. A null or zero vector has similarity null
     and comes last, as in ``search``; ties go by id.
     """
-    query_blocks = queries.count() // QUERY_BLOCK + 1
-    store_blocks = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.select("query_id", "embedding").withColumn(
-        "qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
-    ).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(store_blocks - 1))))
-    held = store.select("id", "embedding").withColumn(
-        "sb", F.pmod(F.xxhash64("id"), F.lit(store_blocks)).cast("int")
-    ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked, held = _sides(store, queries)
+    query_blocks, store_blocks = _blocks(queries, QUERY_BLOCK), _blocks(store, STORE_BLOCK)
+    asked = asked.withColumn("qb", _block("asked_id", query_blocks)).withColumn(
+        "sb", F.explode(F.sequence(F.lit(0), F.lit(store_blocks - 1)))
+    )
+    held = held.withColumn("sb", _block("held_id", store_blocks)).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    )
+    return _ranked(_best_of_groups(asked, held, ["qb", "sb"], k), k)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "similarity": np.zeros(0)})
-        width = max((len(v) for v in left["embedding"] if v is not None), default=0)
-        near = _unit(left["embedding"], width) @ _unit(right["embedding"], width).T
-        ids = right["id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        order = by_id[np.argsort(-near[:, by_id], axis=1, kind="stable")[:, :k]]  # NaN sorts last
-        return pd.DataFrame({
-            "query_id": np.repeat(left["query_id"].to_numpy(), order.shape[1]),
-            "id": ids[order.ravel()],
-            "similarity": np.take_along_axis(near, order, axis=1).ravel(),
-        })
-
-    kind = dict(store.dtypes)["id"]
-    found = asked.groupBy("qb", "sb").cogroup(held.groupBy("qb", "sb")).applyInPandas(
-        best, f"query_id bigint, id {kind}, similarity double"
-    ).withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))
-    rank = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+@dataclass(frozen=True)
+class Buckets:
+    """Random projections: in each table a vector's bucket is the signs of ``bits`` projections.
+
+    A query looks into the ``probes`` buckets of a table whose signs it would cost the least to reach.
+    """
+
+    width: int
+    bits: int
+    tables: int = 6
+    probes: int = 1
+    seed: int = 42
+
+    def planes(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).normal(size=(self.tables, self.width, self.bits))
+
+    def wider(self) -> Buckets:
+        """More of the store for every query."""
+        most = 1 << min(self.bits, TURNED_BITS)
+        if self.probes < most:
+            return replace(self, probes=min(most, 2 * self.probes))
+        return replace(self, bits=max(0, self.bits - 1))
+
+
+def buckets_for(store: DataFrame, rows: int = BUCKET_ROWS) -> Buckets:
+    """Buckets of about ``rows`` rows each, if the vectors' directions are spread evenly."""
+    size, width = store.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    return Buckets(max(int(width or 0), 1), min(MOST_BITS, (size // rows).bit_length()))
+
+
+def _in_buckets(rows: DataFrame, vec: str, buckets: Buckets, probes: int) -> DataFrame:
+    """A row for each bucket (table and signs in one number) that a vector is in, or is looked for in.
+
+    A vector without a direction, or of another width, is in bucket -1, where no other vector is.
+    """
+    planes, bits = buckets.planes(), buckets.bits
+    turned = min(bits, TURNED_BITS)  # signs that a probe may turn: those of the smallest projections
+    flips = (np.arange(1 << turned)[:, None] >> np.arange(turned)) & 1 if probes > 1 else np.zeros((1, turned), np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def places(vectors: pd.Series) -> pd.Series:
+        unit = _unit(vectors, buckets.width)
+        lost = np.isnan(unit).any(axis=1)
+        unit = np.nan_to_num(unit)
+        found = []
+        for t, plane in enumerate(planes):
+            sides = unit @ plane
+            code = (sides > 0) @ (1 << np.arange(bits, dtype=np.int64)) | (t << MOST_BITS)
+            least = np.argsort(sides**2, axis=1, kind="stable")[:, :turned]
+            cost = np.take_along_axis(sides**2, least, axis=1) @ flips.T
+            near = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+            masks = (flips[near] * (np.int64(1) << least)[:, None, :]).sum(axis=2)
+            found.append(code[:, None] ^ masks)
+        codes = np.concatenate(found, axis=1)
+        return pd.Series([np.array([-1]) if no else own for own, no in zip(codes, lost)])
+
+    return rows.withColumn("bucket", F.explode(places(vec)))
+
+
+def search_buckets(store: DataFrame, queries: DataFrame, buckets: Buckets, k: int = V.TOP_K) -> DataFrame:
+    """``search_many`` over the buckets that each query probes alone, with exact similarities.
+
+    A crowded bucket is cut into blocks, each of which meets the bucket's queries in a group of its own.
+    Queries that find fewer than k rows this way have fewer; ``recall`` tells what is missed.
+    """
+    asked, held = _sides(store, queries)
+    held = _in_buckets(held, "held_vec", buckets, 1)
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "blocks", (F.floor(F.col("n") / STORE_BLOCK) + 1).cast("int")
+    )
+    block = F.pmod(F.xxhash64("held_id"), F.col("blocks")).cast("int")
+    held = held.join(sizes, "bucket").withColumn("sb", block)
+    asked = _in_buckets(asked, "asked_vec", buckets, buckets.probes).join(sizes, "bucket").withColumn(
+        "sb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    # Queries of a crowded bucket are dealt in blocks too, and its rows meet each of them.
+    query_blocks = _blocks(queries, QUERY_BLOCK)
+    asked = asked.withColumn("qb", _block("asked_id", query_blocks)).drop("n", "blocks")
+    held = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).drop("n", "blocks")
+    found = _best_of_groups(asked, held, ["bucket", "qb", "sb"], k)
+    return _ranked(found.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact results' (query_id, id) that were found; 1 where there is nothing to find."""
+    wanted = exact.where("similarity IS NOT NULL").select("query_id", "id")
+    hit = F.count("hit") / F.count(F.lit(1))
+    marked = found.select("query_id", "id", F.lit(1).alias("hit"))
+    return float(wanted.join(marked, ["query_id", "id"], "left").agg(F.coalesce(hit, F.lit(1.0))).first()[0])
+
+
+def fitted_buckets(
+    store: DataFrame, queries: DataFrame, k: int = V.TOP_K, least: float = 0.9, exact: DataFrame | None = None
+) -> tuple[Buckets, float]:
+    """Buckets whose measured recall on these queries reaches ``least``, and that recall.
+
+    Probing widens until it does; at the last a query probes everything, which is the exact search.
+    """
+    exact = written(search_many(store, queries, k) if exact is None else exact, "exact-hits")
+    buckets = buckets_for(store)
+    while True:
+        found = recall(search_buckets(store, queries, buckets, k), exact)
+        if found >= least or not buckets.bits:
+            return buckets, found
+        buckets = buckets.wider()
 
 
 def without_metadata(store: DataFrame, key: str, value: str) -> DataFrame:

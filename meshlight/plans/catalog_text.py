@@ -14,6 +14,7 @@ from meshlight.plans import jobs
 from meshlight.plans.catalog import EV, FLEET, SNAP, query, rounded
 from meshlight.plans.catalog_models import ALIGNED, RANKED, RISK_SQL, SCORED_SQL, STATS, merged, stand_in_risk
 from meshlight.plans.catalog_rules import explained
+from meshlight.session import written
 from meshlight.sources import tables as T
 
 _STRIP = "regexp_replace({}, '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g')"
@@ -124,6 +125,24 @@ def cosine_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(documents.search_many(vector_store(spark, sf_dir), label_queries(spark, sf_dir)), 6)
 
 
+@query(
+    "approximate_search",
+    "unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)",
+    "ranked AS (SELECT q.vec_id AS query_id, s.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY "
+    "list_cosine_similarity(q.e, s.e) DESC, s.vec_id) AS rank FROM unit q, unit s WHERE q.vec_id % 100 = 0)",
+    sql="SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS recall_reached FROM ranked WHERE rank <= 5",
+)
+def approximate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the bucket search against the exact one: ids divisible by 100 against all rows."""
+    store = vector_store(spark, sf_dir)
+    asked = written(store.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), "queries")
+    exact = written(documents.search_many(store, asked), "exact-hits")
+    _, found = documents.fitted_buckets(store, asked, least=0.9, exact=exact)
+    return exact.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted")).withColumn(
+        "recall_reached", F.lit(found >= 0.9)
+    )
+
+
 @query("chunk_count", sql="SELECT count(*) AS rows FROM embeddings")
 def chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_store(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"))

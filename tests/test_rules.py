@@ -144,17 +144,51 @@ def test_search_matches_brute_force(spark, monkeypatch):
     assert [r.id for r in documents.search(store, x[0]).collect()] == nearest(0)
     assert [r.id for r in documents.search(store, x[0], metadata={"source": "t"}).collect()] == nearest(0, 0)
     queries = store.select(F.col("id").alias("query_id"), "embedding").where("query_id < 40")
-    for block in (2048, 7):
+    # Queries taken from the store itself, from a part of it, and from elsewhere; blocks of several sizes.
+    apart = spark.createDataFrame(queries.collect(), queries.schema)
+    for block, held in ((2048, 8192), (7, 50)):
         monkeypatch.setattr(documents, "QUERY_BLOCK", block)
-        found = {}
-        for r in documents.search_many(store.repartition(5), queries).orderBy("query_id", "rank").collect():
-            found.setdefault(r.query_id, []).append(r.id)
-        assert len(found) == 40 and all(set(found[i]) == set(nearest(i)) for i in found)
+        monkeypatch.setattr(documents, "STORE_BLOCK", held)
+        for asked, rows in ((queries, store.repartition(5)), (queries, store), (apart, store.where("id >= 0"))):
+            found = {}
+            for r in documents.search_many(rows, asked).orderBy("query_id", "rank").collect():
+                found.setdefault(r.query_id, []).append(r.id)
+            assert len(found) == 40 and all(set(found[i]) == set(nearest(i)) for i in found)
     with pytest.raises(ValueError):
         documents.search(store, x[0], metadata={"bad key": "x"})
     assert documents.without_metadata(store, "source", "t").count() == 150
 
 
+def test_bucket_search(spark, monkeypatch):
+    """Clustered vectors: few buckets hold the nearest rows, and similarities are the exact ones."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16))
+    x = centers[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 16))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(4000, [0.0] * 16), (4001, None), (4002, rows[7][1]), (4003, rows[7][1])]
+    store = spark.createDataFrame(rows, "id bigint, embedding array<double>").repartition(6).cache()
+    queries = store.where("id % 100 = 7 OR id >= 4000").select(F.col("id").alias("query_id"), "embedding")
+    monkeypatch.setattr(documents, "STORE_BLOCK", 300)
+    exact = documents.search_many(store, queries).cache()
+    buckets, found = documents.fitted_buckets(store, queries, least=0.9, exact=exact)
+    assert found >= 0.9 and buckets.bits > 0
+    near = documents.search_buckets(store, queries, buckets)
+    truth = {(r.query_id, r.id): r.similarity for r in exact.collect() if r.similarity is not None}
+    both = [(r.similarity, truth[r.query_id, r.id]) for r in near.collect() if (r.query_id, r.id) in truth]
+    assert len(both) >= 0.9 * len(truth) and all(abs(a - b) < 1e-12 for a, b in both)
+    assert [(r.rank, r.id) for r in near.where("query_id = 4002 AND rank <= 3").orderBy("rank").collect()] == [(1, 7), (2, 4002), (3, 4003)]
+    # Each query looks into a small part of the store.
+    asked = documents._in_buckets(queries.where("query_id < 4000"), "embedding", buckets, buckets.probes).select("query_id", "bucket")
+    held = documents._in_buckets(store, "embedding", buckets, 1).select("id", "bucket")
+    assert asked.join(held, "bucket").select("query_id", "id").distinct().count() < 0.5 * 40 * 4000
+    # At the widest every row is looked at, and the search is the exact one.
+    whole = documents.Buckets(16, 0)
+    assert documents.recall(documents.search_buckets(store, queries, whole), exact) == 1.0
+    empty = store.limit(0)
+    assert documents.search_buckets(empty, queries, documents.buckets_for(empty)).count() == 0
+    assert documents.search_many(empty, queries).count() == 0
+
+
 def test_upsert_and_unit(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "id string, created_at int, content string")
     assert {r.id: r.content for r in documents.upserted(rows).collect()} == {"a": "z", "b": "q"}
