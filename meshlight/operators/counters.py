@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlight.operators import partials, temporal
 from meshlight.operators.ordering import row_numbers
 
 
@@ -46,16 +47,43 @@ def event_counters(events: DataFrame, as_of: str | Column, by: str = "device_id"
     )
 
 
-def qoe_history(snapshots: DataFrame, feature: str = "qoe_composite_latest") -> DataFrame:
+QOE = "qoe_composite_latest"
+POOR_QOE = 70.0
+
+
+def qoe_states(snapshots: DataFrame) -> DataFrame:
+    """Hourly states of the quality score, written once for the statistics made of them."""
+    rows = snapshots.select("device_id", "ts", QOE)
+    return partials.written(partials.states(rows, ["device_id"], [QOE], thresholds={QOE: POOR_QOE}), "qoe-states")
+
+
+def qoe_history(snapshots: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Per device: drops over 10 points in the last day, share below 70 in the last seven."""
-    from meshlight.operators.temporal import anchored, count_drops, fraction_below
+    held = qoe_states(snapshots) if held is None else held
+    rows = snapshots.where(F.col(QOE).isNotNull()).select("device_id", "ts", QOE)
+    week = partials.trailing(
+        rows, ["device_id"], [QOE], {"7d": temporal.window_micros("7d")}, thresholds={QOE: POOR_QOE}, held=held
+    )
+    below = week.select("device_id", (F.col("state.below") / F.col("state.n")).alias("qoe_below_70_pct_7d"))
+    return _qoe_drops(rows, held).join(below, "device_id", "full")
 
-    series = snapshots.where(F.col(feature).isNotNull()).select("device_id", "ts", F.col(feature).alias("value"))
-    day = anchored(series, ["device_id"], "interval 24 hours").drop("last_ts")
-    week = anchored(series, ["device_id"], "interval 7 days").drop("last_ts")
-    drops = count_drops(day).withColumnRenamed("drops", "qoe_drops_24h")
-    below = fraction_below(week, 70.0).withColumnRenamed("fraction_below", "qoe_below_70_pct_7d")
-    return drops.join(below, "device_id", "full")
+
+def _qoe_drops(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The states know how many readings the busiest hour has, and when each device was last heard of."""
+    busiest = held.agg(F.max(F.col(QOE)["rows"])).first()[0] or 0
+    length = partials.HOUR if busiest <= partials.CHUNK_ROWS else partials.chunk_length(rows, ["device_id"])
+    ends = held.groupBy("device_id").agg(F.max(F.col(QOE)["last"]).alias("end")).where("end IS NOT NULL")
+    drops = temporal.trailing_drops(rows, ["device_id"], QOE, "24h", ends=ends, length=length)
+    return drops.withColumnRenamed("drops", "qoe_drops_24h")
+
+
+def qoe_bundle(snapshots: DataFrame) -> DataFrame:
+    """Quality statistics of the trailing windows and ``qoe_history``, from one set of states."""
+    held = qoe_states(snapshots)
+    stats = temporal.bundle(snapshots, [QOE], names={QOE: "qoe_composite"}, thresholds={QOE: POOR_QOE}, held=held)
+    rows = snapshots.where(F.col(QOE).isNotNull()).select("device_id", "ts", QOE)
+    named = stats.withColumnRenamed("qoe_composite_below_7d", "qoe_below_70_pct_7d")
+    return named.join(_qoe_drops(rows, held), "device_id", "left")
 
 
 def ordinal_codes(rows: DataFrame, column: str, code: str) -> DataFrame:
@@ -64,15 +92,24 @@ def ordinal_codes(rows: DataFrame, column: str, code: str) -> DataFrame:
     return row_numbers(distinct, [column], "_code").select(column, (F.col("_code") - 1).cast("double").alias(code))
 
 
-def device_metadata(heartbeats: DataFrame, as_of: str | Column) -> DataFrame:
-    """Model and firmware codes, days since the current firmware and the device first appeared.
+def sightings(heartbeats: DataFrame) -> DataFrame:
+    """First and last time of each (device, model, firmware, subscriber): what heartbeats tell of a device.
 
-    ``heartbeats``: (device_id, ts, model, firmware, subscriber_id).
+    Fixed-size buffers, which Spark hashes; picking a text by time straight from the raw rows would
+    sort them.
     """
-    end = _time(as_of)
-    seen = heartbeats.groupBy("device_id", "model", "firmware").agg(
+    return heartbeats.groupBy("device_id", "model", "firmware", "subscriber_id").agg(
         F.min("ts").alias("first"), F.max("ts").alias("last")
     )
+
+
+def device_metadata(heartbeats: DataFrame, as_of: str | Column, seen: DataFrame | None = None) -> DataFrame:
+    """Model and firmware codes, days since the current firmware and the device first appeared.
+
+    ``heartbeats``: (device_id, ts, model, firmware, subscriber_id); ``seen`` their sightings, if at hand.
+    """
+    end = _time(as_of)
+    seen = sightings(heartbeats) if seen is None else seen
     current = seen.groupBy("device_id").agg(
         F.max_by("model", "last").alias("model"),
         F.max_by("firmware", "last").alias("firmware"),
@@ -89,8 +126,8 @@ def device_metadata(heartbeats: DataFrame, as_of: str | Column) -> DataFrame:
             (F.col("device_id") == F.col("_device")) & F.col("firmware").eqNullSafe(F.col("_firmware")),
         )
         # Devices without a model or firmware stay, without a code.
-        .join(ordinal_codes(heartbeats, "model", "model_encoded"), "model", "left")
-        .join(ordinal_codes(heartbeats, "firmware", "firmware_encoded"), "firmware", "left")
+        .join(ordinal_codes(seen, "model", "model_encoded"), "model", "left")
+        .join(ordinal_codes(seen, "firmware", "firmware_encoded"), "firmware", "left")
         .select(
             "device_id",
             "model",
@@ -103,20 +140,39 @@ def device_metadata(heartbeats: DataFrame, as_of: str | Column) -> DataFrame:
     )
 
 
-def device_owners(heartbeats: DataFrame) -> DataFrame:
-    """Latest subscriber and first sighting per device.
-
-    Heartbeats are first reduced to one row per (device, subscriber) with fixed-size buffers, which
-    Spark hashes; picking a text by time straight from the raw rows would sort them.
-    """
-    spans = heartbeats.where(F.col("subscriber_id").isNotNull()).groupBy("device_id", "subscriber_id").agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last")
-    )
+def device_owners(heartbeats: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Latest subscriber and first sighting per device."""
+    spans = (sightings(heartbeats) if seen is None else seen).where(F.col("subscriber_id").isNotNull())
     return spans.groupBy("device_id").agg(
         F.max_by("subscriber_id", "last").alias("subscriber_id"), F.min("first").alias("first_seen")
     )
 
 
+def of_subscribers(per_device: DataFrame, as_of: str | Column) -> DataFrame:
+    """Subscriber sums of rows (device, subscriber_id, first_seen, qoe_sum, qoe_n, qoe_min, events, tests, ratio)."""
+    return per_device.where("subscriber_id IS NOT NULL").groupBy("subscriber_id").agg(
+        F.count(F.lit(1)).alias("subscriber_device_count"),
+        F.try_divide(F.sum("qoe_sum"), F.sum("qoe_n")).alias("subscriber_avg_qoe_7d"),
+        F.min("qoe_min").alias("subscriber_min_qoe_7d"),
+        F.coalesce(F.sum("events"), F.lit(0)).alias("subscriber_total_events_30d"),
+        (F.coalesce(F.sum("tests"), F.lit(0)) * 7 / F.lit(30.0)).alias("subscriber_speed_test_frequency"),
+        F.date_diff(_time(as_of), F.min("first_seen")).alias("subscriber_tenure_days"),
+        F.avg("ratio").alias("subscriber_dl_utilization_ratio"),
+    )
+
+
+def of_snapshots(as_of: str | Column) -> list[Column]:
+    """What a device's snapshots give to its subscriber: aggregates over (ts, quality, rates)."""
+    ts, quality, dl = F.col("ts"), F.col(QOE), F.col("dl_mbps_latest")
+    week, month = within(ts, as_of, 7), within(ts, as_of, 30) & dl.isNotNull()
+    ratio = F.try_divide(dl, F.nullif(F.col("provisioned_dl_mbps"), F.lit(0.0)))
+    return [
+        F.sum(F.when(week, quality)).alias("qoe_sum"), F.count(F.when(week, quality)).alias("qoe_n"),
+        F.min(F.when(week, quality)).alias("qoe_min"), F.count_if(month).alias("tests"),
+        F.max_by(F.when(month, ratio), F.when(month, ts)).alias("ratio"),
+    ]
+
+
 def subscriber_rollup(
     heartbeats: DataFrame,
     qoe: DataFrame,
@@ -131,7 +187,7 @@ def subscriber_rollup(
     (device_id, ts), speed_tests (device_id, ts, dl, provisioned). Each is reduced to one row per
     device before anything is joined.
     """
-    end, ts = _time(as_of), F.col("ts")
+    ts = F.col("ts")
     owners = device_owners(heartbeats)
     quality = qoe.where(within(ts, as_of, 7)).groupBy("device_id").agg(
         F.sum("value").alias("qoe_sum"), F.count("value").alias("qoe_n"), F.min("value").alias("qoe_min")
@@ -144,12 +200,4 @@ def subscriber_rollup(
     per_device = owners.join(quality, "device_id", "left").join(counts, "device_id", "left").join(
         tests, "device_id", "left"
     )
-    return per_device.groupBy("subscriber_id").agg(
-        F.count(F.lit(1)).alias("subscriber_device_count"),
-        F.try_divide(F.sum("qoe_sum"), F.sum("qoe_n")).alias("subscriber_avg_qoe_7d"),
-        F.min("qoe_min").alias("subscriber_min_qoe_7d"),
-        F.coalesce(F.sum("events"), F.lit(0)).alias("subscriber_total_events_30d"),
-        (F.coalesce(F.sum("tests"), F.lit(0)) * 7 / F.lit(30.0)).alias("subscriber_speed_test_frequency"),
-        F.date_diff(end, F.min("first_seen")).alias("subscriber_tenure_days"),
-        F.avg("ratio").alias("subscriber_dl_utilization_ratio"),
-    )
+    return of_subscribers(per_device, as_of)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshlight import values as V
 from meshlight.functions.barrier import settled
 from meshlight.functions.rounding import fixed_text
+from meshlight.operators import partials
 from meshlight.operators.store import page
 
 _REMEDY_FIELDS = ("action", "title", "description", "auto", "impact")
@@ -175,33 +176,36 @@ def pending(recs: DataFrame, device_id: str | None = None) -> DataFrame:
     return rows.orderBy("device_id", F.desc("confidence"), "id")
 
 
-def verified(runs: DataFrame, scores: DataFrame) -> DataFrame:
+def verified(runs: DataFrame, scores: DataFrame, length: int | None = None) -> DataFrame:
     """Executions with the first score after the run; verified when it is lower.
 
     ``runs``: (id, device_id, completed_at, anomaly_score); ``scores``: (device_id, ts, score).
-    As-of without a range join: both sides are put on one time line per device and cut by the hour;
-    a run takes the next score of its hour, or the first score of the next hour that has one. The
-    largest sort is one device's hour.
+    As-of without a range join: both sides are put on one time line per device and cut into chunks of
+    ``length`` microseconds; a run takes the next score of its chunk, or the first score of the next chunk
+    that has one. The largest sort is one device's chunk: an hour, cut finer where a device has many
+    scores or runs in one.
     """
     points = scores.select("device_id", "ts", F.col("score"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("before"))
     asked = runs.select(
         "device_id", F.col("completed_at").alias("ts"), F.lit(None).cast("double").alias("score"), "id",
         F.col("anomaly_score").alias("before"),
     )
-    line = points.unionByName(asked).withColumn("_hour", F.date_trunc("hour", "ts"))
+    length = length or partials.chunk_length(points.unionByName(asked), ["device_id"])
+    chunk = partials.chunk_start(partials.micros(F.col("ts")), length).alias("_chunk")
+    line = points.unionByName(asked).select("*", chunk)
     # A score at the very time of the run is not after it: scores sort before runs.
-    inside = Window.partitionBy("device_id", "_hour").orderBy("ts", F.col("id").isNotNull()).rowsBetween(
+    inside = Window.partitionBy("device_id", "_chunk").orderBy("ts", F.col("id").isNotNull()).rowsBetween(
         1, Window.unboundedFollowing
     )
     rows = line.withColumn("_next", F.first("score", ignorenulls=True).over(inside))
-    first = points.groupBy("device_id", F.date_trunc("hour", "ts").alias("_hour")).agg(F.min_by("score", "ts").alias("_first"))
-    hours = rows.select("device_id", "_hour").distinct().join(first, ["device_id", "_hour"], "left")
-    later = Window.partitionBy("device_id").orderBy("_hour").rowsBetween(1, Window.unboundedFollowing)
-    hours = hours.select("device_id", "_hour", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    first = points.groupBy("device_id", chunk).agg(F.min_by("score", "ts").alias("_first"))
+    hours = rows.select("device_id", "_chunk").distinct().join(first, ["device_id", "_chunk"], "left")
+    later = Window.partitionBy("device_id").orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    hours = hours.select("device_id", "_chunk", F.first("_first", ignorenulls=True).over(later).alias("_later"))
     after = F.coalesce("_next", "_later")
     return (
         rows.where(F.col("id").isNotNull())
-        .join(hours, ["device_id", "_hour"])
+        .join(hours, ["device_id", "_chunk"])
         .select("id", "device_id", F.col("before"), after.alias("after"))
         .withColumn("verified", F.coalesce(F.col("after") < F.col("before"), F.lit(False)))
     )

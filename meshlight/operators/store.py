@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlight.session import written
+
 
 def row_hash(rows: DataFrame) -> Column:
     """A hash of all columns (maps by their sorted entries): a tie-break that only the data decide."""
@@ -38,6 +40,19 @@ def latest_of(snapshots: DataFrame, device_id: str) -> DataFrame:
     return own.orderBy(F.desc("ts"), row_hash(own).desc()).limit(1)
 
 
+def _order(time: Column, tie: Column) -> Column:
+    """One number that sorts rows by time (``_of_time``) and then by a 64-bit hash.
+
+    Its size is fixed, so that picking values by it is a hash aggregation; a struct or a text as
+    the order would have Spark sort the raw rows.
+    """
+    return time + tie.cast("decimal(20,0)")
+
+
+def _of_time(ts: str) -> Column:
+    return F.unix_micros(ts).cast("decimal(20,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
+
+
 def fleet_latest(
     snapshots: DataFrame,
     columns: Sequence[str],
@@ -46,32 +61,41 @@ def fleet_latest(
 ) -> DataFrame:
     """The newest snapshot of every device, taken whole: a feature it lacks stays null.
 
-    One hash aggregation with map-side combine, so a device with a third of all rows ships one row
-    per task. ``device_ids`` (column device_id) restricts the fleet; ``limit`` keeps the first
-    devices by id.
+    One hash aggregation with map-side combine (for columns of fixed size), so a device with a third of all
+    rows ships one row per task. ``device_ids`` (column device_id) restricts the fleet; ``limit`` keeps the
+    first devices by id. Of several snapshots at one time the one with the largest hash counts.
     """
     rows = snapshots if device_ids is None else snapshots.join(device_ids, "device_id", "left_semi")
-    last = F.struct("ts", row_hash(rows))  # one row decides every column, also among equal times
-    newest = rows.groupBy("device_id").agg(
-        F.max("ts").alias("ts"), *[F.max_by(c, last).alias(c) for c in columns]
+    last = _order(_of_time("ts"), row_hash(rows))  # one row decides every column, also among equal times
+    # The key travels as a column of its own, or every aggregate would work it out anew.
+    newest = rows.withColumn("_last", last).groupBy("device_id").agg(
+        F.max("ts").alias("ts"), *[F.max_by(c, "_last").alias(c) for c in columns]
     )
     return newest if limit is None else newest.orderBy("device_id").limit(limit)
 
 
-def fleet_merged(snapshots: DataFrame, columns: Sequence[str]) -> DataFrame:
+def fleet_merged(snapshots: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """Per device and feature, the last value that is not null, across message types.
 
-    Of several values at one time the largest counts.
+    Of several values at one time the one with the largest hash counts. ``extra`` are further aggregates
+    over the same rows. One hash aggregation.
     """
-    merged = [F.expr(f"max_by(`{c}`, struct(ts, `{c}`)) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in columns]
-    return snapshots.groupBy("device_id").agg(F.max("ts").alias("ts"), *merged)
+    merged = [
+        F.max_by(c, F.when(F.col(f"`{c}`").isNotNull(), _order(F.col("_time"), F.xxhash64(f"`{c}`")))).alias(c) for c in columns
+    ]
+    return snapshots.withColumn("_time", _of_time("ts")).groupBy("device_id").agg(F.max("ts").alias("ts"), *merged, *extra)
 
 
 def page(
     rows: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0, total: bool = True
 ) -> DataFrame:
-    """One page of a sorted list with the total number of rows; ``order`` must end in a unique key."""
-    out = rows.orderBy(*order).offset(offset).limit(limit)
+    """One page of a sorted list with the total number of rows; ``order`` must end in a unique key.
+
+    With the total the rows are written first and counted from the files' heads, so that what makes them
+    runs once.
+    """
+    held = written(rows, "page") if total else rows
+    out = held.orderBy(*order).offset(offset).limit(limit)
     if total:
-        out = out.withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
+        out = out.withColumn("total", held.agg(F.count(F.lit(1))).scalar())
     return out

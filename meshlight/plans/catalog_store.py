@@ -144,6 +144,19 @@ def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.rolling_stats(T.series(spark, sf_dir), window="7d"))
 
 
+@query(
+    "rolling_rows", EV, SERIES,
+    sql=f"""SELECT device_id, {ts_sql('ts')} AS ts, value, round(avg(value) OVER w, 8) AS mean,
+      round(coalesce(stddev_samp(value) OVER w, 0), 6) AS std, min(value) OVER w AS min, max(value) OVER w AS max,
+      count(*) OVER w AS count FROM series WINDOW w AS (PARTITION BY device_id ORDER BY ts
+      RANGE BETWEEN INTERVAL '{24 * 3600 * 10**6 - 1} microseconds' PRECEDING AND CURRENT ROW)""",
+)
+def rolling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the last 24 hours at every reading."""
+    rows = temporal.rolling_rows(T.series(spark, sf_dir)).withColumn("ts", ts_text("ts"))
+    return rows.withColumns({"mean": F.round("mean", 8), "std": F.round("std", 6)})
+
+
 @query(
     "linear_trend", EV, SERIES, _LAST, _window("7 DAY"),
     sql=f"SELECT device_id, CASE WHEN count(*) > 1 THEN round(regr_slope(value, {_DAYS}), 6) ELSE 0 END AS slope FROM win GROUP BY 1",
