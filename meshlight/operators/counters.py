@@ -140,6 +140,11 @@ def device_metadata(heartbeats: DataFrame, as_of: str | Column, seen: DataFrame
     )
 
 
+def device_ages(seen: DataFrame, as_of: str | Column) -> DataFrame:
+    """Days since each device was first seen, from any rows (device_id, ts)."""
+    return seen.groupBy("device_id").agg(F.date_diff(_time(as_of), F.min("ts")).cast("double").alias("device_age_days"))
+
+
 def device_owners(heartbeats: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Latest subscriber and first sighting per device."""
     spans = (sightings(heartbeats) if seen is None else seen).where(F.col("subscriber_id").isNotNull())

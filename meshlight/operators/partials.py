@@ -24,7 +24,7 @@ STATE = (
     "rows bigint, n bigint, mean double, m2 double, low double, high double, first timestamp, last timestamp, "
     "t double, tt double, tv double, below bigint"
 )
-FIELDS = [f.strip().split()[0] for f in STATE.split(",")]
+_TYPES = [tuple(f.split()) for f in STATE.split(", ")]
 
 
 def micros(ts: Column) -> Column:
@@ -63,20 +63,29 @@ def merged(state: Column, origin: Column, origin_t: Column) -> Column:
 
     def spread(inner: str, left: Column, right: Column, both: Column) -> Column:
         # Rounding may leave a little below nothing.
-        return F.sum(state[inner] + n * left * right) - total * both
+        return F.when(total > 0, F.sum(state[inner] + n * left * right) - total * both)
 
     first = F.min(origin)
     return F.struct(
         F.sum(state["rows"]).alias("rows"), total.alias("n"), (first + shift).alias("mean"),
-        F.greatest(F.lit(0.0), spread("m2", by, by, shift * shift)).alias("m2"),
+        F.when(total > 0, F.greatest(F.lit(0.0), spread("m2", by, by, shift * shift))).alias("m2"),
         F.min(state["low"]).alias("low"), F.max(state["high"]).alias("high"),
         F.min(state["first"]).alias("first"), F.max(state["last"]).alias("last"),
         (F.min(origin_t) + shift_t).alias("t"),
-        F.greatest(F.lit(0.0), spread("tt", by_t, by_t, shift_t * shift_t)).alias("tt"),
+        F.when(total > 0, F.greatest(F.lit(0.0), spread("tt", by_t, by_t, shift_t * shift_t))).alias("tt"),
         spread("tv", by_t, by, shift_t * shift).alias("tv"), F.sum(state["below"]).alias("below"),
     )
 
 
+def added_up(held: DataFrame, by: Sequence[str], state: str) -> DataFrame:
+    """One state for each key ``by`` of states that may come several times, from several batches."""
+    same = Window.partitionBy(*by)
+    near = F.coalesce(F.max_by(F.col(state)["mean"], F.col(state)["last"]).over(same), F.lit(0.0))
+    near_t = F.coalesce(F.max(F.col(state)["t"]).over(same), F.lit(0.0))
+    placed = held.select(*by, state, near.alias("_near"), near_t.alias("_near_t"))
+    return placed.groupBy(*by).agg(merged(F.col(state), F.col("_near"), F.col("_near_t")).alias(state))
+
+
 def deviation(state: Column) -> Column:
     """Sample deviation; 0 with fewer than two values."""
     return F.when(state["n"] > 1, F.sqrt(state["m2"] / (state["n"] - 1))).otherwise(0.0)
@@ -103,6 +112,20 @@ def states(
     return rows.groupBy(*by, at.alias("chunk")).agg(*found)
 
 
+def of_maps(snapshots: DataFrame, length: int = HOUR) -> DataFrame:
+    """(device_id, feature, chunk, state) of snapshots whose features are a map."""
+    rows = snapshots.select("device_id", "ts", F.explode("features").alias("feature", "value")).where("value IS NOT NULL")
+    return states(rows, ["device_id", "feature"], ["value"], length=length).withColumnRenamed("value", "state")
+
+
+def side_by_side(long: DataFrame, features: Sequence[str]) -> DataFrame:
+    """States (device_id, feature, chunk, state) as ``states`` gives them: a column a feature."""
+    picked = [F.max(F.when(F.col("feature") == f, F.col("state"))).alias(f) for f in features]
+    rows = long.where(F.col("feature").isin(list(features))).groupBy("device_id", "chunk").agg(*picked)
+    empty = F.struct(*[(F.lit(0).cast("bigint") if n in ("rows", "n", "below") else F.lit(None).cast(t)).alias(n) for n, t in _TYPES])
+    return rows.select("device_id", "chunk", *[F.coalesce(f, empty).alias(f) for f in features])
+
+
 def trailing(
     rows: DataFrame, by: Sequence[str], features: Sequence[str], windows: dict[str, int], keep_nulls: bool = False,
     thresholds: dict[str, float] | None = None, length: int = HOUR, held: DataFrame | None = None,

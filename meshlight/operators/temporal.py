@@ -7,6 +7,7 @@ a window's start cuts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,14 +15,15 @@ from pyspark.sql import functions as F
 
 from meshlight.operators import partials
 
-WINDOWS = {"24h": "interval 24 hours", "7d": "interval 7 days"}
-_UNITS = {"hour": partials.HOUR, "day": 24 * partials.HOUR, "minute": partials.HOUR // 60}
+_UNITS = {"m": partials.HOUR // 60, "h": partials.HOUR, "d": 24 * partials.HOUR}
 
 
 def window_micros(window: str) -> int:
     """Length of "24h", "7d", "6 hours" or "90 minutes" in microseconds."""
-    number, unit = WINDOWS.get(window, f"interval {window}").split()[1:]
-    return int(number) * _UNITS[unit.rstrip("s")]
+    found = re.fullmatch(r"(\d+)\s*(m|h|d)(?:inutes?|ours?|ays?)?", window.strip())
+    if not found:
+        raise ValueError(f"no length of time: {window}")
+    return int(found.group(1)) * _UNITS[found.group(2)]
 
 
 def rolling_stats(

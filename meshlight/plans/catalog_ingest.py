@@ -102,12 +102,16 @@ def _features(spark: SparkSession, sf_dir: str, msg_type: str) -> DataFrame:
     return rounded(rows.withColumn("ts", ts_text("ts")))
 
 
+FEATURE_SQL: dict[str, str] = {}
+
+
 def _feature_sql(msg_type: str, columns: dict[str, str], before: str = "") -> str:
     body = ", ".join(f"round(CAST({text} AS DOUBLE), 8) AS {name}" for name, text in columns.items())
-    return (
+    FEATURE_SQL[msg_type] = (
         f"SELECT device_id, {ts_sql('seen_at')} AS ts, {body} FROM (SELECT *{before} FROM judged "
         f"WHERE reason IS NULL AND msg_type = '{msg_type}')"
     )
+    return FEATURE_SQL[msg_type]
 
 
 @query(
@@ -244,15 +248,20 @@ def event_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "feature_snapshots", EV, MSG,
-    sql=f"""SELECT device_id, {ts_sql('seen_at')} AS ts, msg_type, CAST(CASE msg_type WHEN 'bbst' THEN 16 WHEN 'qoe' THEN 10
-      WHEN 'wifi' THEN 14 WHEN 'flowstatd_stats' THEN 6 WHEN 'classifi' THEN 2
-      ELSE (k % 4 < 2)::INTEGER + (k % 7 < 5)::INTEGER END AS INTEGER) AS features
-      FROM judged WHERE reason IS NULL AND msg_type NOT IN ('meta', 'flowstatd_hours')
-      AND NOT (msg_type = 'events' AND k % 4 = 2 AND k % 7 >= 5)""",
+    sql=" UNION ALL ".join(
+        f"SELECT device_id, ts, '{kind}' AS msg_type, feature, value FROM "
+        f"(UNPIVOT ({text}) ON COLUMNS(* EXCLUDE (device_id, ts)) INTO NAME feature VALUE value)"
+        for kind, text in FEATURE_SQL.items()
+    ),
 )
 def feature_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.snapshots(decoded(spark, sf_dir))
-    return rows.select("device_id", ts_text("ts").alias("ts"), "msg_type", F.size("features").alias("features"))
+    """Every feature of every snapshot, one row each."""
+    return feature_rows(features.snapshots(decoded(spark, sf_dir)))
+
+
+def feature_rows(snapshots: DataFrame) -> DataFrame:
+    rows = snapshots.select("device_id", ts_text("ts").alias("ts"), "msg_type", F.explode("features").alias("feature", "value"))
+    return rounded(rows)
 
 
 @query(

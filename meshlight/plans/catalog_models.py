@@ -12,6 +12,7 @@ from meshlight import values as V
 from meshlight.operators import (
     anomaly,
     churn,
+    counters,
     drift,
     forecast,
     modelprep,
@@ -20,22 +21,50 @@ from meshlight.operators import (
     segments,
     store,
 )
-from meshlight.plans.catalog import AS_OF, EV, FLEET, SERIES, SNAP, query, rounded, ts_sql, ts_text
+from meshlight.plans.catalog import AS_OF, DEVICE_EVENTS, EV, FLEET, SERIES, SNAP, query, rounded, ts_sql, ts_text
+from meshlight.plans.catalog_store import COUNTER_SQL
 from meshlight.plans.fleet import fleet_matrix
 from meshlight.session import written
 from meshlight.sources import tables as T
 
-INPUT = [f for f in V.ANOMALY_FEATURES if f in T.SNAPSHOT_FEATURES]
-ALIGNED = "aligned AS (SELECT device_id, " + ", ".join(f"coalesce({f}, 0) AS {f}" for f in INPUT) + " FROM fleet)"
-STATS = "stats AS (SELECT " + ", ".join(
-    f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1 END AS s_{f}" for f in INPUT
-) + " FROM aligned)"
+INPUT = V.ANOMALY_FEATURES
+CLUSTER = V.CLUSTER_FEATURES
+# The fleet's latest features with the event counters and the age that models ask for besides.
+MEASURED = (
+    f"{DEVICE_EVENTS}, counted AS ({COUNTER_SQL}), "
+    f"ages AS (SELECT device_id, date_diff('day', min(ts), {AS_OF}) AS device_age_days FROM ev GROUP BY 1), "
+    "measured AS (SELECT * FROM fleet LEFT JOIN counted USING (device_id) LEFT JOIN ages USING (device_id))"
+)
+
+
+def _aligned_sql(name: str, features: list[str]) -> str:
+    columns = ", ".join(f"CAST(coalesce({f}, 0) AS DOUBLE) AS {f}" for f in features)
+    return f"{name} AS (SELECT device_id, {columns} FROM measured)"
+
+
+def _stats_sql(name: str, rows: str, features: list[str]) -> str:
+    columns = ", ".join(
+        f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1 END AS s_{f}" for f in features
+    )
+    return f"{name} AS (SELECT {columns} FROM {rows})"
+
+
+ALIGNED = f"{MEASURED}, {_aligned_sql('aligned', INPUT)}"
+STATS = _stats_sql("stats", "aligned", INPUT)
+SEG = f"{MEASURED}, {_aligned_sql('seg', CLUSTER)}, {_stats_sql('seg_stats', 'seg', CLUSTER)}"
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.fleet_merged(T.snapshots(spark, sf_dir), T.SNAPSHOT_FEATURES)
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``merged`` with event counters and ages: every feature that the models ask for."""
+    counts = counters.event_counters(T.device_events(spark, sf_dir), T.AS_OF)
+    ages = counters.device_ages(T.events(spark, sf_dir), T.AS_OF)
+    return merged(spark, sf_dir).join(counts, "device_id", "left").join(ages, "device_id", "left")
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet_matrix(
         T.snapshots(spark, sf_dir), T.device_events(spark, sf_dir), T.heartbeats(spark, sf_dir), T.AS_OF,
@@ -46,14 +75,9 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------ preparation
 
 
-@query(
-    "aligned_features", EV, SNAP, FLEET,
-    sql="SELECT device_id, " + ", ".join(
-        f"coalesce({f}, 0) AS {f}" if f in T.SNAPSHOT_FEATURES else f"CAST(0 AS DOUBLE) AS {f}" for f in V.ANOMALY_FEATURES
-    ) + " FROM fleet",
-)
+@query("aligned_features", EV, SNAP, FLEET, ALIGNED, sql="SELECT * FROM aligned")
 def aligned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modelprep.align(merged(spark, sf_dir), V.ANOMALY_FEATURES)
+    return modelprep.align(measured(spark, sf_dir), INPUT)
 
 
 @query(
@@ -61,7 +85,7 @@ def aligned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql="SELECT device_id, " + ", ".join(f"round(({f} - m_{f}) / s_{f}, 6) AS {f}" for f in INPUT) + " FROM aligned, stats",
 )
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = modelprep.align(merged(spark, sf_dir), INPUT)
+    rows = modelprep.align(measured(spark, sf_dir), INPUT)
     return rounded(modelprep.scaled(rows, modelprep.scaler(rows, INPUT), INPUT), 6)
 
 
@@ -83,7 +107,7 @@ RANKED = (
     sql="SELECT device_id, rank, name, value, zscore FROM ranked WHERE rank <= 5",
 )
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = modelprep.align(merged(spark, sf_dir), INPUT)
+    rows = modelprep.align(measured(spark, sf_dir), INPUT)
     found = modelprep.top_features(rows, modelprep.scaler(rows, INPUT), INPUT)
     return found.select("device_id", F.posexplode("top_features").alias("p", "f")).select(
         "device_id", (F.col("p") + 1).cast("bigint").alias("rank"), "f.name", "f.value", "f.zscore"
@@ -195,7 +219,7 @@ SCORED_SQL = (
 
 def stand_in_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rows with anomaly_score, scaler row)."""
-    rows = modelprep.align(merged(spark, sf_dir), [*INPUT, "wifi_pct_2_4ghz"])
+    rows = modelprep.align(measured(spark, sf_dir), [*INPUT, "wifi_pct_2_4ghz"])
     return rows.withColumn("anomaly_score", F.expr(STAND_IN)), modelprep.scaler(rows, INPUT)
 
 
@@ -385,16 +409,16 @@ def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------------------- segments
 
 POINTS_SQL = "points AS (SELECT device_id AS id, [" + ", ".join(
-    f"({f} - m_{f}) / s_{f}" for f in INPUT
-) + "] AS vec FROM aligned, stats)"
+    f"({f} - m_{f}) / s_{f}" for f in CLUSTER
+) + "] AS vec FROM seg, seg_stats)"
 GAPS = (
     "gaps AS (SELECT a.id, b.id AS other, list_distance(a.vec, b.vec) AS d FROM points a, points b)"
 )
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = modelprep.align(merged(spark, sf_dir), INPUT)
-    return written(segments.vectors(modelprep.scaled(rows, modelprep.scaler(rows, INPUT), INPUT), INPUT), "points")
+    rows = written(modelprep.align(measured(spark, sf_dir), CLUSTER), "fleet-rows")
+    return written(segments.vectors(modelprep.scaled(rows, modelprep.scaler(rows, CLUSTER), CLUSTER), CLUSTER), "points")
 
 
 KTH_SQL = (
@@ -405,7 +429,7 @@ KTH_SQL = (
 
 
 @query(
-    "neighbour_distances", EV, SNAP, FLEET, ALIGNED, STATS, POINTS_SQL, GAPS, KTH_SQL,
+    "neighbour_distances", EV, SNAP, FLEET, SEG, POINTS_SQL, GAPS, KTH_SQL,
     sql="SELECT id, round(distance, 8) AS distance FROM kth",
 )
 def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,7 +446,7 @@ KNEE_SQL = (
 
 
 @query(
-    "density_radius", EV, SNAP, FLEET, ALIGNED, STATS, POINTS_SQL, GAPS, KTH_SQL, KNEE_SQL,
+    "density_radius", EV, SNAP, FLEET, SEG, POINTS_SQL, GAPS, KTH_SQL, KNEE_SQL,
     sql="SELECT round(eps, 8) AS eps FROM knee",
 )
 def density_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,7 +461,7 @@ DENSITY_SQL = (
 
 
 @query(
-    "density_outliers", EV, SNAP, FLEET, ALIGNED, STATS, POINTS_SQL, GAPS, KTH_SQL, DENSITY_SQL,
+    "density_outliers", EV, SNAP, FLEET, SEG, POINTS_SQL, GAPS, KTH_SQL, DENSITY_SQL,
     sql="""SELECT id, id IN (SELECT id FROM cores) AS core, id NOT IN (SELECT id FROM touched) AS noise FROM points""",
 )
 def density_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,8 +471,8 @@ def density_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CENTER_SQL = (
     "centers AS (SELECT CAST(g AS INTEGER) AS segment, [" + ", ".join(
-        f"avg(({f} - m_{f}) / s_{f})" for f in INPUT
-    ) + "] AS center FROM (SELECT *, least(floor(dl_mbps_latest / 400), 3) AS g FROM aligned), stats GROUP BY 1), "
+        f"avg(({f} - m_{f}) / s_{f})" for f in CLUSTER
+    ) + "] AS center FROM (SELECT *, least(floor(dl_mbps_latest / 400), 3) AS g FROM seg), seg_stats GROUP BY 1), "
     "near AS (SELECT DISTINCT gaps.id FROM gaps JOIN cores ON cores.id = other WHERE d <= 3.0), "
     "best AS (SELECT id, arg_min(segment, d) AS segment, min(d) AS distance FROM (SELECT id, segment, "
     "list_distance(vec, center) AS d FROM points, centers) GROUP BY 1), "
@@ -460,22 +484,22 @@ CENTER_SQL = (
 
 def _given_model(spark: SparkSession, sf_dir: str) -> segments.Segmentation:
     """A segmentation whose centroids are group means of the data (at most four groups)."""
-    rows = written(modelprep.align(merged(spark, sf_dir), INPUT), "segment-rows")
-    stats = modelprep.scaler(rows, INPUT)
+    rows = written(modelprep.align(measured(spark, sf_dir), CLUSTER), "segment-rows")
+    stats = modelprep.scaler(rows, CLUSTER)
     dense = segments.density(points(spark, sf_dir), 3.0, segments.neighbours_needed(rows.count()))
-    flat = modelprep.scaled(rows, stats, INPUT, ("device_id",)).join(
+    flat = modelprep.scaled(rows, stats, CLUSTER, ("device_id",)).join(
         rows.select("device_id", F.least(F.floor(F.col("dl_mbps_latest") / 400), F.lit(3)).alias("g")), "device_id"
     )
-    centers = flat.groupBy("g").agg(*[F.avg(f).alias(f) for f in INPUT]).orderBy("g").collect()
-    centroids = np.array([[c[f] for f in INPUT] for c in centers])
-    return segments.Segmentation(INPUT, stats, 3.0, dense.where("core").select("id", "vec"), centroids)
+    centers = flat.groupBy("g").agg(*[F.avg(f).alias(f) for f in CLUSTER]).orderBy("g").collect()
+    centroids = np.array([[c[f] for f in CLUSTER] for c in centers])
+    return segments.Segmentation(CLUSTER, stats, 3.0, dense.where("core").select("id", "vec"), centroids)
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.assign(merged(spark, sf_dir), _given_model(spark, sf_dir))
+    return segments.assign(measured(spark, sf_dir), _given_model(spark, sf_dir))
 
 
-GIVEN = (EV, SNAP, FLEET, ALIGNED, STATS, POINTS_SQL, GAPS, KTH_SQL, DENSITY_SQL, CENTER_SQL)
+GIVEN = (EV, SNAP, FLEET, SEG, POINTS_SQL, GAPS, KTH_SQL, DENSITY_SQL, CENTER_SQL)
 
 
 @query(
@@ -486,27 +510,33 @@ def segment_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(assigned(spark, sf_dir), 6)
 
 
-SUMMARY_FEATURES = [f for f in V.CLUSTER_FEATURES if f in INPUT]
 _LABEL_SQL = """coalesce(nullif(concat_ws(' ',
   CASE WHEN avg(qoe_composite_latest) >= 85 THEN 'High-QoE' WHEN avg(qoe_composite_latest) < 60 THEN 'Low-QoE' END,
   CASE WHEN avg(dl_mbps_latest) >= 500 THEN 'High-Speed' WHEN avg(dl_mbps_latest) < 100 THEN 'Low-Speed' END,
   CASE WHEN avg(wifi_client_count) >= 15 THEN 'Heavy-Use' WHEN avg(wifi_client_count) <= 3 THEN 'Light-Use' END,
-  CASE WHEN avg(streaming) > 0.5 THEN 'Streamers' END), ''), 'Standard')"""
+  CASE WHEN avg(traffic_streaming_pct) > 0.5 THEN 'Streamers' END), ''), 'Standard')"""
+
+
+
+def _two_digits(x: str) -> str:
+    """Half to even: odd eighths are the only numbers that lie exactly between two results."""
+    return f"CASE WHEN {x} * 8 = floor({x} * 8) AND {x} * 4 <> floor({x} * 4) THEN round_even({x}, 2) ELSE CAST(printf('%.2f', {x}) AS DOUBLE) END"
+
+
 SUMMARY_SQL = (
     "described AS (SELECT CAST(segment AS INTEGER) AS segment, count(*) AS devices, "
-    + ", ".join(f"CAST(printf('%.2f', avg({f})) AS DOUBLE) AS avg_{f}" for f in SUMMARY_FEATURES)
-    + f", {_LABEL_SQL} AS label, segment = -1 AS is_outlier FROM placed JOIN aligned USING (device_id) "
-    "JOIN (SELECT device_id, coalesce(traffic_streaming_pct, 0) AS streaming FROM fleet) USING (device_id) GROUP BY segment)"
+    + ", ".join(f"{_two_digits(f'avg({f})')} AS avg_{f}" for f in CLUSTER)
+    + f", {_LABEL_SQL} AS label, segment = -1 AS is_outlier FROM placed JOIN seg USING (device_id) GROUP BY segment)"
 )
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.summary(merged(spark, sf_dir), assigned(spark, sf_dir))
+    return segments.summary(measured(spark, sf_dir), assigned(spark, sf_dir))
 
 
 @query("segment_summary", *GIVEN, SUMMARY_SQL, sql="SELECT * FROM described")
 def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = ["segment", "devices", *[f"avg_{f}" for f in SUMMARY_FEATURES], "label", "is_outlier"]
+    kept = ["segment", "devices", *[f"avg_{f}" for f in CLUSTER], "label", "is_outlier"]
     return described(spark, sf_dir).select(*kept)
 
 
@@ -540,8 +570,8 @@ def assignment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "segment_silhouette", EV, SNAP, FLEET, ALIGNED, STATS, POINTS_SQL,
-    "labelled AS (SELECT id, vec, least(floor(dl_mbps_latest / 400), 3) AS g FROM points JOIN aligned ON id = device_id)",
+    "segment_silhouette", EV, SNAP, FLEET, SEG, POINTS_SQL,
+    "labelled AS (SELECT id, vec, least(floor(dl_mbps_latest / 400), 3) AS g FROM points JOIN seg ON id = device_id)",
     "sized AS (SELECT g, count(*) AS n FROM labelled GROUP BY 1)",
     "pair AS (SELECT a.id, a.g, b.g AS other, sum(pow(list_distance(a.vec, b.vec), 2)) AS d FROM labelled a, labelled b GROUP BY ALL)",
     "means AS (SELECT id, pair.g, other, CASE WHEN pair.g = other THEN d / greatest(n - 1, 1) ELSE d / n END AS m, n FROM pair "
@@ -552,7 +582,7 @@ def assignment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def segment_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silhouette of given segments: the devices by their download rate."""
-    rows = modelprep.align(merged(spark, sf_dir), INPUT)
+    rows = modelprep.align(measured(spark, sf_dir), CLUSTER)
     rate = rows.select(F.col("device_id").alias("id"), F.least(F.floor(F.col("dl_mbps_latest") / 400), F.lit(3)).alias("prediction"))
     value = segments.silhouette(points(spark, sf_dir).join(rate, "id"))
     return spark.createDataFrame([(round(value, 6),)], "silhouette double")

@@ -184,12 +184,13 @@ def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.count_drops(T.series(spark, sf_dir))
 
 
-_BUNDLED = {"qoe_composite_latest": "qoe_composite", "dl_mbps_latest": "dl_mbps"}
+BUNDLED = {"qoe_composite_latest": "qoe_composite", "dl_mbps_latest": "dl_mbps"}
 
 
-def _bundle_sql() -> str:
+def bundle_sql(source: dict[str, str], everyone: str) -> str:
+    """Trailing statistics of the bundled features; ``source`` is where each one's readings (device_id, ts) come from."""
     parts = []
-    for f, stem in _BUNDLED.items():
+    for f, stem in BUNDLED.items():
         columns = []
         for w, interval in (("24h", "24 HOUR"), ("7d", "7 DAY")):
             inside = f"FILTER (WHERE ts > last_ts - INTERVAL {interval})"
@@ -203,15 +204,19 @@ def _bundle_sql() -> str:
         columns.append(f"CASE WHEN count(*) >= 2 THEN round({slope}, 6) END AS {stem}_trend_7d")
         parts.append(
             f"(SELECT device_id, {', '.join(columns)} FROM (SELECT device_id, ts, {f}, "
-            f"max(ts) OVER (PARTITION BY device_id) AS last_ts FROM snap WHERE {f} IS NOT NULL) GROUP BY 1) AS {stem}"
+            f"max(ts) OVER (PARTITION BY device_id) AS last_ts FROM {source[f]} WHERE {f} IS NOT NULL) GROUP BY 1) AS {stem}"
         )
-    everyone = "(SELECT DISTINCT device_id FROM snap) AS everyone"
-    return f"SELECT * FROM {everyone} " + " ".join(f"LEFT JOIN {p} USING (device_id)" for p in parts)
+    return f"SELECT * FROM ({everyone}) AS everyone " + " ".join(f"LEFT JOIN {p} USING (device_id)" for p in parts)
 
 
-@query("temporal_bundle", EV, SNAP, sql=_bundle_sql())
+@query(
+    "temporal_bundle", EV, SNAP, sql=bundle_sql(dict.fromkeys(BUNDLED, "snap"), "SELECT DISTINCT device_id FROM snap")
+)
 def temporal_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = temporal.bundle(T.snapshots(spark, sf_dir), list(_BUNDLED), names=_BUNDLED)
+    return bundle_rows(temporal.bundle(T.snapshots(spark, sf_dir), list(BUNDLED), names=BUNDLED))
+
+
+def bundle_rows(rows: DataFrame) -> DataFrame:
     trends = [c for c in rows.columns if c.endswith("_trend_7d")]
     return rounded(rounded(rows, 8, *trends), 6, *[c for c in rows.columns if c not in trends])
 
@@ -220,7 +225,7 @@ def _since(days: int) -> str:
     return f"ts > {AS_OF} - INTERVAL {days} DAY AND ts <= {AS_OF}"
 
 
-_COUNTER_SQL = f"""SELECT device_id,
+COUNTER_SQL = f"""SELECT device_id,
   count(*) FILTER (WHERE severity = 'critical' AND {_since(1)}) AS events_critical_24h,
   count(*) FILTER (WHERE severity = 'warning' AND {_since(1)}) AS events_warning_24h,
   count(*) FILTER (WHERE {_since(7)}) AS events_total_7d,
@@ -230,7 +235,7 @@ _COUNTER_SQL = f"""SELECT device_id,
   count(*) AS events_total_30d FROM dev_events WHERE {_since(30)} GROUP BY 1"""
 
 
-@query("event_counters", EV, DEVICE_EVENTS, sql=_COUNTER_SQL)
+@query("event_counters", EV, DEVICE_EVENTS, sql=COUNTER_SQL)
 def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.event_counters(T.device_events(spark, sf_dir), T.AS_OF)
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlight import values as V
-from meshlight.operators import alerts
+from meshlight.operators import alerts, partials, store, temporal
 from meshlight.plans.catalog import DEVICE_EVENTS, EV, ORACLES, SNAP, query, ts_sql, ts_text
-from meshlight.plans.catalog_ingest import MSG
+from meshlight.plans.catalog_ingest import FEATURE_SQL, MSG, feature_rows
 from meshlight.plans.catalog_rules import RULES
-from meshlight.session import work_path
+from meshlight.plans.catalog_store import BUNDLED, bundle_rows, bundle_sql
+from meshlight.session import work_path, written
 from meshlight.sources import messages
 from meshlight.sources import tables as T
 from meshlight.streaming.cooldown import triggered_runs
@@ -49,8 +50,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> str:
 
 @query("stream_ingest", sql=ORACLES["feature_snapshots"])
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{_ingested(spark, sf_dir)}/snapshots")
-    return rows.select("device_id", ts_text("ts").alias("ts"), "msg_type", F.size("features").alias("features"))
+    return feature_rows(ingested(spark, _ingested(spark, sf_dir), "snapshots"))
 
 
 @query(
@@ -94,6 +94,24 @@ def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(spark, out, "counters")
 
 
+_READ = {
+    f: f"(SELECT device_id, CAST(ts AS TIMESTAMP) AS ts, {f} FROM ({FEATURE_SQL[kind]}))"
+    for f, kind in (("qoe_composite_latest", "qoe"), ("dl_mbps_latest", "bbst"))
+}
+
+
+@query(
+    "stream_trends", EV, MSG,
+    sql=bundle_sql(_READ, " UNION ".join(f"SELECT device_id FROM {read}" for read in _READ.values())),
+)
+def stream_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing statistics from the hourly states that ingest keeps up; readings only where a window starts."""
+    out = _ingested(spark, sf_dir)
+    held = written(partials.side_by_side(ingested(spark, out, "hourly"), list(BUNDLED)), "hourly")
+    snapshots = store.as_columns(ingested(spark, out, "snapshots"), list(BUNDLED))
+    return bundle_rows(temporal.bundle(snapshots, list(BUNDLED), names=BUNDLED, held=held))
+
+
 # Foreign topics are no subscription and never reach the quarantine of the stream.
 @query("stream_quarantine", sql=f"SELECT * FROM ({ORACLES['quarantine']}) WHERE reason NOT IN ('bad_topic', 'unknown_type')")
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meshlight.operators import features, parse
+from meshlight.operators import features, parse, partials
 from meshlight.operators.features import hourly_usage
 
 
@@ -43,8 +43,9 @@ def device_events(decoded: DataFrame) -> DataFrame:
 def start_ingest(
     messages: DataFrame, out: str, checkpoint: str, interval: str | None = None, redelivered_within: str | None = None
 ) -> StreamingQuery:
-    """Decode a message stream into tables below ``out``: snapshots, heartbeats, events, usage, quarantine and
-    counters (messages by outcome, a row per batch and outcome).
+    """Decode a message stream into tables below ``out``: snapshots, hourly states of every feature
+    (``partials``), heartbeats, events, usage, quarantine and counters (messages by outcome, a row per batch
+    and outcome).
 
     Every micro-batch owns one folder per table and overwrites it, so a batch that is run again
     after a failure leaves no duplicate rows. ``redelivered_within`` drops copies (see ``once``). Without
@@ -58,7 +59,9 @@ def start_ingest(
             rows.write.mode("overwrite").partitionBy(*by).parquet(f"{out}/{name}/batch={number}")
 
         try:
-            put(features.snapshots(decoded).withColumn("date", F.to_date("ts")), "snapshots", "date")
+            found = features.snapshots(decoded)
+            put(found.withColumn("date", F.to_date("ts")), "snapshots", "date")
+            put(partials.of_maps(found), "hourly")
             put(heartbeats(decoded), "heartbeats")
             put(device_events(decoded).withColumn("date", F.to_date("ts")), "events", "date")
             put(hourly_usage(decoded), "usage")
@@ -74,8 +77,10 @@ def start_ingest(
 
 
 def ingested(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """One of the tables; usage and counters are added up over the batches."""
+    """One of the tables; hourly states, usage and counters are added up over the batches."""
     rows = spark.read.parquet(f"{out}/{name}")
+    if name == "hourly":
+        return partials.added_up(rows, ["device_id", "feature", "chunk"], "state")
     if name == "usage":
         return rows.groupBy("device_id", "category", "hour").agg(
             *[F.sum(c).alias(c) for c in ("rx_bytes", "tx_bytes", "active_sec")]

@@ -1,5 +1,6 @@
 """Temporal, ranking, drift and rounding operators against plain Python on small inputs."""
 
+import collections
 import math
 import random
 from datetime import datetime, timedelta
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlight.functions.rounding import fixed_text, round_even
-from meshlight.operators import churn, drift, ordering, segments, temporal
+from meshlight.operators import churn, drift, ordering, partials, segments, temporal
 
 START = datetime(2024, 1, 1)
 
@@ -195,3 +196,91 @@ def test_search_of_vectors_without_direction(spark):
     ]
     one = [(r.id, r.similarity) for r in documents.search(store, [1.0, 0.0], 4).collect()]
     assert [i for i, _ in one] == [1, 4, 2, 3] and one[2][1] is None
+
+
+# ------------------------------------------------------------------------------ states and windows
+
+
+def odd_series(spark, n=900, seed=7):
+    """Readings of a busy, a quiet and a lone device: ties in time, nulls, large values with little spread."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        at = int(rng.integers(0, 40 * 3600)) * 1_000_000 + int(rng.integers(0, 3))
+        rows.append(("busy", at, None if i % 17 == 0 else float(rng.normal(1e6, 1))))
+    rows += [("busy", rows[5][1], 3.0), ("busy", rows[5][1], -3.0)]
+    rows += [("quiet", 3_600_000_000 * h, float(h % 5)) for h in (0, 1, 9, 30)] + [("lone", 5, 2.5), ("empty", 7, None)]
+    frame = spark.createDataFrame(rows, "device_id string, us bigint, value double")
+    return rows, frame.select("device_id", F.timestamp_micros("us").alias("ts"), "value")
+
+
+def test_trailing_windows_match_brute_force(spark):
+    rows, frame = odd_series(spark)
+    hours = 6
+    got = {r.device_id: r for r in temporal.rolling_stats(frame.repartition(5), window=f"{hours}h").collect()}
+    slopes = {r.device_id: r.slope for r in temporal.linear_trend(frame, window=f"{hours}h").collect()}
+    for device in {r[0] for r in rows}:
+        own = [(t, v) for d, t, v in rows if d == device]
+        end = max(t for t, _ in own)
+        inside = [(t, v) for t, v in own if t > end - hours * 3_600_000_000]
+        x = np.array([v for _, v in inside if v is not None])
+        r = got[device]
+        assert r["count"] == len(inside)
+        assert np.isclose(r["mean"], x.mean() if len(x) else 0, rtol=1e-14)
+        assert np.isclose(r["std"], x.std(ddof=1) if len(x) > 1 else 0, rtol=1e-9)
+        assert (r["min"], r["max"]) == ((x.min(), x.max()) if len(x) else (0, 0))
+        days = np.array([t for t, v in inside if v is not None]) / 86_400e6
+        want = np.polyfit(days - days.mean(), x - x.mean(), 1)[0] if len(set(days)) > 1 else 0.0
+        assert np.isclose(slopes[device], want, rtol=1e-6, atol=1e-9)
+
+
+@pytest.mark.parametrize(("window", "length"), [(6, None), (6, 225_000_000), (1, None), (2, 3_600_000_000)])
+def test_statistics_at_every_reading(spark, window, length):
+    rows, frame = odd_series(spark, 300)
+    got = partials.per_reading(frame, ["device_id"], "value", window * partials.HOUR, length).collect()
+    assert len(got) == len(rows)
+    found = sorted((r.device_id, int(r.ts.timestamp() * 1e6 + 0.5), r.value is None, r.value or 0.0, r["count"], r["mean"], r["std"], r["min"], r["max"]) for r in got)
+    for (device, at, _, _, count, mean, std, low, high), (d, t, v) in zip(found, sorted(rows, key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0.0))):
+        assert (device, at) == (d, t)
+        own = [x for e, s, x in rows if e == d and t - window * partials.HOUR < s <= t]
+        x = np.array([y for y in own if y is not None])
+        assert count == len(own) and (mean is None) == (not len(x))
+        if len(x):
+            assert np.isclose(mean, x.mean(), rtol=1e-13) and (low, high) == (x.min(), x.max())
+            assert np.isclose(std, x.std(ddof=1) if len(x) > 1 else 0, rtol=1e-7, atol=1e-9)
+
+
+def test_busy_chunks_are_cut(spark):
+    rows, frame = odd_series(spark)
+    most = 20
+    length = partials.chunk_length(frame, ["device_id"], most=most)
+    assert length < partials.HOUR and partials.HOUR % length == 0
+    counts = collections.Counter((d, t - t % length) for d, t, _ in rows)
+    assert max(counts.values()) <= most
+    whole = {r.device_id: r.drops for r in temporal.count_drops(frame.where("value IS NOT NULL"), 0.5).collect()}
+    cut = {r.device_id: r.drops for r in temporal.count_drops(frame.where("value IS NOT NULL"), 0.5, length=length).collect()}
+    assert whole == cut
+    for hours in (3, 30):
+        late = {r.device_id: r.drops for r in temporal.trailing_drops(frame, ["device_id"], "value", f"{hours}h", 0.5, length=length).collect()}
+        for device in ("busy", "quiet", "lone"):
+            own = sorted((t, v) for d, t, v in rows if d == device and v is not None)
+            own = [v for t, v in own if t > own[-1][0] - hours * partials.HOUR]
+            assert late[device] == sum(b - a < -0.5 for a, b in zip(own, own[1:]))
+
+
+def test_states_of_batches_merge(spark):
+    rows, frame = odd_series(spark)
+    whole = partials.states(frame, ["device_id"], ["value"]).select("device_id", "chunk", "value.*")
+    part = F.pmod(F.xxhash64("ts", "value"), F.lit(3)) == 0
+    both = partials.states(frame.where(part), ["device_id"], ["value"]).union(partials.states(frame.where(~part), ["device_id"], ["value"]))
+    merged = partials.added_up(both, ["device_id", "chunk"], "value").select("device_id", "chunk", "value.*")
+    want = {(r.device_id, r.chunk): r.asDict() for r in whole.collect()}
+    got = {(r.device_id, r.chunk): r.asDict() for r in merged.collect()}
+    assert want.keys() == got.keys()
+    for key, state in want.items():
+        for name, value in state.items():
+            if isinstance(value, float):
+                scale = 1e-6 if name in ("m2", "tt", "tv") else 1e-12
+                assert np.isclose(value, got[key][name], rtol=scale, atol=1e-7), (key, name)
+            else:
+                assert value == got[key][name] or (name in ("rows", "n", "below") and (value or 0) == (got[key][name] or 0))
