@@ -416,8 +416,12 @@ GAPS = (
 )
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(modelprep.align(measured(spark, sf_dir), CLUSTER), "fleet-rows")
+def fleet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fleet's segment features, written once for all that is made of them."""
+    return written(modelprep.align(measured(spark, sf_dir), CLUSTER), "fleet-rows")
+
+
+def points(rows: DataFrame) -> DataFrame:
     return written(segments.vectors(modelprep.scaled(rows, modelprep.scaler(rows, CLUSTER), CLUSTER), CLUSTER), "points")
 
 
@@ -433,7 +437,7 @@ KTH_SQL = (
     sql="SELECT id, round(distance, 8) AS distance FROM kth",
 )
 def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir)
+    rows = points(fleet_rows(spark, sf_dir))
     return rounded(neighbours.kth_distance(rows, segments.neighbours_needed(rows.count())))
 
 
@@ -450,7 +454,7 @@ KNEE_SQL = (
     sql="SELECT round(eps, 8) AS eps FROM knee",
 )
 def density_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir)
+    rows = points(fleet_rows(spark, sf_dir))
     return rounded(segments.knee(neighbours.kth_distance(rows, segments.neighbours_needed(rows.count()))))
 
 
@@ -465,7 +469,7 @@ DENSITY_SQL = (
     sql="""SELECT id, id IN (SELECT id FROM cores) AS core, id NOT IN (SELECT id FROM touched) AS noise FROM points""",
 )
 def density_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir)
+    rows = points(fleet_rows(spark, sf_dir))
     return segments.density(rows, 3.0, segments.neighbours_needed(rows.count())).select("id", "core", "noise")
 
 
@@ -482,11 +486,10 @@ CENTER_SQL = (
 )
 
 
-def _given_model(spark: SparkSession, sf_dir: str) -> segments.Segmentation:
+def _given_model(rows: DataFrame) -> segments.Segmentation:
     """A segmentation whose centroids are group means of the data (at most four groups)."""
-    rows = written(modelprep.align(measured(spark, sf_dir), CLUSTER), "segment-rows")
     stats = modelprep.scaler(rows, CLUSTER)
-    dense = segments.density(points(spark, sf_dir), 3.0, segments.neighbours_needed(rows.count()))
+    dense = segments.density(points(rows), 3.0, segments.neighbours_needed(rows.count()))
     flat = modelprep.scaled(rows, stats, CLUSTER, ("device_id",)).join(
         rows.select("device_id", F.least(F.floor(F.col("dl_mbps_latest") / 400), F.lit(3)).alias("g")), "device_id"
     )
@@ -495,8 +498,8 @@ def _given_model(spark: SparkSession, sf_dir: str) -> segments.Segmentation:
     return segments.Segmentation(CLUSTER, stats, 3.0, dense.where("core").select("id", "vec"), centroids)
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.assign(measured(spark, sf_dir), _given_model(spark, sf_dir))
+def assigned(rows: DataFrame) -> DataFrame:
+    return segments.assign(rows, _given_model(rows))
 
 
 GIVEN = (EV, SNAP, FLEET, SEG, POINTS_SQL, GAPS, KTH_SQL, DENSITY_SQL, CENTER_SQL)
@@ -507,7 +510,7 @@ GIVEN = (EV, SNAP, FLEET, SEG, POINTS_SQL, GAPS, KTH_SQL, DENSITY_SQL, CENTER_SQ
     sql="SELECT device_id, CAST(segment AS INTEGER) AS segment, is_outlier, round(distance, 6) AS distance FROM placed",
 )
 def segment_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(assigned(spark, sf_dir), 6)
+    return rounded(assigned(fleet_rows(spark, sf_dir)), 6)
 
 
 _LABEL_SQL = """coalesce(nullif(concat_ws(' ',
@@ -531,7 +534,8 @@ SUMMARY_SQL = (
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.summary(measured(spark, sf_dir), assigned(spark, sf_dir))
+    rows = fleet_rows(spark, sf_dir)
+    return segments.summary(rows, assigned(rows))
 
 
 @query("segment_summary", *GIVEN, SUMMARY_SQL, sql="SELECT * FROM described")
@@ -556,7 +560,7 @@ def segments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
       ORDER BY device_id LIMIT 50""",
 )
 def segment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.members(assigned(spark, sf_dir), 1)
+    return segments.members(assigned(fleet_rows(spark, sf_dir)), 1)
 
 
 @query(
@@ -565,7 +569,9 @@ def segment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
       {ts_sql(AS_OF)} AS assigned_at FROM placed JOIN described ON described.segment = placed.segment""",
 )
 def assignment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments.assignment_table(assigned(spark, sf_dir), described(spark, sf_dir), T.AS_OF)
+    fleet = fleet_rows(spark, sf_dir)
+    placed = written(assigned(fleet), "assigned")
+    rows = segments.assignment_table(placed, segments.summary(fleet, placed), T.AS_OF)
     return rounded(rows.withColumn("assigned_at", ts_text("assigned_at")), 6)
 
 
@@ -582,9 +588,9 @@ def assignment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def segment_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silhouette of given segments: the devices by their download rate."""
-    rows = modelprep.align(measured(spark, sf_dir), CLUSTER)
+    rows = fleet_rows(spark, sf_dir)
     rate = rows.select(F.col("device_id").alias("id"), F.least(F.floor(F.col("dl_mbps_latest") / 400), F.lit(3)).alias("prediction"))
-    value = segments.silhouette(points(spark, sf_dir).join(rate, "id"))
+    value = segments.silhouette(points(rows).join(rate, "id"))
     return spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
