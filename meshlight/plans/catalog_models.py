@@ -15,6 +15,7 @@ from meshlight.operators import (
     counters,
     drift,
     forecast,
+    kmeans,
     modelprep,
     neighbours,
     ordering,
@@ -490,12 +491,15 @@ def _given_model(rows: DataFrame) -> segments.Segmentation:
     """A segmentation whose centroids are group means of the data (at most four groups)."""
     stats = modelprep.scaler(rows, CLUSTER)
     dense = segments.density(points(rows), 3.0, segments.neighbours_needed(rows.count()))
-    flat = modelprep.scaled(rows, stats, CLUSTER, ("device_id",)).join(
-        rows.select("device_id", F.least(F.floor(F.col("dl_mbps_latest") / 400), F.lit(3)).alias("g")), "device_id"
-    )
+    return segments.Segmentation(CLUSTER, stats, 3.0, dense.where("core").select("id", "vec"), _group_centers(rows, 400, 3))
+
+
+def _group_centers(rows: DataFrame, step: int, last: int) -> np.ndarray:
+    """Means of the scaled devices by download rate, in steps of ``step`` up to group ``last``."""
+    group = F.least(F.floor(F.col("dl_mbps_latest") / step), F.lit(last)).alias("g")
+    flat = modelprep.scaled(rows, modelprep.scaler(rows, CLUSTER), CLUSTER, ("device_id",)).join(rows.select("device_id", group), "device_id")
     centers = flat.groupBy("g").agg(*[F.avg(f).alias(f) for f in CLUSTER]).orderBy("g").collect()
-    centroids = np.array([[c[f] for f in CLUSTER] for c in centers])
-    return segments.Segmentation(CLUSTER, stats, 3.0, dense.where("core").select("id", "vec"), centroids)
+    return np.array([[c[f] for f in CLUSTER] for c in centers])
 
 
 def assigned(rows: DataFrame) -> DataFrame:
@@ -594,6 +598,59 @@ def segment_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
+@query(
+    "segment_step", *GIVEN,
+    sql="""SELECT CAST(segment AS INTEGER) AS segment, CAST(p AS INTEGER) AS place, count(*) AS devices,
+      round(avg(vec[p]), 5) AS value FROM best JOIN points USING (id), range(1, 14) t(p) GROUP BY ALL""",
+)
+def segment_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of k-means from given centroids: the centroids after it, number by number."""
+    rows = fleet_rows(spark, sf_dir)
+    moved, sizes, _ = kmeans.step(points(rows), [_group_centers(rows, 400, 3)])
+    found = [
+        (segment, place + 1, int(n), round(float(x), 5))
+        for segment, (center, n) in enumerate(zip(moved[0], sizes[0])) for place, x in enumerate(center) if n
+    ]
+    return spark.createDataFrame(found, "segment int, place int, devices bigint, value double")
+
+
+# Given models: the devices' means by download rate, in steps of so many Mbps up to the last group.
+SWEEP = {2: (800, 1), 4: (400, 3)}
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for k, (step, last) in SWEEP.items():
+        means = ", ".join(f"avg(({f} - m_{f}) / s_{f})" for f in CLUSTER)
+        parts += [
+            f"c{k} AS (SELECT g AS segment, [{means}] AS center FROM (SELECT *, least(floor(dl_mbps_latest / {step}), {last}) AS g "
+            "FROM seg), seg_stats GROUP BY 1)",
+            f"l{k} AS (SELECT id, any_value(vec) AS vec, arg_min(segment, list_distance(vec, center)) AS g FROM points, c{k} GROUP BY id)",
+            f"n{k} AS (SELECT g, count(*) AS n FROM l{k} GROUP BY 1)",
+            f"p{k} AS (SELECT a.id, a.g, b.g AS other, sum(pow(list_distance(a.vec, b.vec), 2)) AS d FROM l{k} a, l{k} b GROUP BY ALL)",
+            f"m{k} AS (SELECT id, p.g, other, CASE WHEN p.g = other THEN d / greatest(n - 1, 1) ELSE d / n END AS m, n "
+            f"FROM p{k} p JOIN n{k} s ON other = s.g)",
+            f"w{k} AS (SELECT id, max(CASE WHEN g = other THEN m END) AS inside, max(CASE WHEN g = other THEN n END) AS own, "
+            f"min(CASE WHEN g <> other THEN m END) AS outside FROM m{k} GROUP BY id)",
+        ]
+    rows = " UNION ALL ".join(
+        f"SELECT {k} AS k, avg(CASE WHEN own > 1 THEN (outside - inside) / greatest(outside, inside) ELSE 0 END) AS s FROM w{k}" for k in SWEEP
+    )
+    return ", ".join(parts) + f", swept AS ({rows})"
+
+
+@query(
+    "segment_sweep", EV, SNAP, FLEET, SEG, POINTS_SQL, _sweep_sql(),
+    sql="SELECT k, round(s, 6) AS silhouette, s = (SELECT max(s) FROM swept) AS chosen FROM swept",
+)
+def segment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes of given models, and which number of segments they choose."""
+    rows = fleet_rows(spark, sf_dir)
+    found = kmeans.silhouettes(points(rows), [_group_centers(rows, *SWEEP[k]) for k in SWEEP])
+    out = [(k, round(s, 6), s == max(found)) for k, s in zip(SWEEP, found)]
+    return spark.createDataFrame(out, "k int, silhouette double, chosen boolean")
+
+
 @query("fleet_segments")
 def fleet_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train the segmentation on the fleet matrix and describe its segments."""

@@ -129,8 +129,8 @@ CHURN_FEATURES = [
     "subscriber_dl_utilization_ratio",
 ]
 
-# Churn risk levels as (lower bound, name).
-RISK_LEVELS = [(0, "low"), (25, "medium"), (50, "high"), (75, "critical")]
+# Churn risk levels as (lower bound, upper bound, name); the upper bound is not included.
+RISK_LEVELS = [(0, 25, "low"), (25, 50, "medium"), (50, 75, "high"), (75, 101, "critical")]
 
 # Forecast sizes, in 15-minute steps.
 STEP_MINUTES = 15
@@ -292,3 +292,14 @@ Context:
 Question: %s
 
 Answer:"""
+
+# Words for a segment's means, by comparison and bound; of each measure the first that holds.
+SEGMENT_WORDS = [
+    ("qoe", "ge", 85, "High-QoE"),
+    ("qoe", "lt", 60, "Low-QoE"),
+    ("dl", "ge", 500, "High-Speed"),
+    ("dl", "lt", 100, "Low-Speed"),
+    ("clients", "ge", 15, "Heavy-Use"),
+    ("clients", "le", 3, "Light-Use"),
+    ("streaming", "gt", 0.5, "Streamers"),
+]
