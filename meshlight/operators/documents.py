@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlight import values as V
@@ -18,6 +18,7 @@ from meshlight.functions.rounding import fixed_text, round_even
 from meshlight.functions.vectors import cosine
 from meshlight.operators.store import row_hash
 from meshlight.session import written
+from meshlight.sources import stored
 
 _METADATA_KEY = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 
@@ -63,6 +64,11 @@ def upserted(rows: DataFrame) -> DataFrame:
     return last.select("id", "_row.*", "created_at")
 
 
+def write_chunks(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Upsert chunks (id, ..., created_at) into a stored table: the last write of an id stays."""
+    stored.upsert(spark, path, rows, at="created_at")
+
+
 def _metadata_filter(store: DataFrame, metadata: dict[str, str] | None) -> DataFrame:
     for key, value in (metadata or {}).items():
         if not _METADATA_KEY.match(key):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlight.operators.store import page
+from meshlight.sources import stored
 
 
 def active_flags(log: DataFrame) -> DataFrame:
@@ -92,3 +93,21 @@ def label_stats(labels: DataFrame) -> DataFrame:
         ((F.col("total_labels") >= 20) & (F.col("churned_count") >= 5)).alias("sufficient_for_training"),
     )
 
+
+
+# ------------------------------------------------------------------------------------- stored tables
+
+
+def register(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Add model versions (name, version, ...) to a stored registry; a version keeps its first registration."""
+    stored.append(spark, path, rows, ["name", "version"])
+
+
+def add_labels(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Add manual churn labels (id, ...) to a stored table."""
+    stored.append(spark, path, rows)
+
+
+def log_predictions(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Add prediction history rows; a device has one prediction of a model version at a time."""
+    stored.append(spark, path, rows, ["device_id", "model_name", "model_version", "ts"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlight import values as V
@@ -10,6 +10,7 @@ from meshlight.functions.barrier import settled
 from meshlight.functions.rounding import fixed_text
 from meshlight.operators import partials
 from meshlight.operators.store import page
+from meshlight.sources import stored
 
 _REMEDY_FIELDS = ("action", "title", "description", "auto", "impact")
 
@@ -253,3 +254,28 @@ def outbox(recs: DataFrame, product: str = "Fleet") -> DataFrame:
         subject.alias("subject"),
         text.alias("text"),
     )
+
+
+# ------------------------------------------------------------------------------------- stored tables
+
+
+def add_recommendations(spark: SparkSession, path: str, recs: DataFrame) -> None:
+    """Add recommendations (id, status, ...) to a stored table; one that is there keeps its state."""
+    empty = {"executed_at": "timestamp", "executed_by": "string"}
+    stored.append(spark, path, recs.withColumns({n: F.lit(None).cast(t) for n, t in empty.items() if n not in recs.columns}))
+
+
+def decide(spark: SparkSession, path: str, decisions: DataFrame) -> DataFrame:
+    """Apply decisions (id, decided_at, status, decided_by) to stored recommendations; returns those not found.
+
+    Only the rows that a decision names are written again.
+    """
+    held = stored.read(spark, path)
+    named = held.join(decisions.select("id").distinct(), "id", "left_semi").drop("executed_at", "executed_by")
+    stored.upsert(spark, path, decided(named, decisions).select(*held.columns))
+    return unknown_decisions(stored.read(spark, path), decisions)
+
+
+def log_runs(spark: SparkSession, path: str, runs: DataFrame) -> None:
+    """Add audit rows of agent runs (id, ...) to a stored table."""
+    stored.append(spark, path, runs)

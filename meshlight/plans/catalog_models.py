@@ -487,7 +487,7 @@ CENTER_SQL = (
 )
 
 
-def _given_model(rows: DataFrame) -> segments.Segmentation:
+def given_segmentation(rows: DataFrame) -> segments.Segmentation:
     """A segmentation whose centroids are group means of the data (at most four groups)."""
     stats = modelprep.scaler(rows, CLUSTER)
     dense = segments.density(points(rows), 3.0, segments.neighbours_needed(rows.count()))
@@ -503,7 +503,7 @@ def _group_centers(rows: DataFrame, step: int, last: int) -> np.ndarray:
 
 
 def assigned(rows: DataFrame) -> DataFrame:
-    return segments.assign(rows, _given_model(rows))
+    return segments.assign(rows, given_segmentation(rows))
 
 
 GIVEN = (EV, SNAP, FLEET, SEG, POINTS_SQL, GAPS, KTH_SQL, DENSITY_SQL, CENTER_SQL)

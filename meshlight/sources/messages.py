@@ -1,4 +1,4 @@
-"""Telemetry sources and sinks: files or Kafka in, date-partitioned snapshot tables out."""
+"""Telemetry sources: message files or Kafka."""
 
 from __future__ import annotations
 
@@ -34,18 +34,3 @@ def stream_kafka(spark: SparkSession, servers: str, topics: str) -> DataFrame:
         F.col("value").cast("string").alias("payload"),
         F.col("timestamp").alias("ingest_ts"),
     )
-
-
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append feature snapshots partitioned by day, so that time ranges prune files."""
-    snapshots.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)
-
-
-def read_snapshots(spark: SparkSession, path: str, from_ts: str | None = None, to_ts: str | None = None) -> DataFrame:
-    """Stored snapshots; a time range is also put on the partition column."""
-    rows = spark.read.parquet(path)
-    for bound, compare in ((from_ts, "__ge__"), (to_ts, "__le__")):
-        if bound:
-            limit = F.lit(bound).cast("timestamp")
-            rows = rows.where(getattr(F.col("date"), compare)(F.to_date(limit)) & getattr(F.col("ts"), compare)(limit))
-    return rows
