@@ -136,3 +136,62 @@ def report(reference: DataFrame, current: DataFrame, features: Sequence[str]) ->
         ((value > PSI_HIGH) | F.col("ks_drifted")).alias("is_drifted"),
         F.when(value > PSI_HIGH, "high").when(value > PSI_MODERATE, "moderate").otherwise("low").alias("severity"),
     )
+
+
+# ------------------------------------------------------------------------------------- daily sketches
+
+SKETCH_K = 800  # accuracy: ranks are off by about 0.4 %
+
+
+def daily_sketches(rows: DataFrame, features: Sequence[str], ts: str = "ts", k: int = SKETCH_K) -> DataFrame:
+    """(feature, day, sketch): a mergeable quantile sketch of each feature's values of each day.
+
+    Some kilobytes a feature and day, whatever the number of rows, from one aggregation with map-side combine.
+    """
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    long = rows.select(F.to_date(ts).alias("day"), F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.groupBy("feature", "day").agg(F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
+
+
+def sketched_psi(sketches: DataFrame, reference: Column, current: Column, bins: int = BINS) -> DataFrame:
+    """(feature, reference_rows, current_rows, psi) between two spans of days, from their sketches alone.
+
+    ``reference`` and ``current`` are conditions on ``day``. As ``psi``, with quantiles and counts as the sketches
+    know them; a feature without rows in a span, or with a single edge, has 0.
+    """
+    side = {"r": reference, "c": current}
+    both = None
+    for name, days in side.items():
+        one = sketches.where(days).groupBy("feature").agg(F.kll_merge_agg_double("sketch").alias(name))
+        both = one if both is None else both.join(one, "feature", "full")
+    named = sketches.select("feature").distinct().join(both, "feature", "left")
+    quantiles = F.array(*[F.kll_sketch_get_quantile_double("r", F.lit(i / bins)) for i in range(bins + 1)])
+    edges = F.array_sort(F.array_distinct(quantiles))
+    rows = written(named.select(
+        "feature", "r", "c", F.when(F.col("r").isNotNull() & F.col("c").isNotNull(), edges).alias("edges"),
+        *[F.coalesce(F.when(F.col(n).isNotNull(), F.kll_sketch_get_n_double(n)), F.lit(0)).alias(f"n_{n}") for n in side],
+    ), "merged-sketches")
+    last = F.size("edges") - 1
+    # A sketch is asked about literals only: the edges of each feature, which the schema bounds.
+    known = {r["feature"]: r["edges"] for r in rows.where("edges IS NOT NULL").select("feature", "edges").collect()}
+
+    def below(name: str) -> Column:
+        """Values below each edge; up to it for the last edge, whose bin is closed."""
+        found = F.lit(None).cast("array<double>")
+        for feature, own in known.items():
+            asked = [e if i == len(own) - 1 else math.nextafter(e, -math.inf) for i, e in enumerate(own)]
+            ranks = F.array(*[F.round(F.col(f"n_{name}") * F.kll_sketch_get_rank_double(name, F.lit(e))) for e in asked])
+            found = F.when(F.col("feature") == feature, ranks).otherwise(found)
+        return found
+
+    rows = rows.withColumns({f"b_{n}": below(n) for n in side})
+
+    def term(i: Column) -> Column:
+        share = {n: (F.get(f"b_{n}", i) - F.get(f"b_{n}", i - 1) + 1) / (F.col(f"n_{n}") + bins) for n in side}
+        return (share["c"] - share["r"]) * F.ln(share["c"] / share["r"])
+
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), last), term), F.lit(0.0), lambda t, x: t + x)
+    return rows.select(
+        "feature", F.col("n_r").alias("reference_rows"), F.col("n_c").alias("current_rows"),
+        F.when(F.col("edges").isNotNull() & (last >= 1), total).otherwise(0.0).alias("psi"),
+    )

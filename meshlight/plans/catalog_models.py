@@ -806,6 +806,24 @@ def psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drift.psi(counts), 6)
 
 
+@query(
+    "sketched_psi", LONG_SQL,
+    sql="""SELECT feature, count(*) FILTER (WHERE NOT cur) AS reference_rows, count(*) FILTER (WHERE cur) AS current_rows,
+      true AS within_bound FROM long GROUP BY 1""",
+)
+def sketched_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PSI between two spans of days from daily sketches, held against the exact one."""
+    reference, current = _halves(spark, sf_dir)
+    sketches = written(drift.daily_sketches(reference.unionByName(current), MEASURES, "l_shipdate"), "daily-sketches")
+    day = F.col("day")
+    found = drift.sketched_psi(sketches, day < F.lit(SPLIT).cast("date"), day >= F.lit(SPLIT).cast("date"))
+    counts = drift.both(drift.long_form(reference, MEASURES), drift.long_form(current, MEASURES))
+    close = F.abs(F.col("psi") - F.col("exact")) <= 0.01 + 0.05 * F.col("exact")
+    return found.join(drift.psi(counts).withColumnRenamed("psi", "exact"), "feature").select(
+        "feature", "reference_rows", "current_rows", close.alias("within_bound")
+    )
+
+
 @query(
     "ks_test", LONG_SQL, KS_SQL,
     sql="""SELECT feature, round(d, 8) AS ks_statistic, round(least(1, greatest(0, p)), 6) AS ks_p_value,

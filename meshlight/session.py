@@ -9,16 +9,22 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings every query relies on. The skew settings let AQE split a join partition that one
-# hot device fills, even when an aggregation follows and costs one more (small) exchange.
+# Runtime settings every query relies on, the same for all of them. The skew settings let AQE split a join
+# partition that one hot device fills, even when an aggregation follows and costs one more (small) exchange.
+# Arrow batches are small because texts are long rows: what a task holds at a time stays at some megabytes.
+# Streaming state may outgrow memory.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller owns."""
     for key, value in RUNTIME_CONF.items():
