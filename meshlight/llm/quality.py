@@ -23,8 +23,9 @@ from meshlight.llm.batches import appended
 
 SIGNALS = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "n_lines bigint, n_letter_words bigint, n_distinct_words bigint, n_symbol_words bigint"
+    "n_lines bigint, n_letter_words bigint, n_window_words bigint, n_window_distinct bigint, n_symbol_words bigint"
 )
+WINDOW = 200  # words in which different ones are counted; a shorter text is one window
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -53,6 +54,22 @@ def _distinct(keys: np.ndarray, documents: np.ndarray, n: int) -> np.ndarray:
     return W.counts_per(documents[first], n)
 
 
+def _windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all windows of each document: the word's number, its window's number, its document.
+
+    Windows of ``WINDOW`` words stand side by side; the last one ends with the document, so that it may
+    share words with the one before.
+    """
+    n_windows = -(-n_words // WINDOW)
+    document = np.repeat(np.arange(len(n_words)), n_windows)
+    place = np.arange(len(document)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    size = np.minimum(n_words[document], WINDOW)
+    begin = np.minimum(place * WINDOW, n_words[document] - size) + (np.cumsum(n_words) - n_words)[document]
+    window = np.repeat(np.arange(len(document)), size)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return begin[window] + inside, window, document[window]
+
+
 def _signals(texts) -> dict[str, np.ndarray]:
     names = [f.split()[0] for f in SIGNALS.split(", ")]
     out = {name: np.zeros(len(texts), np.int64) for name in names}
@@ -72,7 +89,10 @@ def _signals(texts) -> dict[str, np.ndarray]:
         marked = np.zeros(len(run.data) + 1, np.int64)
         np.cumsum(_SYMBOL[run.data], out=marked[1:])
         out["n_symbol_words"][rows] = W.counts_per(doc[marked[ends] > marked[starts]], run.n)
-        out["n_distinct_words"][rows] = _distinct(W.joined(hashes, salt[doc]), doc, run.n)
+        windowed, window, of = _windows(W.counts_per(doc, run.n))
+        out["n_window_words"][rows] = W.counts_per(of, run.n)
+        keys = W.joined(hashes[windowed], W.mix(window.astype(np.uint64)))
+        out["n_window_distinct"][rows] = _distinct(keys, of, run.n)
 
         whole = np.flatnonzero(doc[2:] == doc[:-2])  # first words of the windows within one document
         windows = W.joined(W.joined(hashes[whole], hashes[whole + 1]), hashes[whole + 2])
@@ -97,6 +117,7 @@ def signals(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     Words are maximal runs without ASCII white space. ``n_dup_lines`` counts lines with a word that
     equal an earlier line; ``n_repeat_words`` counts words inside 3-word windows found twice or more.
+    ``n_window_distinct`` counts different words, window by window.
     """
     return appended(df, text, SIGNALS, _signals, keep)
 
@@ -127,9 +148,10 @@ def rules() -> dict[str, Column]:
             F.col("n_repeat_words") * 100 > words * MAX_REPEAT_PERCENT, F.col("n_repeat_words") * 100 <= words * 10
         )).otherwise(0),
         "letters": F.when(some, _vote(F.col("n_letter_words") * 10 < words * 7, F.col("n_letter_words") * 10 >= words * 9)).otherwise(0),
-        # Few different words are a fault only in texts long enough to need more.
-        "variety": F.when((words >= MIN_WORDS) & (words <= 2000), _vote(
-            F.col("n_distinct_words") * 100 < words * 20, F.col("n_distinct_words") * 100 >= words * 35
+        # Few different words in a window are a fault, however long the text is.
+        "variety": F.when(words >= MIN_WORDS, _vote(
+            F.col("n_window_distinct") * 100 < F.col("n_window_words") * 30,
+            F.col("n_window_distinct") * 100 >= F.col("n_window_words") * 45,
         )).otherwise(0),
     }
 
