@@ -3,12 +3,17 @@
 The automaton holds every stretch of consecutive words of all templates. A text is streamed through it
 to obtain its matching statistics: at each word the length of the longest template stretch that ends
 there. Stretches that cannot be extended and have at least ``MIN_MATCH`` words are placed in their
-templates and chained, in the order of both text and template, into spans; the share of a template that
-a span covers decides on its label. Phrases are found at every place where the matching statistics
-reach them in full.
+templates and chained, in the order of both text and template, into spans with at least one long
+stretch. A span gives its template's label if it covers enough of the template and holds the words by which
+licences of like wording differ; of spans that share words the one that covers more holds. Phrases are
+found at every place where the matching statistics reach them in full.
 
 Only words in sequence matter: words whose neighbours are neighbours in no template are passed over
 without a step, as no stretch of ``MIN_MATCH`` words can contain them.
+
+Null and empty texts have no words and no labels. Texts are read whole, whatever their length. Repeated
+rows have repeated results; an empty table has no rows. Of spans that cover equally many words the one that covers
+more of its template holds, then the earlier template.
 """
 
 from __future__ import annotations
@@ -23,12 +28,13 @@ from pyspark.sql import DataFrame
 
 from meshlight.llm import words as W
 from meshlight.llm.batches import appended
-from meshlight.llm.license_texts import PHRASES, TEMPLATES
+from meshlight.llm.license_texts import NEEDS, PHRASES, TEMPLATES
 
 MIN_MATCH = 3
-MIN_LONG = 5  # words of a stretch that counts for a template's coverage
+MIN_LONG = 5  # words of a stretch that a chain must have
 MAX_GAP = 12  # words between chained stretches, in the text and in the template
 MIN_COVERAGE = 0.5
+BESIDE = 6  # words after a span in which the words that a licence needs may stand
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -104,12 +110,19 @@ class Automaton:
 class Scanner:
     """The automaton of a set of templates, and what is needed to run batches of texts through it."""
 
-    def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES):
+    def __init__(
+        self, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
+        needs: dict[str, tuple[tuple[str, ...], ...]] = NEEDS,
+    ):
         texts = [words_of(t) for _, t in [*phrases, *templates]]
         self.labels = [label for label, _ in [*phrases, *templates]]
         self.phrases = len(phrases)
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        asked = [words_of(p) for groups in needs.values() for group in groups for p in group]
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in [*texts, *asked] for w in t))}
         sequences = [[vocabulary[w] for w in t] for t in texts]
+        self.needs = {
+            label: [[[vocabulary[w] for w in words_of(p)] for p in group] for group in groups] for label, groups in needs.items()
+        }
         self.sizes = [len(s) for s in sequences]
         self.automaton = Automaton(sequences)
         # Phrases that a state's stretches can end with, its links' included: (phrase, its words).
@@ -162,25 +175,37 @@ class Scanner:
                     if size <= length:
                         phrases.append((number, offset + i - size + 1))
                 extended = i + 1 < len(statistics) and statistics[i + 1][1] == length + 1
-                if length >= MIN_LONG and not extended:
+                if length >= MIN_MATCH and not extended:
                     for number, place in self.automaton.ends[state]:
                         if number >= self.phrases:
                             stretches.setdefault(text, []).append((number, offset + i - length + 1, place - length + 1, length))
         for text, matches in stretches.items():
-            found[text][1].extend(self.spans(matches))
+            if max(m[3] for m in matches) >= MIN_LONG:
+                own = ids[first_word[text] : first_word[text] + n_words[text]]
+                found[text][1].extend(self.spans(matches, own))
         return n_words, {t: f for t, f in found.items() if f[0] or f[1]}
 
-    def spans(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
+    def _told(self, label: str, words: list[int]) -> bool:
+        """Whether the words hold what tells the licence from others."""
+        def stands(phrase: list[int]) -> bool:
+            size = len(phrase)
+            return any(words[i : i + size] == phrase for i in range(len(words) - size + 1))
+
+        return all(any(stands(p) for p in group) for group in self.needs.get(label, ()))
+
+    def spans(self, matches: list[tuple[int, int, int, int]], words: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first word, last word, coverage) of the best chains that cover enough."""
-        out = []
+        out: list[tuple[int, int, int, int]] = []  # covered words, template, first, last
         by_template: dict[int, list] = {}
         for number, at, place, length in matches:
             by_template.setdefault(number, []).append((at, place, length))
         for number, blocks in sorted(by_template.items()):
+            if max(b[2] for b in blocks) < MIN_LONG:
+                continue
             blocks.sort()
             starts = [b[0] for b in blocks]
             reach = max(b[2] for b in blocks) + MAX_GAP
-            covered, opened = [b[2] for b in blocks], [b[0] for b in blocks]
+            covered, opened, long = [b[2] for b in blocks], [b[0] for b in blocks], [b[2] >= MIN_LONG for b in blocks]
             for k, (at, place, length) in enumerate(blocks):
                 for j in range(bisect_left(starts, at - reach), k):
                     a, p, n = blocks[j]
@@ -188,25 +213,24 @@ class Scanner:
                     if -n < gap <= MAX_GAP and -n < skip <= MAX_GAP and at > a and place > p:
                         gain = covered[j] + length - max(0, -gap, -skip) - max(0, gap - max(0, skip))  # inserted words
                         if gain > covered[k]:
-                            covered[k], opened[k] = gain, opened[j]
+                            covered[k], opened[k], long[k] = gain, opened[j], long[j] or length >= MIN_LONG
             taken: list[tuple[int, int]] = []  # spans kept, in text order; they do not overlap
-            for k in sorted(range(len(blocks)), key=lambda k: (-covered[k], blocks[k])):
-                coverage = min(1.0, covered[k] / self.sizes[number])
+            for k in sorted((k for k in range(len(blocks)) if long[k]), key=lambda k: (-covered[k], blocks[k])):
                 first, last = opened[k], blocks[k][0] + blocks[k][2] - 1
-                if coverage < MIN_COVERAGE:
+                if covered[k] < MIN_COVERAGE * self.sizes[number]:
                     break
                 place = bisect_left(taken, (first, last))
                 before_ends = taken[place - 1][1] if place else -1
                 after_begins = taken[place][0] if place < len(taken) else last + 1
                 if before_ends < first and last < after_begins:
                     taken.insert(place, (first, last))
-                    out.append((number, first, last, coverage))
+                    if self._told(self.labels[number], words[first : last + 1 + BESIDE].tolist()):
+                        out.append((min(covered[k], self.sizes[number]), number, first, last))
         # Templates share wording: of spans that share most of the shorter one the one that covers more words holds.
         held: list[tuple[int, int, int, float]] = []
-        for span in sorted(out, key=lambda s: (-s[3] * self.sizes[s[0]], -s[3], s)):
-            _, first, last, _ = span
+        for n, number, first, last in sorted(out, key=lambda s: (-s[0], self.sizes[s[1]], s[1:])):
             if all(2 * (min(last, l) - max(first, f) + 1) <= min(last - first, l - f) + 1 for _, f, l, _ in held):
-                held.append(span)
+                held.append((number, first, last, n / self.sizes[number]))
         return sorted(held)
 
 
@@ -251,8 +275,7 @@ def _scanned(texts: pa.Array) -> dict[str, pa.Array]:
 def scanned(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with words, phrase places, labels, score and template spans of each whole text.
 
-    One pass without a shuffle. Null and empty texts have no words and no labels. ``score`` is the
-    largest coverage, 1 where a phrase stands. Repeated rows give repeated results; an input column
+    One pass without a shuffle. ``score`` is the largest coverage, 1 where a phrase stands. An input column
     with the name of a computed one is replaced.
     """
     return appended(df, text, RESULT, _scanned, keep)

@@ -75,6 +75,10 @@ def test_quality_signals(docs, none):
     assert len(rows) == docs.count()
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_signals(r.text)
+        w, size = cases.words(r.text), quality.WINDOW
+        begins = [max(0, min(i, len(w) - size)) for i in range(0, len(w), size)]
+        windows = [w[i : i + size] for i in begins]
+        assert (r.n_window_words, r.n_window_distinct) == (sum(map(len, windows)), sum(len(set(x)) for x in windows))
     signalled = quality.signals(docs)
     judged = quality.judged(signalled, quality.fit(signalled)).collect()
     for r in judged:
@@ -85,6 +89,34 @@ def test_quality_signals(docs, none):
     assert quality.judged(empty, quality.fit(empty)).count() == 0
 
 
+def test_variety_votes_at_every_length(spark):
+    """Texts shuffled from a few dozen words are against, prose is for, at 60 as at 6,000 words."""
+    import random
+
+    random.seed(5)
+    few = [f"word{i}" for i in range(24)]
+    texts = []
+    for n in (150, 1900, 3000, 6000):
+        texts.append((n, "few", " ".join(random.choices(few, k=n))))
+        texts.append((n, "many", " ".join(f"w{random.randint(0, 5000)}" for _ in range(n))))
+    frame = spark.createDataFrame(texts, "n int, kind string, text string")
+    votes = quality.signals(frame).select("n", "kind", quality.rules()["variety"].alias("vote")).collect()
+    assert all(r.vote == (-1 if r.kind == "few" else 1) for r in votes)
+
+
+def test_kept_documents_follow_the_fitted_votes(spark, docs):
+    """The verdict of every row from its votes, by a label model fitted row by row."""
+    signalled = quality.signals(docs)
+    rules = quality.rules()
+    rows = quality.judged(signalled, quality.fit(signalled)).withColumns({f"v_{n}": v for n, v in rules.items()}).collect()
+    votes = np.array([[r[f"v_{n}"] for n in rules] for r in rows], float)
+    share, weights = quality.em(votes, np.ones(len(votes)))
+    for r, own in zip(rows, votes):
+        odds = math.log(share / (1 - share)) + sum(w[0] if v == 1 else w[1] if v == -1 else 0.0 for v, w in zip(own, weights))
+        assert math.isclose(r.quality, 1 / (1 + math.exp(-odds)), rel_tol=1e-6, abs_tol=1e-9)
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
 def test_label_model_finds_the_bad_class():
     rng = np.random.default_rng(1)
     good = rng.random(4000) < 0.85
@@ -226,6 +258,21 @@ def test_packing(docs, none, limits):
     ("<body><div class=cookie-notice><p>We, use, many, cookies, here.</p></div><div><p>Real, text.</p></div><aside><p>a, b, c</p></aside></body>", "Real, text."),
     ("<ul><li><a href=1>x</a><li><a href=2>y</a><li><a href=3>z</a></ul>", ""),
     ("<form><p>a, b</p></form><p title='x>y'>kept&nbsp;one</p><!-- <p>no</p> -->", "kept one"),
+    *[(page.replace("%s", "<p>One, two, three long sentence.</p><p>Second, paragraph.</p>"), text.replace("%s", "One, two, three long sentence.\n\nSecond, paragraph.")) for page, text in (
+        ("<div class='content no-sidebar'>%s</div>", "%s"), ("<main class='ad-free'>%s</main>", "%s"), ("<article class='post comments-open'>%s</article>", "%s"),
+        ("<article class='x has-comment y'>%s</article>", "%s"), ("<form id='aspnetForm'><div>%s</div></form>", "%s"),
+        ("<article>%s<section class='social-science'><p>On science.</p></section></article>", "%s\n\nOn science."),
+        ("<article><header class='entry-header'><h1>T</h1><p>Lead.</p></header>%s</article>", "T\n\nLead.\n\n%s"),
+        ("<article><div class='article-header'><h1>T</h1><p>Lead.</p></div>%s</article>", "T\n\nLead.\n\n%s"),
+        ("<main><p>Short.</p><article>%s</article></main>", "Short.\n\n%s"),
+        ("<div class='sidebar'>X y</div><div>%s</div><div id='comments'>%s%s%s</div>".replace("%s%s%s", "<p>I, like, it, a, lot.</p>" * 9), "%s"),
+        ("<header>Site</header><div class='ad'>Buy, many, things, now, here, please</div><article><h1>T</h1>%s</article><footer>f</footer>", "T\n\n%s"),
+        ("<body class='no-js'><form><div class='header'>Site</div><main>%s</main></form></body>", "%s"),
+        ("<div class='main-sidebar'><p>a, b, c, d, e</p></div><article>%s</article>", "%s"),
+        ("<main><article>%s</article><section class='comments-area'><p>bad, bad</p></section></main>", "%s"),
+        ("<div class='sticky-newsletter'><p>Sign up, now</p></div><div>%s</div>", "%s"),
+        ("<article>%s<div class='share-buttons'>Share</div></article><article class='teaser'><p>t</p></article>", "%s"),
+    )],
     ("<article class='post'><header><h1>H</h1></header><section><p>A, b.</p></section><section><p>C, d.</p></section></article>", "H\n\nA, b.\n\nC, d."),
 ])
 def test_main_text(page, text):
@@ -414,7 +461,7 @@ def test_matching_statistics():
 
 
 def test_templates_compete_for_a_notice(spark):
-    gpl = {label: text for label, text in licenses.TEMPLATES if label in ("gpl-2", "gpl-3")}
+    gpl = {label: text for label, text in reversed(licenses.TEMPLATES) if label in ("gpl-2", "gpl-3")}
     notices = [
         ("gpl-2", gpl["gpl-2"]), ("gpl-3", gpl["gpl-3"]), ("agpl-3", gpl["gpl-3"].replace("General", "Affero General")),
         ("lgpl", gpl["gpl-2"].replace("General", "Lesser General").replace("program", "library").replace("version 2", "version 2.1")),
@@ -426,6 +473,49 @@ def test_templates_compete_for_a_notice(spark):
     assert [got[i] for i in range(len(notices))] == [label for label, _ in notices]
 
 
+def notices():
+    """(label, text): every template as files carry it, and variants that differ in the telling words."""
+    out = [(label, text) for label, text in licenses.TEMPLATES]
+    text_of = dict(reversed(licenses.TEMPLATES))
+    shout = lambda label: (label, text_of[label].upper())
+    comment = lambda label: (label, "/*\n * " + "\n * ".join(text_of[label].split("\n")) + "\n */ int main()")
+    out += [shout(x) for x in ("mit", "apache-2", "bsd-2", "gpl-2", "zlib")] + [comment(x) for x in ("isc", "gpl-3", "mpl-2", "lgpl", "epl-2")]
+    bsd = text_of["bsd-3"].replace("the copyright holder nor", "Acme Corp. nor")
+    disclaimer = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    out += [("bsd-3", bsd), ("bsd-3", bsd + disclaimer), ("bsd-2", text_of["bsd-2"] + disclaimer)]
+    kinds = {
+        "cc-by": "Attribution", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nd": "Attribution-NoDerivs", "cc-by-nc": "Attribution-NonCommercial",
+        "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike", "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivs",
+    }
+    for label, kind in kinds.items():
+        for tail in ("3.0 Unported", "2.5 Generic", "4.0 International"):
+            out.append((label, f"This work is licensed under a Creative Commons {kind} {tail} License. To view a copy visit"))
+    out.append(("mit,zlib", text_of["mit"] + " and of another file: " + text_of["zlib"]))
+    return out
+
+
+def test_every_notice_has_exactly_its_label(spark):
+    rows = notices()
+    assert len(rows) >= 70
+    frame = spark.createDataFrame([(i, f"Copyright 2020 Some One\n{t}\nand then the code begins") for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in licenses.scanned(frame).collect()}
+    wrong = [(label, got[i], text[:60]) for i, (label, text) in enumerate(rows) if got[i] != label]
+    assert not wrong
+
+
+@pytest.mark.parametrize("text", [
+    "This work is licensed under a Creative Commons licence of some kind", "Permission is hereby granted to enter the building at night",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the Example Public License",
+    "under the terms of the license agreement you may not use this file", "Redistribution and use in source and binary forms is forbidden",
+    "This software is provided as-is, and the authors are very sorry", "All rights reserved. This program and the accompanying guide are sold",
+    "This work is licensed under a Creative Commons Attribution-SomethingElse 4.0 International License",
+    "the GNU General Public License is discussed in chapter 4 of this book by the Free Software Foundation", "apache, mit and bsd are licenses",
+])
+def test_near_notices_have_no_label(spark, text):
+    frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert licenses.scanned(frame).first().labels == ""
+
+
 def test_templates_survive_small_changes(spark):
     mit = licenses.TEMPLATES[0][1].replace("merge, publish", "merge, print, publish")
     frame = spark.createDataFrame([(1, "intro words here " + mit + " end")], "doc_id bigint, text string")
