@@ -1,17 +1,24 @@
 """Toxicity by weak supervision.
 
 A lexicon of word units (whole words and word beginnings) is induced from labelled training rows: the
-units that toxic texts hold far more often than others. Its units are all kept, counted in a bounded
-number of columns by their rank, and dealt to voters, which vote toxic
-when a text holds one of theirs and abstain otherwise; patterns of writing vote as well, and two voters
-vote against. The given label is a voter like the others. A generative label model, fitted to the
-votes alone, estimates how often each voter speaks in either class and how the voters' errors correlate,
-and turns votes into a posterior label. A linear classifier on unit counts and patterns is trained on the posterior labels
-and scores every text.
+units that toxic texts hold far more often than others, by more than chance brings among so many units. Each
+unit belongs to a class of evidence, and a text's counts of units by class are what voters and classifier
+see, however many units there are. Voters vote toxic when a text holds a unit of their classes and abstain
+otherwise; patterns of writing vote as well, and two voters vote against. The given label is a voter like
+the others. A generative label model, fitted to the votes alone, estimates how often each voter speaks in
+either class and how the voters' errors correlate, and turns votes into a posterior label. A linear classifier
+on class counts and patterns is trained on the posterior labels and scores every text.
 
 Lexicon and label model are fitted to all labelled rows, by counts of units and of vote patterns; the
 classifier to at most about ``SAMPLE_ROWS`` of them, picked by a hash of the text. Scoring is one pass over
 whole texts without a shuffle.
+
+What reaches the driver and the tasks: 9 bytes for each unit of the lexicon, of which chance brings at most about
+``CHANCE_UNITS`` and the rest is the toxic vocabulary of the labelled rows; at most 2 to the power of ``BITS``
+vote patterns; the sample's features, ``CLASSES`` and a few more numbers a row.
+
+Null and empty texts have the score of no words; texts are read whole, whatever their length. Equal texts
+have equal scores; without toxic labels, or without rows, every score is low.
 """
 
 from __future__ import annotations
@@ -28,13 +35,15 @@ from meshlight.llm.batches import appended, text_of
 from meshlight.session import written
 
 SAMPLE_ROWS = 20_000
-SLOTS = 384  # columns that hold the counts of all units
-OWN_SLOTS = 256  # units of the most evidence, which share no column once units outnumber columns
+CHANCE_UNITS = 1e6  # units that may pass by chance, at most
+PURE = (0.8, 0.9, 0.97)  # toxic share of the texts that hold a unit: classes of evidence by it
+WEIGHTS = 24  # classes of evidence by likelihood ratio, each a square root of two above the one before
+CLASSES = WEIGHTS * (len(PURE) + 1)
+STRONG_WEIGHT, STRONG_PURE = 5, 2  # from these classes on a unit is strong evidence
 MIN_TEXTS = 4  # toxic texts that must hold a unit
 MIN_ODDS = 3.0  # log odds ratio
 PREFIXES = (4, 5, 6)
-VOTERS = 32  # of the units of the most evidence
-SHARED_VOTERS = 16  # of the others
+VOTERS = 8  # of the lexicon, each with the units of some neighbouring classes
 SEED_SHARE = 0.1  # share of toxic texts that the label model starts from
 
 _APART = np.ones(256, bool)
@@ -47,7 +56,8 @@ _BANG[ord("!")] = True
 _STAR = np.zeros(256, bool)
 _STAR[ord("*")] = True
 PATTERNS = ("shouting", "exclaiming", "stretched", "masked")
-_TAIL = len(PATTERNS) + 3  # features after the unit counts
+_TAIL = len(PATTERNS) + 3  # features after the class counts
+BITS = VOTERS + 2 + len(PATTERNS) + 2 + 2  # votes, the given label's two among them
 
 
 def _lowered(run: W.Run) -> W.Run:
@@ -87,12 +97,10 @@ def _patterns(run: W.Run, n_words: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Sorted unit hashes and the column of each; the first ``own`` of the columns hold one unit."""
+    """Sorted unit hashes, and the class of evidence of each."""
 
     units: np.ndarray
-    slots: np.ndarray
-    width: int
-    own: int
+    classes: np.ndarray
 
 
 def _odds(a, b, n_toxic: int, n_clean: int, log=np.log):
@@ -100,61 +108,65 @@ def _odds(a, b, n_toxic: int, n_clean: int, log=np.log):
     return log((a + 0.5) / (n_toxic - a + 0.5)) - log((b + 0.5) / (n_clean - b + 0.5))
 
 
-def lexicon(units: np.ndarray, a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> tuple[Lexicon, Lexicon, Lexicon]:
-    """All units that pass, in at most ``SLOTS`` columns; and the units as a toxic and as another training text sees them.
+def _ratio(a, b, n_toxic: int, n_clean: int, log=np.log):
+    """Likelihood ratio of the texts that hold a unit against those that would by chance: chance exceeds it
+    with a probability of about exp(-ratio / 2)."""
+    share = n_toxic / max(1, n_toxic + n_clean)
+    held = a + b
+    return 2 * (a * log((a + 1e-9) / (held * share + 1e-9)) + b * log((b + 1e-9) / (held * (1 - share) + 1e-9)))
+
 
-    As many units as columns or fewer have a column each. Of more, the ``OWN_SLOTS`` of the most evidence do,
-    and the others share the rest with neighbours in rank: a column's share of ranks grows with the rank.
+def _least_ratio(tested: int) -> float:
+    """The ratio that so many units reach by chance no more than ``CHANCE_UNITS`` times."""
+    return max(0.0, 2 * float(np.log(max(1, tested) / CHANCE_UNITS)))
+
+
+def lexicon(units: np.ndarray, a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int, tested: int) -> tuple[Lexicon, Lexicon, Lexicon]:
+    """All units that pass; and the units as a toxic and as another training text sees them.
 
     A training text sees the units that pass without its own count, so that units of chance do not look
     better on the texts they were found in than on others.
     """
-    evidence = a * _odds(a, b, n_toxic, n_clean)
-    order = np.lexsort((units, -evidence))
-    units, a, b, evidence = units[order], a[order], b[order], evidence[order]
+    order = np.argsort(units)
+    units, a, b = units[order], a[order], b[order]
+    least = _least_ratio(tested)
+    weight = np.clip(2 * np.log2(np.maximum(_ratio(a, b, n_toxic, n_clean), 8.0) / 8.0), 0, WEIGHTS - 1).astype(np.uint8)
+    pure = np.searchsorted(PURE, (a + 0.5) / (a + b + 1), side="right").astype(np.uint8)
+    classes = weight * (len(PURE) + 1) + pure
 
-    def passing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a >= MIN_TEXTS) & (_odds(a, b, n_toxic, n_clean) >= MIN_ODDS)
+    def of(a: np.ndarray, b: np.ndarray) -> Lexicon:
+        kept = (a >= MIN_TEXTS) & (_odds(a, b, n_toxic, n_clean) >= MIN_ODDS) & (_ratio(a, b, n_toxic, n_clean) >= least)
+        return Lexicon(units[kept], classes[kept])
 
-    kept = passing(a, b)
-    n = int(kept.sum())
-    # The others' rank is that of the next unit kept.
-    slots = np.minimum(np.cumsum(kept) - kept, max(0, n - 1))
-    width, own = min(n, SLOTS), n if n <= SLOTS else OWN_SLOTS
-    if n > SLOTS:
-        depth = np.log(np.maximum(1.0, (slots + 1) / (own + 1))) / np.log((n + 1) / (own + 1))
-        slots = np.where(slots < own, slots, own + np.minimum(width - own - 1, (depth * (width - own)).astype(int)))
+    return of(a, b), of(a - 1, b), of(a, np.maximum(0, b - 1))
 
-    def of(chosen: np.ndarray) -> Lexicon:
-        chosen = chosen if n else np.zeros(len(units), bool)
-        by_hash = np.argsort(units[chosen])
-        return Lexicon(units[chosen][by_hash], slots[chosen][by_hash], width, own)
 
-    return of(kept), of(passing(a - 1, b)), of(passing(a, np.maximum(0, b - 1)))
+_CLASS = np.arange(CLASSES)
+_STRONG = (_CLASS // (len(PURE) + 1) >= STRONG_WEIGHT) & (_CLASS % (len(PURE) + 1) >= STRONG_PURE)
 
 
 def _features(texts: pa.Array, known: Lexicon) -> np.ndarray:
-    """Of each text: counts of the units of each column, patterns, words, words with a unit that has a
-    column of its own, and words with other units alone."""
+    """Of each text: counts of units by class, patterns, words, words with a strong unit, and words with other
+    units alone."""
     n, units = len(texts), known.units
-    out = np.zeros((n, known.width + _TAIL), np.float32)
+    out = np.zeros((n, CLASSES + _TAIL), np.float32)
     for run in W.runs(texts):
         hashes, words, doc = _units(run)
         rows = slice(run.first, run.first + run.n)
         n_words = W.counts_per(doc, run.n)
-        out[rows, known.width : -3] = _patterns(run, n_words)
+        out[rows, CLASSES:-3] = _patterns(run, n_words)
         out[rows, -3] = n_words
         if len(units):
-            own_word, hit_word = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+            strong_word, hit_word = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
             for h, w in zip(hashes, words):
                 place = np.minimum(np.searchsorted(units, h), len(units) - 1)
                 hit = np.flatnonzero(units[place] == h)
-                slots = known.slots[place[hit]]
-                np.add.at(out, (run.first + doc[w[hit]], slots), 1)
+                classes = known.classes[place[hit]]
+                np.add.at(out, (run.first + doc[w[hit]], classes), 1)
                 hit_word[w[hit]] = True
-                own_word[w[hit[slots < known.own]]] = True
-            out[rows, -2] = W.counts_per(doc[own_word], run.n)
-            out[rows, -1] = W.counts_per(doc[hit_word & ~own_word], run.n)
+                strong_word[w[hit[_STRONG[classes]]]] = True
+            out[rows, -2] = W.counts_per(doc[strong_word], run.n)
+            out[rows, -1] = W.counts_per(doc[hit_word & ~strong_word], run.n)
     return out
 
 
@@ -178,7 +190,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _inputs(features: np.ndarray) -> np.ndarray:
-    """Of each text: damped unit counts, patterns, damped number and share of words with a unit, and 1.
+    """Of each text: damped class counts, patterns, damped number and share of words with a unit, and 1.
 
     Words that only units of little evidence know are numbered apart: in a large lexicon chance brings some.
     """
@@ -192,17 +204,16 @@ def _inputs(features: np.ndarray) -> np.ndarray:
     ]).astype(np.float64)
 
 
-def votes(features: np.ndarray, own: int) -> np.ndarray:
+def votes(features: np.ndarray) -> np.ndarray:
     """Votes (1 toxic, -1 not, 0 abstain).
 
-    Each lexicon voter has units of about the same rank; the first ``own`` columns hold one unit each. Two
-    more ask for a second and a fourth word with such a unit, four look at patterns, and two vote against
-    texts with none or one word of the lexicon.
+    Each lexicon voter has the units of some neighbouring classes of weight. Two more ask for a second and a
+    fourth word with a strong unit, four look at patterns, and two vote against texts with none or one
+    word of the lexicon.
     """
     units = features[:, :-_TAIL]
     patterns, hits, others = features[:, -_TAIL:-3], features[:, -2], features[:, -1]
-    parts = np.array_split(units[:, :own], VOTERS, axis=1) + np.array_split(units[:, own:], SHARED_VOTERS, axis=1)
-    cast = [(part > 0).any(axis=1).astype(int) for part in parts if part.shape[1]]
+    cast = [(part > 0).any(axis=1).astype(int) for part in np.array_split(units, VOTERS, axis=1)]
     cast += [(hits >= 2).astype(int), (hits >= 4).astype(int)]
     cast += [(patterns[:, k] > bound).astype(int) for k, bound in enumerate((0.4, 0.05, 0.02, 0.02))]
     cast += [np.where(hits + others == 0, -1, 0), np.where(hits + others <= 1, -1, 0)]
@@ -253,21 +264,31 @@ def label_model(
     return _sigmoid(base + np.concatenate([(speaks[p] * odds / (1 + speaks[p] @ repeats)).sum(axis=1) for p in parts]))
 
 
-def linear_classifier(inputs: np.ndarray, target: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the constant is not penalised."""
+def linear_classifier(inputs: np.ndarray, target: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
+    """Logistic regression on soft labels by damped Newton steps; the constant is hardly held to its start."""
     n, width = inputs.shape
     weights = np.zeros(width)
     ridge = np.full(width, penalty * max(1, n))
     ridge[-1] = 1e-6 * max(1, n)
     weights[-1] = np.log(SEED_SHARE / (1 - SEED_SHARE))
+    start = weights.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = np.clip(inputs @ w, -35, 35)
+        return float((np.logaddexp(0, z) - target * z).sum() + (ridge * (w - start) ** 2).sum() / 2)
+
+    now = loss(weights)
     for _ in range(rounds):
         p = _sigmoid(inputs @ weights)
-        slope = inputs.T @ (p - target) + ridge * weights
-        slope[-1] -= ridge[-1] * weights[-1]
+        slope = inputs.T @ (p - target) + ridge * (weights - start)
         bend = (inputs * (p * (1 - p))[:, None]).T @ inputs + np.diag(ridge)
         step = np.linalg.solve(bend, slope)
-        weights = weights - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-9 and loss(weights - size * step) > now:
+            size /= 2
+        weights = weights - size * step
+        before, now = now, loss(weights)
+        if before - now <= 1e-9 * max(1.0, abs(now)):
             break
     return weights
 
@@ -341,10 +362,10 @@ def training_rows(df: DataFrame, labels: DataFrame, text: str, key: str, label:
     return once.join(marks, "__llm_text").select("__llm_text", "text", "toxic")
 
 
-def _cast(features: np.ndarray, own: int) -> np.ndarray:
+def _cast(features: np.ndarray) -> np.ndarray:
     """Votes and the given label, the last of the features: one voter more, whose errors are estimated too."""
     given = features[:, -1].astype(int)
-    return np.column_stack([votes(features[:, :-1], own), given, given - 1])
+    return np.column_stack([votes(features[:, :-1]), given, given - 1])
 
 
 def _mask(cast: np.ndarray) -> np.ndarray:
@@ -361,20 +382,28 @@ def train(
     """
     every = written(training_rows(df, labels, text, key, label), "toxicity-training")
     n_toxic, n = (int(x or 0) for x in every.agg(F.sum("toxic"), F.count(F.lit(1))).first())
+    n_clean = n - n_toxic
     texts = every.select("text", "toxic")
-    held = texts.mapInArrow(_unit_counts, "unit bigint, toxic bigint, clean bigint").groupBy("unit").agg(
-        F.sum("toxic").alias("a"), F.sum("clean").alias("b")
-    ).where(F.col("a") >= MIN_TEXTS)
-    # Every unit that passes is kept, or would pass without one of the other texts that hold it.
-    fewer = F.greatest(F.col("b") - 1, F.lit(0))
-    held = held.where(_odds(F.col("a"), fewer, n_toxic, n - n_toxic, F.log) >= MIN_ODDS - 1e-9).toArrow()
+    counted = written(
+        texts.mapInArrow(_unit_counts, "unit bigint, toxic bigint, clean bigint").groupBy("unit").agg(
+            F.sum("toxic").alias("a"), F.sum("clean").alias("b")
+        ), "toxicity-units",
+    )
+    tested = counted.count()
+    # Every unit that passes is kept, or would pass without one of the other texts that hold it. The test is
+    # made where the counts are; only units that pass it reach the driver.
+    a, fewer = F.col("a"), F.greatest(F.col("b") - 1, F.lit(0))
+    near = (_odds(a, fewer, n_toxic, n_clean, F.log) >= MIN_ODDS - 1e-9) & (
+        _ratio(a, fewer, n_toxic, n_clean, F.log) >= _least_ratio(tested) - 1e-6
+    )
+    held = counted.where((a >= MIN_TEXTS) & near).toArrow()
     unit, a, b = (held[c].to_numpy() for c in ("unit", "a", "b"))
-    known, *seen = lexicon(unit.view(np.uint64), a, b, n_toxic, n - n_toxic)
-    own, shipped = known.own, df.sparkSession.sparkContext.broadcast(seen)
+    known, *seen = lexicon(unit.view(np.uint64), a, b, n_toxic, n_clean, tested)
+    shipped = df.sparkSession.sparkContext.broadcast(seen)
 
     def patterns(batches):
         for batch in batches:
-            masks, counts = np.unique(_mask(_cast(_training_features(batch, shipped.value), own)), return_counts=True)
+            masks, counts = np.unique(_mask(_cast(_training_features(batch, shipped.value))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(counts.astype(np.int64))], ["mask", "n"])
 
     def features(batches):
@@ -384,28 +413,25 @@ def train(
                 [pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float32()))], ["x"]
             )
 
-    # The distinct patterns of votes, two numbers each.
+    # The distinct patterns of votes, two numbers each, at most 2^BITS.
     voted = texts.mapInArrow(patterns, "mask bigint, n bigint").groupBy("mask").agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(masks := voted["mask"].to_numpy())
     masks, counts = masks[order], voted["n"].to_numpy()[order]
-    signs = _cast(np.zeros((1, known.width + _TAIL + 1), np.float32), own)[0]  # a text of nothing casts all votes against
+    signs = _cast(np.zeros((1, CLASSES + _TAIL + 1), np.float32))[0]  # a text of nothing casts all votes against
     cast = np.where(masks[:, None] >> np.arange(len(signs)) & 1, np.where(signs < 0, -1, 1), 0).astype(np.int8)
     posterior = label_model(cast, np.where(cast[:, -2] == 1, 0.9, 0.02), counts=counts)
 
-    # The bounded sample's features, about SLOTS numbers a row.
+    # The bounded sample's features.
     part = F.pmod(F.xxhash64("__llm_text", F.lit("toxicity")), F.lit(1 << 24)) < int(min(1.0, rows / max(1, n)) * (1 << 24))
     rows_ = every.where(part).select("text", "toxic").mapInArrow(features, "x array<float>").toArrow()["x"].combine_chunks()
-    width = known.width + _TAIL + 1
+    width = CLASSES + _TAIL + 1
     flat = rows_.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(rows_) else np.zeros((0, width), np.float32)
     flat = flat[np.lexsort(flat.T[::-1])]  # the same sums whatever order the rows arrive in
-    target = posterior[np.searchsorted(masks, _mask(_cast(flat, own)))]
+    target = posterior[np.searchsorted(masks, _mask(_cast(flat)))]
     return Model(known, linear_classifier(_inputs(flat[:, :-1]), target))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``toxicity`` (0 to 1) of each whole text. Null and empty texts get the score of no words.
-
-    Repeated rows give repeated results; an input column named ``toxicity`` is replaced.
-    """
-    shipped = df.sparkSession.sparkContext.broadcast(model)  # the units' hashes, columns and weights
+    """Add ``toxicity`` (0 to 1) of each whole text; an input column named ``toxicity`` is replaced."""
+    shipped = df.sparkSession.sparkContext.broadcast(model)  # the units' hashes and classes, and the weights
     return appended(df, text, "toxicity double", lambda texts: {"toxicity": shipped.value.score(texts)}, keep)

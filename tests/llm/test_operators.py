@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import sys
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -565,6 +566,46 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(none, model).count() == 0
 
 
+def test_toxicity_scores_are_those_of_plain_counts(spark, docs):
+    """Every row's score from class counts that plain loops over its words give."""
+    rows = [(i, f"plain words stand around {'zorgon krelled' if i % 4 == 0 else 'cleaner things'} in text {i}", int(i % 4 == 0)) for i in range(400)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.train(frame, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    class_of = dict(zip(model.units.tolist(), model.lexicon.classes.tolist()))
+    texts = [r.text or "" for r in docs.select("text").collect()] + [t for _, t, _ in rows[:8]] + ["Zorgon zorgons KRELLED! kr*lled aaaah!!!"]
+    got = toxicity._features(pa.array(texts), model.lexicon)
+    for text, own in zip(texts, got):
+        words = re.findall(r"[a-z\x80-\xff]+", text.encode().decode("latin-1").translate({c: c + 32 for c in range(65, 91)}))
+        counts, strong, other = np.zeros(toxicity.CLASSES), 0, 0
+        for w in words:
+            word = w.encode("latin-1")
+            units = [word, *(word[:k] for k in toxicity.PREFIXES if len(word) > k)]
+            hit = [class_of[h] for u in units if (h := hash_of_bytes(u)) in class_of]
+            for c in hit:
+                counts[c] += 1
+            strong += any(toxicity._STRONG[c] for c in hit)
+            other += bool(hit) and not any(toxicity._STRONG[c] for c in hit)
+        assert own[: toxicity.CLASSES].tolist() == counts.tolist() and own[-3:].tolist() == [len(words), strong, other]
+    assert np.allclose(model.score(pa.array(texts)), 1 / (1 + np.exp(-np.clip(toxicity._inputs(got) @ model.weights, -35, 35))))
+    assert len(model.units) and toxicity._cast(np.zeros((1, toxicity.CLASSES + toxicity._TAIL + 1), np.float32)).shape[1] == toxicity.BITS
+
+
+def test_chance_units_are_bounded():
+    """Units spread without regard to the label: of ten million no more than about a million reach the bound."""
+    assert toxicity._least_ratio(10**5) == 0 and toxicity._least_ratio(10**9) > 13
+    rng = np.random.default_rng(2)
+    held = rng.integers(4, 40, 400_000)
+    a = rng.binomial(held, 0.1)
+    ratio = toxicity._ratio(a, held - a, 10_000, 90_000)
+    assert (ratio >= toxicity._least_ratio(10**7)).mean() < 0.1
+
+
+def hash_of_bytes(word):
+    data = np.frombuffer(word, np.uint8)
+    run = W.Run(0, 1, data, np.array([0, len(data)]))
+    return int(run.hashes(np.array([0]), np.array([len(data)]))[0])
+
+
 def test_toxicity_keeps_every_unit(spark):
     """Four hundred toxic words, one a text: far more units than columns."""
     import itertools
