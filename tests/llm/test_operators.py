@@ -390,7 +390,7 @@ def brute_base(rows):
     ]
 
 
-def test_language_model(docs, none):
+def test_language_model(docs, none, monkeypatch):
     rows = docs.withColumn("held", remainder("doc_id", 3) == 0)
     model = lm.train(rows.where("not held"))
     keep = ["doc_id", "text", "held", "labels"]
@@ -398,13 +398,16 @@ def test_language_model(docs, none):
     for r, (n, known, total, base) in zip(whole, brute_base(whole)):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and r.score < 0
-    # Several passes and a head that leaves rare words to the join change nothing.
-    parted = lm.scored(rows, model, keep=keep, part_bytes=2000, head_words=10).collect()
-    for name in ("n_known", "base_score", "score"):
-        a = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r[name]) for r in whole)
-        b = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r[name]) for r in parted)
-        assert all(x[:3] == y[:3] and math.isclose(x[3], y[3], rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b))
-    assert lm.scored(none, model).count() == 0
+    # Dealt probes, small blocks and a head that leaves rare words to the join change nothing.
+    for block in (lm.BLOCK_BYTES, 3000):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        parted = lm.scored(rows, model, keep=keep, filter_bytes=0, head_words=10).collect()
+        assert len(parted) == len(whole) and parted[0].__fields__ == whole[0].__fields__
+        for name in ("n_known", "base_score", "score", "labels"):
+            a = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r[name] or 0) for r in whole)
+            b = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r[name] or 0) for r in parted)
+            assert all(x[:3] == y[:3] and (x[3] == y[3] or math.isclose(x[3], y[3], rel_tol=1e-9, abs_tol=1e-9)) for x, y in zip(a, b))
+    assert lm.scored(none, model).count() == 0 == lm.scored(none, model, filter_bytes=0).count()
     untrained = lm.scored(rows, lm.train(none)).collect()
     assert len(untrained) == len(whole) and all(r.n_known == 0 and r.base_score == 0 for r in untrained)
 
@@ -414,7 +417,7 @@ def test_filter_never_understates():
     keys = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
     counts = np.minimum(rng.zipf(1.6, len(keys)), 1 << 40)
     words, _ = lm.segment(keys, counts)
-    part = lm.Part(words, np.zeros((1, 1), np.uint64), np.array([[len(words)]], np.uint64))
+    part = lm.Filter(words, np.zeros((1, 1), np.uint64), np.array([[len(words)]], np.uint64))
     got, want = part.levels(1, keys), np.searchsorted(lm.LEVELS, counts, side="right")
     assert (got >= want).all() and (got > want).mean() < 0.05
     strange = np.setdiff1d(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64), keys)
