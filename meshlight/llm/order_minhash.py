@@ -4,7 +4,8 @@ The k-mers of a text's code points are numbered by occurrence, so that repeated
 each of ``COMPONENTS`` hash functions the ``CHOSEN`` numbered k-mers with the smallest hashes are
 selected, put back into text order, and hashed together. Two texts agree in a component if they hold
 the same chosen k-mers in the same order; the share of components in which they agree is their
-likeness. Texts shorter than a k-mer are one k-mer; an empty text has the fingerprint of no k-mer.
+likeness. Texts shorter than a k-mer are one k-mer; an empty text has the fingerprint of no k-mer, and a null
+text is an empty one. Texts are read whole, in steps of ``BLOCK`` k-mers.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from meshlight.llm import words as W
 from meshlight.llm.batches import text_of, without
+from meshlight.operators.ordering import with_range
 
 K = 8
 COMPONENTS = 64
 CHOSEN = 2
 BLOCK = 1 << 14  # k-mers whose hashes are looked at together
+START = 64  # code points of a text by which rows of one key are dealt
 
 _rng = np.random.Generator(np.random.PCG64(6))
 _FACTORS = (_rng.integers(0, 1 << 32, COMPONENTS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -109,32 +112,6 @@ FOLLOWED = (
 )
 
 
-def _ranged(keyed: DataFrame, ranges: int) -> tuple[DataFrame, list[int]]:
-    """Add the number of the key range of each row; edges come from the keys with the lowest hashes.
-
-    At most about 64 keys a range reach the driver, picked by a hash threshold that follows the
-    number of rows.
-    """
-    total = keyed.count()
-    part = min(1.0, 64.0 * ranges / max(1, total))
-    picked = F.pmod(F.xxhash64("__llm_key"), F.lit(1 << 20)) < F.lit(int(np.ceil(part * (1 << 20))))
-    sample = sorted(r[0] for r in keyed.where(picked & F.col("__llm_key").isNotNull()).select("__llm_key").distinct().collect())
-    step = max(1, len(sample) // ranges)
-    return keyed, sample[step::step]
-
-
-def _range_of(key: Column, edges: Sequence[int]) -> Column:
-    """Number of edges that are not above the key, by halving; null keys come first."""
-
-    def halved(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < edges[middle], halved(low, middle)).otherwise(halved(middle + 1, high))
-
-    return F.when(key.isNull(), 0).otherwise(halved(0, len(edges))).cast("int")
-
-
 def followed(
     df: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
@@ -142,8 +119,9 @@ def followed(
 
     The next document is the next in ascending (key, text) order, null keys first, and the first one
     after the last; a single document follows itself, and repeated rows follow one another. ``key`` is
-    an integer. Whole texts are dealt to key ranges in one shuffle; each range also gets the row that
-    opens the next range, so that no row has to be gathered elsewhere. Null texts are empty.
+    an integer. Whole texts are dealt to ranges of key and beginning of the text in one shuffle, so that a key that
+    many rows share is many ranges; each range also gets the row that opens the next range, so that no row
+    has to be gathered elsewhere. Null texts are empty; an empty table has no rows.
     """
     spark = df.sparkSession
     added = StructType.fromDDL(FOLLOWED)
@@ -152,28 +130,22 @@ def followed(
     schema = StructType([*kept.schema.fields, *added.fields])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or max(8, 4 * partitions)  # several a partition, so that hashing evens them out
-    keyed = df.select(F.col(f"`{key}`").cast("bigint").alias("__llm_key"))
-    _, edges = _ranged(keyed, ranges)
-    number = _range_of(F.col("__llm_key"), edges)
-    # The smallest key of each range; ranges without rows are left out.
-    heads = {
-        r["r"]: r["least"]
-        for r in keyed.select(number.alias("r"), "__llm_key").groupBy("r")
-        .agg(F.min(F.struct(F.col("__llm_key").isNotNull().alias("held"), F.col("__llm_key"))).alias("least")).collect()
-    }
-    present = sorted(heads)
     rows = df.select(
         F.col(f"`{key}`").cast("bigint").alias("__llm_key"), text_of(text).alias("__llm_text"),
         *[F.col(f"`{c}`").alias(f"__llm_c_{c}") for c in carried],
-    ).withColumn("__llm_range", number)
-    # A row with the smallest key of its range also closes the range before it.
-    before = {r: present[i - 1] for i, r in enumerate(present)}
-    opening = F.lit(None).cast("int")
-    if present:
-        target = F.create_map(*[F.lit(x) for r in present for x in (r, before[r])])
-        least = F.create_map(*[F.lit(x).cast("bigint") if j else F.lit(x) for r in present for j, x in enumerate((r, heads[r]["__llm_key"]))])
-        opens = F.col("__llm_key").eqNullSafe(F.element_at(least, F.col("__llm_range")))
-        opening = F.when(opens, F.element_at(target, F.col("__llm_range")))
+    ).withColumn("__llm_start", F.substring("__llm_text", 1, START))
+    rows = with_range(rows, ["__llm_key", "__llm_start"], ranges, "__llm_range")
+    # The smallest place of each range, and the range before it: a row a range. The first row of a range
+    # also closes the range before; that of the first range closes the last.
+    place = F.struct("__llm_key", "__llm_start")
+    heads = rows.groupBy("__llm_range").agg(F.min(place).alias("__llm_least"))
+    before, every = Window.orderBy("__llm_range"), Window.orderBy(F.desc("__llm_range"))
+    heads = heads.select(
+        "__llm_range", "__llm_least",
+        F.coalesce(F.lag("__llm_range").over(before), F.first("__llm_range").over(every)).alias("__llm_before"),
+    )
+    rows = rows.join(F.broadcast(heads), "__llm_range")
+    opening = F.when(place.eqNullSafe(F.col("__llm_least")), F.col("__llm_before"))
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.col("__llm_range").alias("r")),
         F.struct(F.lit(1).alias("side"), opening.alias("r")),
