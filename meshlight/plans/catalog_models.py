@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meshlight import values as V
 from meshlight.operators import (
     anomaly,
+    boosting,
     churn,
     counters,
     drift,
@@ -25,7 +26,7 @@ from meshlight.operators import (
 from meshlight.plans.catalog import AS_OF, DEVICE_EVENTS, EV, FLEET, SERIES, SNAP, query, rounded, ts_sql, ts_text
 from meshlight.plans.catalog_store import COUNTER_SQL
 from meshlight.plans.fleet import fleet_matrix
-from meshlight.session import written
+from meshlight.session import work_path, written
 from meshlight.sources import tables as T
 
 INPUT = V.ANOMALY_FEATURES
@@ -397,6 +398,36 @@ def churn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.labelled(matrix(spark, sf_dir), manual)
 
 
+# Two small boosted trees with fixed nodes: tree, node, feature, threshold, left, right, value.
+GIVEN_BOOSTED = [
+    (0, 0, 0, 300.0, 1, 2, 0.0), (0, 1, 1, 12.5, 3, 4, 0.0), (0, 2, -1, 0.0, 2, 2, -0.4), (0, 3, -1, 0.0, 3, 3, 0.9), (0, 4, -1, 0.0, 4, 4, 0.25),
+    (1, 0, 2, 40.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 0.7), (1, 2, 0, 600.0, 3, 4, 0.0), (1, 3, -1, 0.0, 3, 3, -0.1), (1, 4, -1, 0.0, 4, 4, -0.6),
+]
+_NODE_VALUES = ", ".join(f"({', '.join(map(str, n))})" for n in GIVEN_BOOSTED)
+
+
+@query(
+    "given_boosted_margins", "RECURSIVE " + EV, SNAP, FLEET,
+    f"nodes(tree, node, feature, threshold, low, high, value) AS (VALUES {_NODE_VALUES})",
+    "rows_ AS (SELECT device_id, [coalesce(dl_mbps_latest, 0), coalesce(latency_idle_ms, 0), coalesce(qoe_wan_latest, 0)] AS x FROM fleet)",
+    "walk AS (SELECT device_id, x, tree, 0 AS node FROM rows_, (SELECT DISTINCT tree FROM nodes) UNION ALL "
+    "SELECT w.device_id, w.x, w.tree, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n.low ELSE n.high END "
+    "FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature >= 0)",
+    sql="""SELECT device_id, round(CAST(-1.2 + sum(value) AS DOUBLE), 8) AS margin FROM walk JOIN nodes USING (tree, node) WHERE feature < 0
+      GROUP BY device_id""",
+)
+def given_boosted_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins of given trees, saved and loaded."""
+    trees = [boosting.Tree(), boosting.Tree()]
+    for tree, _, feature, threshold, left, right, value in GIVEN_BOOSTED:
+        at = trees[tree].add(value)
+        trees[tree].feature[at], trees[tree].threshold[at], trees[tree].left[at], trees[tree].right[at] = feature, threshold, left, right
+    path = work_path(spark, "boosted")
+    boosting.save(boosting.Boosted(GIVEN_FEATURES, -1.2, trees, [0.0] * 3), spark, path)
+    rows = modelprep.align(merged(spark, sf_dir), GIVEN_FEATURES)
+    return rounded(rows.select("device_id", boosting.margin(boosting.load(spark, path)).alias("margin")))
+
+
 @query("churn_predictions")
 def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the labelled matrix and score every device."""

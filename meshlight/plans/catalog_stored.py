@@ -139,7 +139,7 @@ def active_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     "retraining_log", EV, SNAP, FLEET,
     sql=f"""SELECT * FROM (SELECT 'anomaly_detector' AS name, 'IsolationForest' AS algorithm, 21 AS feature_count, count(*) AS rows,
       true AS activate, {ts_sql(AS_OF)} AS trained_at, true AS loaded_alike FROM fleet UNION ALL
-      SELECT 'churn_predictor', 'GBTClassifier', 42, (SELECT count(*) FROM fleet), true, {ts_sql(AS_OF)}, true UNION ALL
+      SELECT 'churn_predictor', 'GradientBoosting', 42, (SELECT count(*) FROM fleet), true, {ts_sql(AS_OF)}, true UNION ALL
       SELECT 'fleet_clusterer', 'KMeans', 13, (SELECT count(*) FROM fleet), true, {ts_sql(AS_OF)}, true)""",
 )
 def retraining_log(spark: SparkSession, sf_dir: str) -> DataFrame:
