@@ -22,16 +22,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-# Texts are long rows: small Arrow batches keep what a task holds at a time to some megabytes.
-BATCH_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
-}
-
-
 def prepared(spark: SparkSession) -> SparkSession:
-    for key, value in BATCH_CONF.items():
-        spark.conf.set(key, value)
+    """The settings that all queries of the library share; nothing is set for these alone."""
     return tuned(spark)
 
 
