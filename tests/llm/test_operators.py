@@ -192,7 +192,9 @@ def test_links_of_crowded_lists(spark, block):
     assert groups(got) == groups(want)
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [1000, 3])
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)  # with 3 the star's centre is dealt in pieces
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(50)}}
