@@ -47,5 +47,6 @@ def appended(
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [x if isinstance(x := made[n], pa.Array) else pa.array(x) for n in names]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names])
+        pa.default_memory_pool().release_unused()  # workers live on after the task
 
     return rows.mapInArrow(run, schema)
