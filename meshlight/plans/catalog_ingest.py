@@ -347,7 +347,7 @@ def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('w5gM.sta', i % 4), 'w6gS1.sta0', 'eth0', 'w2g.sta1'), i % 4 + 1), "
         "'rx_bytes', bigint(i * 100 + k), 'tx_bytes', bigint(i), 'rx_bps', v, 'tx_bps', v))"
     )
-    return T.events(spark, sf_dir).selectExpr("device_id", "ts", f"to_json(named_struct('devices', {listed})) AS flows")
+    return T.dealt(T.events(spark, sf_dir)).selectExpr("device_id", "ts", f"to_json(named_struct('devices', {listed})) AS flows")
 
 
 POLL_ROWS = (
