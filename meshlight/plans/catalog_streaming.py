@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlight import values as V
+from meshlight.functions.barrier import settled
 from meshlight.operators import alerts, partials, store, temporal
 from meshlight.plans.catalog import DEVICE_EVENTS, EV, ORACLES, SNAP, query, ts_sql, ts_text
 from meshlight.plans.catalog_ingest import FEATURE_SQL, MSG, feature_rows
@@ -77,6 +78,14 @@ def stream_hourly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(spark, _ingested(spark, sf_dir), "usage")
 
 
+def _sent_again(sent: DataFrame) -> DataFrame:
+    """The messages with the copies of those that carry an id or timestamp; each message is made once."""
+    told = F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.timestamp")).isNotNull()
+    once, again = F.col("ingest_ts"), F.col("ingest_ts") + F.expr("interval 1 second")
+    times = F.when(told, F.array(once, again)).otherwise(F.array(once))
+    return settled(sent).select("topic", "payload", F.explode(times).alias("ingest_ts"))
+
+
 @query(
     "stream_redelivered", EV, MSG,
     sql=f"""SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS messages FROM judged
@@ -85,10 +94,7 @@ def stream_hourly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message with an id or timestamp comes twice, the copy a second later; counters of a stream that drops copies."""
     out = work_path(spark, "redelivered")
-    sent = T.messages(spark, sf_dir)
-    told = F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.timestamp")).isNotNull()
-    again = sent.where(told).withColumn("ingest_ts", F.col("ingest_ts") + F.expr("interval 1 second"))
-    messages.write_messages(sent.union(again), f"{out}/incoming")
+    messages.write_messages(_sent_again(T.messages(spark, sf_dir)), f"{out}/incoming")
     stream = messages.stream_messages(spark, f"{out}/incoming")
     start_ingest(stream, out, f"{out}/state", redelivered_within="1 hour").awaitTermination()
     return ingested(spark, out, "counters")

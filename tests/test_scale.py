@@ -36,6 +36,15 @@ def test_messages_of_one_file_are_made_on_all_cores(spark, made, rows):
     assert rows(spark, made).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_redelivered_messages_are_made_once(spark, made):
+    sent = T.messages(spark, made)
+    found = catalog_streaming._sent_again(sent)
+    assert _plan(found).count("FileScan") == 1
+    told = F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.timestamp")).isNotNull()
+    again = sent.where(told).withColumn("ingest_ts", F.col("ingest_ts") + F.expr("interval 1 second"))
+    assert sorted(found.collect()) == sorted(sent.union(again).collect())
+
+
 def test_text_that_begins_like_a_date_is_not_tried_as_a_number(spark):
     texts = [
         "2026-04-01T12:00:00Z", "2026-04-01", "2026-4-1 1:2:3", "1704067200", "1704067200.25", "1.0e-5", "1e9", " 12 ", "2024", "2024-", "20240101",
