@@ -56,3 +56,8 @@ def test_text_that_begins_like_a_date_is_not_tried_as_a_number(spark):
     found = rows.select("t", parse.timestamp_of(text).cast("string").alias("new"), before.cast("string").alias("old")).collect()
     assert all(r["new"] == r["old"] for r in found)
     assert "RLIKE" in _plan(rows.repartition(2).select(parse.timestamp_of(text)))
+
+
+def test_device_tables_are_not_broadcast(spark, made):
+    for rows in (T.heartbeats(spark, made), catalog_models.measured(spark, made)):
+        assert "BroadcastHashJoin" not in _plan(rows)
