@@ -144,15 +144,17 @@ def decided(recs: DataFrame, decisions: DataFrame) -> DataFrame:
     ``decisions``: (id, decided_at, status, decided_by); an approval also records who and when. Of
     decisions at one time the one last by (status, decided_by) holds.
     """
-    order = F.struct("decided_at", "status", "decided_by")
-    last = decisions.groupBy("id").agg(
-        F.max_by("status", order).alias("_status"),
-        F.max_by("decided_by", order).alias("_by"),
-        F.max("decided_at").alias("_at"),
+    return _applied(recs, decisions, "left")
+
+
+def _applied(recs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """``decided``; as an inner join only the recommendations that a decision names."""
+    last = decisions.groupBy("id").agg(F.max(F.struct("decided_at", "status", "decided_by")).alias("_last")).select(
+        "id", F.col("_last.status").alias("_status"), F.col("_last.decided_by").alias("_by"), F.col("_last.decided_at").alias("_at")
     )
     approved = F.col("_status") == "approved"
     return (
-        recs.join(last, "id", "left")
+        recs.join(last, "id", how)
         .withColumns(
             {
                 "status": F.coalesce("_status", "status"),
@@ -271,8 +273,8 @@ def decide(spark: SparkSession, path: str, decisions: DataFrame) -> DataFrame:
     Only the rows that a decision names are written again.
     """
     held = stored.read(spark, path)
-    named = held.join(decisions.select("id").distinct(), "id", "left_semi").drop("executed_at", "executed_by")
-    stored.upsert(spark, path, decided(named, decisions).select(*held.columns))
+    named = _applied(held.drop("executed_at", "executed_by"), decisions, "inner")
+    stored.upsert(spark, path, named.select(*held.columns))
     return unknown_decisions(stored.read(spark, path), decisions)
 
 

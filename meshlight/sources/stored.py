@@ -44,7 +44,8 @@ def _merge(
     first = both.withColumn("_place", place).where("_place = 1").drop("_place", _NEW)
     staged, staged_path = written_at(first, "stored-staged")
     if touched:
-        writer = staged.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # A large bucket is written by several tasks, each a file.
+        writer = staged.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(_BUCKET).parquet(path)
     discard(spark, fresh_path, staged_path)
 

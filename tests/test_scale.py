@@ -61,3 +61,28 @@ def test_text_that_begins_like_a_date_is_not_tried_as_a_number(spark):
 def test_device_tables_are_not_broadcast(spark, made):
     for rows in (T.heartbeats(spark, made), catalog_models.measured(spark, made)):
         assert "BroadcastHashJoin" not in _plan(rows)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    path, setting = str(tmp_path / "table"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:
+        rows = spark.range(60000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        stored.append(spark, path, rows, buckets=1)
+        stored.append(spark, path, rows, buckets=1)
+    finally:
+        spark.conf.set(setting, before)
+    assert len(spark.read.parquet(path).inputFiles()) > 1
+    assert stored.read(spark, path).exceptAll(rows).isEmpty() and stored.read(spark, path).count() == 60000
+
+
+def test_decisions_are_gathered_once(spark):
+    recs = spark.createDataFrame([("a", "pending"), ("b", "pending"), (None, "pending")], "id string, status string")
+    log = [("a", 2, "dismissed", "u"), ("a", 2, "approved", "v"), ("a", None, "z", "z"), (None, 1, "approved", "u"), ("c", 1, "approved", "u")]
+    decisions = spark.createDataFrame(log, "id string, at int, status string, decided_by string").withColumn(
+        "decided_at", F.timestamp_seconds("at")
+    ).drop("at")
+    found = remediation._applied(recs, decisions, "inner").collect()
+    assert [(r["id"], r["status"], r["executed_by"]) for r in found] == [("a", "dismissed", None)]
+    assert sorted(map(str, remediation.decided(recs, decisions).where("id = 'a'").collect())) == sorted(map(str, found))
