@@ -14,8 +14,8 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_messages(rows: DataFrame, path: str) -> None:
-    """Store messages as JSON lines with their arrival time to the microsecond."""
-    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    """Store messages as compressed JSON lines with their arrival time to the microsecond."""
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("compression", "lz4").json(path)
 
 
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from meshlight.operators import features, parse, partials
 from meshlight.operators.features import hourly_usage
+from meshlight.session import discard
 
 
 def once(messages: DataFrame, within: str) -> DataFrame:
@@ -18,9 +19,11 @@ def once(messages: DataFrame, within: str) -> DataFrame:
     than the watermark allows are dropped; give a time that covers the stream's disorder.
     """
     told = F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.timestamp"))
-    key = F.sha2(F.concat_ws("|", "payload", F.coalesce(told, F.col("ingest_ts").cast("string"))), 256)
+    # What the state holds of a message: 32 bytes. With its length first no topic reads as part of a payload.
+    topic = F.coalesce(F.length("topic"), F.lit(-1)).cast("string")
+    key = F.unhex(F.sha2(F.concat_ws("|", topic, "topic", "payload", F.coalesce(told, F.col("ingest_ts").cast("string"))), 256))
     marked = messages.withColumn("_copy", key).withWatermark("ingest_ts", within)
-    return marked.dropDuplicatesWithinWatermark(["topic", "_copy"]).drop("_copy")
+    return marked.dropDuplicatesWithinWatermark(["_copy"]).drop("_copy")
 
 
 def heartbeats(decoded: DataFrame) -> DataFrame:
@@ -53,7 +56,13 @@ def start_ingest(
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        decoded = parse.decode(parse.subscribed(batch)).persist()
+        # Decoded once, into files: each table reads the columns that it needs, and no executor holds the batch. The text
+        # of a message is kept for the quarantine alone.
+        spark, staged = batch.sparkSession, f"{out}/_decoded/batch={number}"
+        rows = parse.decode(parse.subscribed(batch))
+        rows = rows.withColumn("payload", F.when(F.col("reason").isNotNull(), F.col("payload")))
+        rows.write.mode("overwrite").parquet(staged)
+        decoded = spark.read.schema(rows.schema).parquet(staged)
 
         def put(rows: DataFrame, name: str, *by: str) -> None:
             rows.write.mode("overwrite").partitionBy(*by).parquet(f"{out}/{name}/batch={number}")
@@ -68,7 +77,7 @@ def start_ingest(
             put(parse.quarantined(decoded), "quarantine")
             put(parse.counters(decoded), "counters")
         finally:
-            decoded.unpersist()
+            discard(spark, staged)
 
     rows = once(messages, redelivered_within) if redelivered_within else messages
     writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from meshlight.operators import parse, remediation
 from meshlight.plans import catalog_ingest, catalog_models, catalog_streaming
-from meshlight.sources import stored
+from meshlight.sources import messages, stored
 from meshlight.sources import tables as T
+from meshlight.streaming import ingest
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,25 @@ def test_redelivered_messages_are_made_once(spark, made):
     assert sorted(found.collect()) == sorted(sent.union(again).collect())
 
 
+def test_ingest_holds_no_batch_in_the_executors(spark, made, tmp_path, monkeypatch):
+    sent, out = T.messages(spark, made), str(tmp_path / "out")
+    messages.write_messages(sent, f"{out}/incoming")
+    assert all(f.endswith(".lz4") for f in spark.read.text(f"{out}/incoming").inputFiles())
+    assert sorted(messages.read_messages(spark, f"{out}/incoming").collect()) == sorted(sent.collect())
+    monkeypatch.setattr(type(sent), "persist", lambda *_: pytest.fail("held in memory"))
+    ingest.start_ingest(messages.stream_messages(spark, f"{out}/incoming"), out, f"{out}/state").awaitTermination()
+    rejected = parse.decode(parse.subscribed(sent)).where("reason IS NOT NULL").select("topic", "payload", "reason")
+    found = spark.read.parquet(f"{out}/quarantine").select("topic", "payload", "reason")
+    assert sorted(found.collect()) == sorted(rejected.collect()) and not rejected.isEmpty()
+    assert not (tmp_path / "out/_decoded/batch=0").exists()
+
+
+def test_the_state_of_a_redelivery_is_one_short_key(spark, made):
+    sent = T.messages(spark, made)
+    once = ingest.once(sent, "1 hour")._jdf.queryExecution().analyzed().toString()
+    assert "[_copy#" in once and "topic#" not in once.split("DeduplicateWithinWatermark [")[1].split("]")[0]
+
+
 def test_text_that_begins_like_a_date_is_not_tried_as_a_number(spark):
     texts = [
         "2026-04-01T12:00:00Z", "2026-04-01", "2026-4-1 1:2:3", "1704067200", "1704067200.25", "1.0e-5", "1e9", " 12 ", "2024", "2024-", "20240101",
